@@ -84,7 +84,7 @@ def flagged_copies(counted: DataFrame, copies: str = COPIES) -> DataFrame:
     blocks = (
         counted.filter(number > BLOCK)
         .withColumn("__block", F.explode(F.sequence(F.lit(0), F.ceil(number / BLOCK) - 1)))
-        .repartition(partitions, "__block")
+        .repartition(partitions, "__block", *[cell(n) for n in names])
     )
     hot = written(
         blocks,
