@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["quality", "vectors"]
+MODULES = ["quality", "vectors", "labels"]
 
 
 def load() -> None:

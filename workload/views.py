@@ -118,3 +118,61 @@ def sql_age(moment: str, reference: str = REFERENCE_DATE) -> str:
         f"(epoch_us(TIMESTAMP '{reference}') - epoch_us(CAST({moment} AS TIMESTAMP)))"
         f" / 86400000000))) AS DOUBLE) END"
     )
+
+
+def label_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label dimensions by rule on the order key, the label wrong at every 101st key."""
+    key = F.col("o_orderkey")
+    dims = {"completeness": 2, "consistency": 3, "validity": 5, "accuracy": 7}
+    marked = table(spark, sf_dir, "orders").select(
+        "o_orderkey", *[(key % m != 0).cast("int").alias(d) for d, m in dims.items()]
+    )
+    passed = sum((F.col(d) for d in dims), F.lit(0))
+    by_rule = F.when(passed >= 3, 1).otherwise(0)
+    return marked.withColumn(
+        "final_label", F.when(key % 101 == 0, 1 - by_rule).otherwise(by_rule)
+    )
+
+
+LABEL_DIMS = """marked AS (SELECT o_orderkey, CAST(o_orderkey % 2 <> 0 AS INTEGER) AS completeness,
+    CAST(o_orderkey % 3 <> 0 AS INTEGER) AS consistency,
+    CAST(o_orderkey % 5 <> 0 AS INTEGER) AS validity,
+    CAST(o_orderkey % 7 <> 0 AS INTEGER) AS accuracy FROM orders),
+ruled AS (SELECT *, completeness + consistency + validity + accuracy AS passed,
+    CASE WHEN completeness + consistency + validity + accuracy >= 3 THEN 1 ELSE 0 END AS by_rule
+    FROM marked),
+label_dims AS (SELECT o_orderkey, completeness, consistency, validity, accuracy,
+    CASE WHEN o_orderkey % 101 = 0 THEN 1 - by_rule ELSE by_rule END AS final_label FROM ruled)"""
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as scored records: label, prediction, a score with ties, and a dataset name."""
+    key = F.col("event_id")
+    truth = key % 3 == 0
+    return table(spark, sf_dir, "events").select(
+        "event_id",
+        F.col("event_type").alias("dataset"),
+        truth.cast("int").alias("truth"),
+        (truth != (key % 10 == 0)).cast("int").alias("predicted"),
+        ((key * 7919 % 1000) / 2000.0 + F.when(truth, 0.25).otherwise(0.0))
+        .cast("double")
+        .alias("score"),
+    )
+
+
+SCORED = """scored AS (SELECT event_id, event_type AS dataset, CAST(event_id % 3 = 0 AS INTEGER) AS truth,
+    CAST((event_id % 3 = 0) <> (event_id % 10 = 0) AS INTEGER) AS predicted,
+    CAST(event_id * 7919 % 1000 AS DOUBLE) / 2000.0
+      + CASE WHEN event_id % 3 = 0 THEN 0.25 ELSE 0.0 END AS score FROM events)"""
+
+
+def label_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """labels with a second copy of every twentieth document's row."""
+    copies = F.when(F.col("doc_id") % 20 == 0, F.array(F.lit(1), F.lit(2))).otherwise(
+        F.array(F.lit(1))
+    )
+    return table(spark, sf_dir, "labels").select("*", F.explode(copies).alias("copy")).drop("copy")
+
+
+LABEL_COPIES = """label_copies AS (SELECT * FROM labels
+    UNION ALL SELECT * FROM labels WHERE doc_id % 20 = 0)"""
