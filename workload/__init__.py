@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["quality", "vectors", "labels"]
+MODULES = ["quality", "vectors", "labels", "types", "files"]
 
 
 def load() -> None:

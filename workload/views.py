@@ -6,7 +6,7 @@ Each view damages a whole table by a rule on its key; the SQL text says the same
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 REFERENCE_DATE = "2001-08-05"
@@ -176,3 +176,46 @@ def label_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LABEL_COPIES = """label_copies AS (SELECT * FROM labels
     UNION ALL SELECT * FROM labels WHERE doc_id % 20 = 0)"""
+
+
+def raw_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as text: `s` of eight kinds, and one column per type with one value in nine bad."""
+    key = F.col("event_id")
+    number = key.cast("string")
+    kind = F.pmod(key, F.lit(8))
+    s = (
+        F.when(kind == 0, number)
+        .when(kind == 1, "3.5")
+        .when(kind == 2, "yes")
+        .when(kind == 3, "2024-01-02")
+        .when(kind == 4, "2024-01-02 03:04:05")
+        .when(kind == 5, "abc")
+        .when(kind == 6, "")
+    )
+    day = F.lpad((key % 28 + 1).cast("string"), 2, "0")
+
+    def spoiled(place: int, bad: str, good) -> Column:
+        return F.when(key % 9 == place, bad).otherwise(good)
+
+    return table(spark, sf_dir, "events").select(
+        "event_id",
+        s.alias("s"),
+        spoiled(0, "x1", number).alias("i"),
+        spoiled(1, "n/a", F.concat(number, F.lit(".5"))).alias("f"),
+        spoiled(2, "maybe", F.when(key % 2 == 0, "true").otherwise("No")).alias("b"),
+        spoiled(3, "2024-02-31", F.concat(F.lit("2024-01-"), day)).alias("d"),
+        spoiled(4, "2024-01-05 25:00:00", F.concat(F.lit("2024-01-"), day, F.lit(" 06:07:08"))).alias("t"),
+    )
+
+
+_DAY = "lpad(CAST(event_id % 28 + 1 AS VARCHAR), 2, '0')"
+RAW_STRINGS = f"""raw_strings AS (SELECT event_id,
+    CASE event_id % 8 WHEN 0 THEN CAST(event_id AS VARCHAR) WHEN 1 THEN '3.5' WHEN 2 THEN 'yes'
+      WHEN 3 THEN '2024-01-02' WHEN 4 THEN '2024-01-02 03:04:05' WHEN 5 THEN 'abc'
+      WHEN 6 THEN '' END AS s,
+    CASE WHEN event_id % 9 = 0 THEN 'x1' ELSE CAST(event_id AS VARCHAR) END AS i,
+    CASE WHEN event_id % 9 = 1 THEN 'n/a' ELSE CAST(event_id AS VARCHAR) || '.5' END AS f,
+    CASE WHEN event_id % 9 = 2 THEN 'maybe' WHEN event_id % 2 = 0 THEN 'true' ELSE 'No' END AS b,
+    CASE WHEN event_id % 9 = 3 THEN '2024-02-31' ELSE '2024-01-' || {_DAY} END AS d,
+    CASE WHEN event_id % 9 = 4 THEN '2024-01-05 25:00:00'
+      ELSE '2024-01-' || {_DAY} || ' 06:07:08' END AS t FROM events)"""
