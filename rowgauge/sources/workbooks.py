@@ -15,6 +15,8 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from rowgauge.functions.cells import quoted
+
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 BATCH_ROWS = 10_000
 
@@ -87,6 +89,12 @@ def _tables(names: list[str], batches: Iterator[pd.DataFrame]) -> Iterator[pd.Da
                 yield pd.DataFrame(block, columns=names, dtype=object)
 
 
+def workbook_rows(files: DataFrame, names: list[str]) -> DataFrame:
+    """The rows of workbooks given as a binary `content` column; absent columns are null."""
+    layout = ", ".join(f"{quoted(n)} string" for n in names)
+    return files.select("content").mapInPandas(lambda batches: _tables(names, batches), layout)
+
+
 def read_xlsx(
     spark: SparkSession, path: str, schema: list[str] | None = None, **_options
 ) -> DataFrame:
@@ -109,6 +117,4 @@ def read_xlsx(
                     yield pd.DataFrame({"name": [n or f"_c{i}" for i, n in enumerate(names)]})
 
         schema = [row["name"] for row in content.mapInPandas(header, "name string").collect()]
-    names = list(schema)
-    layout = ", ".join(f"`{n}` string" for n in names)
-    return files.select("content").mapInPandas(lambda batches: _tables(names, batches), layout)
+    return workbook_rows(files, list(schema))

@@ -97,7 +97,7 @@ def main() -> None:
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     connection = connect(sf_dir)
     sql = contract.oracle_sql()
     failed = 0

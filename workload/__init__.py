@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["quality", "vectors", "labels", "types", "files"]
+MODULES = ["quality", "vectors", "labels", "types", "files", "models"]
 
 
 def load() -> None:

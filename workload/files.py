@@ -11,8 +11,10 @@ from pyspark.sql import types as T
 from rowgauge.operators import metrics
 from rowgauge.operators.schema import apply_schema
 from rowgauge.sources import quarantine, readers, writers
+from rowgauge.sources.workbooks import workbook_rows
 from workload.quality import ALL_METRICS, COUNTED, WITH
 from workload.registry import query
+from workload.workbook_fixture import workbooks
 from workload.types import EXPECTED, read_sql, valid_sql
 from workload.views import (
     DIRTY_ORDERS,
@@ -260,3 +262,11 @@ def _(spark, sf):
     nameless = dirty_orders(spark, sf).filter("o_custkey IS NULL").select("o_orderkey").distinct()
     found = quarantine.record_malformed(nameless, "orders", "MISSING_VALUE", "No customer")
     return found.drop("timestamp")
+
+
+@query("scan_xlsx", DIRTY)
+def _(spark, sf):
+    orders = _texts(dirty_orders(spark, sf)).withColumn(
+        "o_custkey", F.col("o_custkey").cast("string")
+    )
+    return _typed(workbook_rows(workbooks(orders), orders.columns))
