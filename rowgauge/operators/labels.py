@@ -140,9 +140,16 @@ def correlation_importance(
     if not names:
         raise ValueError("no numeric feature column")
     target = cell(label).cast("double")
-    found = [F.corr(cell(n).cast("double"), target).alias(f"c{i}") for i, n in enumerate(names)]
+
+    def correlation(name: str) -> Column:
+        # corr() itself fails on a constant column under ANSI; this gives null.
+        x = F.when(target.isNotNull(), cell(name).cast("double"))
+        y = F.when(x.isNotNull(), target)
+        return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+
+    found = [correlation(n).alias(f"c{i}") for i, n in enumerate(names)]
     rows = [
-        F.struct(F.lit(n).alias("feature"), F.nanvl(F.col(f"c{i}"), F.lit(None).cast("double")).alias("correlation"))
+        F.struct(F.lit(n).alias("feature"), F.col(f"c{i}").alias("correlation"))
         for i, n in enumerate(names)
     ]
     return (

@@ -117,8 +117,9 @@ def quarantine_summary(bad: DataFrame) -> DataFrame:
     return bad.groupBy("dataset", "error_type").agg(F.count(F.lit(1)).alias("count"))
 
 
-def save_rejects(bad: DataFrame, path: str, mode: str = "overwrite") -> int | None:
-    """Write bad records as JSON lines; writes nothing when there are none."""
+def save_rejects(bad: DataFrame, path: str, mode: str = "overwrite") -> bool:
+    """Write bad records as JSON lines; write nothing and return False when there are none."""
     if bad.isEmpty():
-        return 0
-    return save_table(bad, path, "json", mode)
+        return False
+    save_table(bad, path, "json", mode)
+    return True

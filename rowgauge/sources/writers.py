@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,11 +44,8 @@ def _vectors_as_arrays(df: DataFrame) -> DataFrame:
 
 def save_table(
     df: DataFrame, path: str, format: str = "parquet", mode: str = "overwrite", **options
-) -> int | None:
-    """Write a table and return its row count, counted while writing.
-
-    The count is None for mode 'ignore', which may write nothing. CSV gets a header.
-    """
+) -> None:
+    """Write a table: one pass, no counting. CSV gets a header."""
     if format not in FORMATS:
         raise ValueError(f"Unsupported file format: {format}")
     if mode not in MODES:
@@ -59,18 +56,23 @@ def save_table(
         settings.setdefault("header", "true")
     elif format == "json":
         df = _vectors_as_arrays(df)
-    if mode == "ignore":
-        df.write.format(format).mode(mode).options(**settings).save(path)
-        return None
-    seen = Observation()
-    counted = df.observe(seen, F.count(F.lit(1)).alias("rows"))
-    counted.write.format(format).mode(mode).options(**settings).save(path)
-    return seen.get["rows"]
+    df.write.format(format).mode(mode).options(**settings).save(path)
+
+
+def saved_rows(spark: SparkSession, path: str, format: str = "parquet") -> int:
+    """Rows of a saved table, from the files rather than by computing the table again.
+
+    Parquet answers from its footers; CSV is taken to have the header save_table writes.
+    """
+    reader = spark.read.format(format)
+    if format == "csv":
+        reader = reader.option("header", "true")
+    return reader.load(path).count()
 
 
-def save_metrics(metrics: DataFrame, path: str, mode: str = "overwrite") -> int | None:
+def save_metrics(metrics: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Write a metrics frame as JSON lines."""
-    return save_table(metrics, path, "json", mode)
+    save_table(metrics, path, "json", mode)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
