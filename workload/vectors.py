@@ -23,7 +23,17 @@ from workload.quality import (
     age_of,
 )
 from workload.registry import query
-from workload.views import REFERENCE_DATE, dirty_orders, sql_rounded, table
+from workload.views import (
+    REFERENCE_DATE,
+    WIDE_COLUMNS,
+    WIDE_NULLS,
+    dirty_orders,
+    sql_age,
+    sql_percent,
+    sql_rounded,
+    table,
+    wide_nulls,
+)
 
 NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 KEYS = ["l_orderkey", "l_linenumber"]
@@ -142,3 +152,27 @@ def full_pipeline(spark, sf):
 @query("quick_assessment", f"{WITH}, {COUNTED} {ALL_METRICS}")
 def _(spark, sf):
     return assess.quick_assessment(dirty_orders(spark, sf), REFERENCE_DATE)
+
+
+_WIDE_NULLS = " + ".join(f"CAST({c} IS NULL AS INTEGER)" for c in WIDE_COLUMNS)
+_WIDE_FILLED = " + ".join(f"count({c})" for c in WIDE_COLUMNS)
+_N = len(WIDE_COLUMNS)
+
+
+@query(
+    "wide_assessment",
+    f"WITH {WIDE_NULLS}, u AS (SELECT DISTINCT * FROM wide_nulls), d AS (SELECT "
+    f"{sql_percent(_WIDE_FILLED, f'count(*) * {_N}')} AS dc, "
+    f"{sql_percent('(SELECT count(*) FROM u)', 'count(*)')} AS du, "
+    f"{sql_age('max(l_shipdate)')} AS dt FROM wide_nulls), r AS (SELECT *, row_number() OVER ("
+    f"PARTITION BY {', '.join(WIDE_COLUMNS)} ORDER BY 1) AS rn, {_WIDE_NULLS} AS nulls FROM wide_nulls) "
+    f"SELECT l_orderkey, l_linenumber, "
+    f"{sql_rounded(f'CAST({_N} - nulls AS DOUBLE) / {_N} * 100', 6)} AS row_completeness, "
+    f"{sql_rounded(f'CAST({_N} - nulls AS DOUBLE) / {_N} * 100', 6)} AS row_accuracy, "
+    f"CAST(rn > 1 AS DOUBLE) AS is_duplicate, coalesce({sql_age('l_shipdate')}, 100.0) AS row_timeliness, "
+    "dc AS dataset_completeness, dc AS dataset_accuracy, du AS dataset_consistency, "
+    "dt AS dataset_timeliness FROM r, d",
+)
+def _(spark, sf):
+    found = assess.assessed_rows(wide_nulls(spark, sf), REFERENCE_DATE)
+    return components(found, "quality_feature_vector", ["l_orderkey", "l_linenumber"], VECTOR)
