@@ -20,7 +20,7 @@ DATE_PATTERNS = ["yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy", "dd-MM-yyyy"]
 
 INT_TEXT = r"^ *[+-]?[0-9]+ *$"
 FLOAT_TEXT = r"^ *[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)? *$"
-FLOAT_WORD = r"^ *[+-]?(inf|infinity|nan) *$"
+FLOAT_WORD = r"^(?i) *[+-]?(inf|infinity|nan) *$"
 
 # Type names in order of preference; the position breaks ties of the majority vote.
 TYPE_NAMES = ["int", "float", "bool", "timestamp", "date", "string"]
@@ -45,7 +45,7 @@ def is_int(text: Column) -> Column:
 
 
 def is_float(text: Column) -> Column:
-    return text.rlike(FLOAT_TEXT) | F.lower(text).rlike(FLOAT_WORD)
+    return text.rlike(FLOAT_TEXT) | text.rlike(FLOAT_WORD)
 
 
 def is_bool(text: Column) -> Column:
@@ -79,12 +79,13 @@ def _shape(pattern: str) -> str:
 
 
 def _read_moment(text: Column, patterns: list[str]) -> Column:
-    return F.coalesce(
-        *[
-            F.when(text.rlike(_shape(p)), F.try_to_timestamp(text, F.lit(p)))
-            for p in patterns
-        ]
-    )
+    """First pattern whose shape fits; the length is tested first, as it costs next to nothing."""
+    read = None
+    for pattern in patterns:
+        fits = (F.length(text) == len(pattern.replace("'T'", "T"))) & text.rlike(_shape(pattern))
+        moment = F.try_to_timestamp(text, F.lit(pattern))
+        read = F.when(fits, moment) if read is None else read.when(fits, moment)
+    return read
 
 
 def read_timestamp(text: Column) -> Column:
@@ -97,9 +98,24 @@ def read_date(text: Column) -> Column:
 
 def value_type(text: Column) -> Column:
     """Name of the first type the value reads as; 'string' for missing and for the rest."""
+    return _first_type(text, F.lit("string"), F.lit("int"))
+
+
+def value_kind(text: Column) -> Column:
+    """Like `value_type`, with 'missing' apart, and whole numbers as 'int', 'wide' (64 bits) or
+    'huge' (more)."""
+    whole = (
+        F.when(read_int(text).isNotNull(), "int")
+        .when(read_long(text).isNotNull(), "wide")
+        .otherwise("huge")
+    )
+    return _first_type(text, F.lit("missing"), whole)
+
+
+def _first_type(text: Column, missing: Column, whole: Column) -> Column:
     return (
-        F.when(is_missing(text), "string")
-        .when(is_int(text), "int")
+        F.when(is_missing(text), missing)
+        .when(is_int(text), whole)
         .when(is_float(text), "float")
         .when(is_bool(text), "bool")
         .when(read_timestamp(text).isNotNull(), "timestamp")

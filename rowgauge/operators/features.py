@@ -22,9 +22,11 @@ def null_percentages(df: DataFrame, columns: Iterable[str] | None = None) -> Dat
     )
 
 
-def cardinality(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
+def cardinality(
+    df: DataFrame, columns: Iterable[str] | None = None, scans: str = "shared"
+) -> DataFrame:
     """(column_name, cardinality): distinct values, NULL included, as a share of all rows."""
-    return distinct_profile(df, columns).select(
+    return distinct_profile(df, columns, scans).select(
         "column_name", percent(F.col("distinct_values"), F.col("rows")).alias("cardinality")
     )
 
@@ -38,11 +40,13 @@ def numeric_stats(df: DataFrame, columns: Iterable[str] | None = None) -> DataFr
     )
 
 
-def column_features(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
+def column_features(
+    df: DataFrame, columns: Iterable[str] | None = None, scans: str = "shared"
+) -> DataFrame:
     """Null share, cardinality and statistics per column; statistics null if not numeric."""
     names = chosen(df, columns)
     profile = column_profile(df, names, stats=True)
-    distinct = distinct_profile(df, names)
+    distinct = distinct_profile(df, names, scans)
     # Both sides hold one row per column of the table.
     return profile.join(distinct.select("ordinal", "distinct_values"), "ordinal").select(
         "column_name",
@@ -72,7 +76,9 @@ def dataset_features(df: DataFrame, columns: Iterable[str] | None = None) -> Dat
     )
 
 
-def features_summary(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
+def features_summary(
+    df: DataFrame, columns: Iterable[str] | None = None, scans: str = "shared"
+) -> DataFrame:
     """All features as long rows (level, feature, column_name, value)."""
     names = chosen(df, columns)
 
@@ -96,7 +102,7 @@ def features_summary(df: DataFrame, columns: Iterable[str] | None = None) -> Dat
     )
     numbers = ["count", "mean", "stddev", "min", "max"]
     by_column = spread(
-        column_features(df, names),
+        column_features(df, names, scans),
         "column",
         F.col("column_name"),
         ["null_percentage", "cardinality", *numbers],

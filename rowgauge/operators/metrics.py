@@ -96,10 +96,12 @@ def consistency_dataset(df: DataFrame) -> DataFrame:
     )
 
 
-def consistency_column(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
+def consistency_column(
+    df: DataFrame, columns: Iterable[str] | None = None, scans: str = "shared"
+) -> DataFrame:
     """Distinct values, NULL being one of them, as a share of all rows."""
     return _column(
-        distinct_profile(df, columns),
+        distinct_profile(df, columns, scans),
         "consistency",
         percent(F.col("distinct_values"), F.col("rows")),
     )
@@ -130,11 +132,13 @@ def timeliness_column(
 def all_metrics(
     df: DataFrame,
     reference_date: str | datetime.date | datetime.datetime | None = None,
+    scans: str = "shared",
 ) -> DataFrame:
     """The four metrics on both levels: three passes over the input, as one Spark query.
 
     One aggregate without a shuffle of rows serves completeness, accuracy and timeliness; one
     shuffle of values serves column consistency; one shuffle of rows dataset consistency.
+    `scans` is passed on to `distinct_profile`.
     """
     profile = column_profile(df, freshness=True, reference_date=reference_date)
     share = percent(F.col("filled"), F.col("rows"))
@@ -181,7 +185,7 @@ def all_metrics(
     return (
         of_dataset.unionAll(consistency_dataset(df))
         .unionAll(by_column)
-        .unionAll(consistency_column(df))
+        .unionAll(consistency_column(df, scans=scans))
     )
 
 

@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import datetime
 from collections.abc import Iterable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -127,10 +128,33 @@ def value_frequencies(df: DataFrame, columns: Iterable[str] | None = None) -> Da
     )
 
 
-def distinct_profile(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
-    """(ordinal, column_name, rows, nulls, distinct_values); NULL counts as one value."""
+def column_listing(spark: SparkSession, names: list[str]) -> DataFrame:
+    """(ordinal, column_name): one row per name."""
+    position = F.col("id").cast("int")
+    return spark.range(0, len(names), 1, 1).select(
+        position.alias("ordinal"),
+        F.get(F.array(*[F.lit(name) for name in names]), position).alias("column_name"),
+    )
+
+
+def distinct_profile(
+    df: DataFrame, columns: Iterable[str] | None = None, scans: str = "shared"
+) -> DataFrame:
+    """(ordinal, column_name, rows, nulls, distinct_values); NULL counts as one value.
+
+    'shared' scans the input once and suits any source and any number of columns. With
+    'per_column' each column has its own narrow scan and aggregate, all in one job: about twice
+    as fast on a columnar file, where every column is still read once, but it computes a
+    row-wise or derived input once per column.
+    """
     names = chosen(df, columns)
-    is_null = F.coalesce("whole", F.col("real").cast("string"), "text").isNull()
+    if scans == "per_column":
+        return reduce(
+            DataFrame.unionAll, [_distinct_values(df, i, name) for i, name in enumerate(names)]
+        )
+    if scans != "shared":
+        raise ValueError(f"unknown kind of scans: {scans}")
+    is_null = F.col("whole").isNull() & F.col("real").isNull() & F.col("text").isNull()
     counted = (
         value_frequencies(df, names)
         .groupBy("ordinal")
@@ -141,19 +165,29 @@ def distinct_profile(df: DataFrame, columns: Iterable[str] | None = None) -> Dat
         )
     )
     # Listing the columns first keeps those of an empty table in the result.
-    listing = df.sparkSession.range(0, len(names), 1, 1).select(
-        F.col("id").cast("int").alias("ordinal"),
-        F.get(F.array(*[F.lit(name) for name in names]), F.col("id").cast("int")).alias(
-            "column_name"
-        ),
-    )
-    return listing.join(counted, "ordinal", "left").select(
+    return column_listing(df.sparkSession, names).join(counted, "ordinal", "left").select(
         "ordinal",
         "column_name",
         *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("rows", "nulls", "distinct_values")],
     )
 
 
+def _distinct_values(df: DataFrame, ordinal: int, name: str) -> DataFrame:
+    """The same counts for one column, from an aggregate of its own."""
+    copies = F.col(COPIES)
+    return (
+        df.select(comparable(cell(name), df.schema[name].dataType).alias("value"))
+        .groupBy("value")
+        .agg(F.count(F.lit(1)).alias(COPIES))
+        .agg(
+            F.coalesce(F.sum(copies), F.lit(0)).alias("rows"),
+            F.coalesce(F.sum(F.when(F.col("value").isNull(), copies)), F.lit(0)).alias("nulls"),
+            F.count(F.lit(1)).alias("distinct_values"),
+        )
+        .select(F.lit(ordinal).alias("ordinal"), F.lit(name).alias("column_name"), "*")
+    )
+
+
 def row_copies(df: DataFrame) -> DataFrame:
     """Each distinct row once, with `copies`; nulls are equal and maps compare by content."""
     keys = [comparable(cell(f.name), f.dataType).alias(f.name) for f in df.schema.fields]

@@ -13,14 +13,12 @@ from rowgauge.functions.typing import (
     SPARK_TYPES,
     TYPE_NAMES,
     fits_type,
-    is_int,
-    is_missing,
     read_as,
-    read_int,
-    read_long,
     type_name_of,
+    value_kind,
     value_type,
 )
+from rowgauge.operators.profile import column_listing
 
 
 def infer_value_types(df: DataFrame, column: str, output: str = "value_type") -> DataFrame:
@@ -32,36 +30,26 @@ def type_votes(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame
     """One row per column with the number of values of each type.
 
     (ordinal, column_name, int, float, bool, timestamp, date, string, missing, wide, huge):
-    `wide` counts whole numbers beyond 32 bits, `huge` those beyond 64. One aggregate over one
-    scan; the type of a value is worked out once, in a projection below the aggregate.
+    `wide` counts whole numbers beyond 32 bits, `huge` those beyond 64. One scan. The type test
+    is applied to an array of the row's cells, so the plan does not grow with the columns, and
+    the kinds are counted within each task before the shuffle.
     """
     names = chosen(df, columns)
-    typed = []
-    for i, name in enumerate(names):
-        text = cell(name).cast("string")
-        kind = (
-            F.when(is_missing(text), "missing")
-            .when(is_int(text) & read_long(text).isNull(), "huge")
-            .when(is_int(text) & read_int(text).isNull(), "wide")
-            .otherwise(value_type(text))
-        )
-        typed.append(kind.alias(f"k{i}"))
+    texts = F.array(*[cell(n).cast("string") for n in names])
     kinds = [*TYPE_NAMES, "missing", "wide", "huge"]
-    counts = [
-        F.count(F.when(F.col(f"k{i}") == kind, 1)).alias(f"{kind}_{i}")
-        for i in range(len(names))
-        for kind in kinds
-    ]
-    rows = [
-        F.struct(
-            F.lit(i).alias("ordinal"),
-            F.lit(name).alias("column_name"),
-            (F.col(f"int_{i}") + F.col(f"wide_{i}") + F.col(f"huge_{i}")).alias("int"),
-            *[F.col(f"{kind}_{i}").alias(kind) for kind in kinds if kind != "int"],
-        )
-        for i, name in enumerate(names)
-    ]
-    return df.select(*typed).agg(*counts).select(F.inline(F.array(*rows)))
+    counted = (
+        df.select(F.posexplode(F.transform(texts, value_kind)).alias("ordinal", "kind"))
+        .groupBy("ordinal")
+        .agg(*[F.count(F.when(F.col("kind") == kind, 1)).alias(kind) for kind in kinds])
+    )
+    votes = column_listing(df.sparkSession, names).join(counted, "ordinal", "left")
+    filled = {kind: F.coalesce(F.col(kind), F.lit(0)) for kind in kinds}
+    return votes.select(
+        "ordinal",
+        "column_name",
+        (filled["int"] + filled["wide"] + filled["huge"]).alias("int"),
+        *[filled[kind].alias(kind) for kind in kinds if kind != "int"],
+    )
 
 
 def infer_column_types(

@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from rowgauge.functions.cells import rounded
 from rowgauge.operators import classifier, labels, rows, sampling
 from rowgauge.plans.labeling import LabeledTable, label_pipeline, predict_labeled
 from workload.registry import query
-from workload.views import dirty_orders, sql_rounded, table
+from workload.views import dirty_orders, fixed, sql_fixed, table
 
 # Small forests: the queries show the operators, not a tuned model.
 TREES = 10
@@ -52,8 +51,8 @@ def _fitted(spark, sf):
     "UNION ALL SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 13 <> 0 THEN o_totalprice ELSE 0.0 END AS DOUBLE), "
     "CAST(CASE WHEN o_orderkey % 7 <> 0 THEN o_custkey ELSE 0 END AS DOUBLE) FROM orders WHERE o_orderkey % 10 = 0), "
     "s AS (SELECT avg(a) AS ma, stddev_samp(a) AS da, avg(b) AS mb, stddev_samp(b) AS db FROM f) "
-    f"SELECT o_orderkey, {sql_rounded('(b - mb) / db', 6)} AS o_custkey, CAST(0.0 AS DOUBLE) AS o_orderstatus, "
-    f"{sql_rounded('(a - ma) / da', 6)} AS o_totalprice FROM f, s",
+    f"SELECT o_orderkey, {sql_fixed('(b - mb) / db')} AS o_custkey, CAST(0.0 AS DOUBLE) AS o_orderstatus, "
+    f"{sql_fixed('(a - ma) / da')} AS o_totalprice FROM f, s",
 )
 def _(spark, sf):
     orders = dirty_orders(spark, sf).select(
@@ -63,7 +62,7 @@ def _(spark, sf):
     scaled = vector_to_array("scaled_features")
     return prepared.select(
         F.col("row_id").alias("o_orderkey"),
-        *[rounded(scaled[i], 6).alias(n) for i, n in enumerate(names)],
+        *[fixed(scaled[i]).alias(n) for i, n in enumerate(names)],
     )
 
 

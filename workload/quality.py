@@ -415,6 +415,6 @@ def _wide_row(c: str) -> str:
     "wide_profile", f"WITH {WIDE_NULLS} " + " UNION ALL ".join(_wide_row(c) for c in WIDE_COLUMNS)
 )
 def _(spark, sf):
-    return features.column_features(wide_nulls(spark, sf)).select(
+    return features.column_features(wide_nulls(spark, sf), scans="per_column").select(
         "column_name", "null_percentage", "cardinality"
     )

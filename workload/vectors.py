@@ -28,7 +28,9 @@ from workload.views import (
     WIDE_COLUMNS,
     WIDE_NULLS,
     dirty_orders,
+    fixed,
     sql_age,
+    sql_fixed,
     sql_percent,
     sql_rounded,
     table,
@@ -42,12 +44,12 @@ KEYS = ["l_orderkey", "l_linenumber"]
 def components(df, vector: str, keep: list[str], names: list[str], digits: int = 6):
     """A vector column as one rounded double column per component."""
     parts = vector_to_array(F.col(vector))
-    return df.select(*keep, *[rounded(parts[i], digits).alias(n) for i, n in enumerate(names)])
+    return df.select(*keep, *[fixed(parts[i], digits).alias(n) for i, n in enumerate(names)])
 
 
 def _norm_sql(norm: str) -> str:
     parts = ", ".join(
-        f"coalesce({sql_rounded(f'{c} / nullif({norm}, 0)', 6)}, 0.0) AS {c}" for c in NUMBERS
+        f"coalesce({sql_fixed(f'{c} / nullif({norm}, 0)')}, 0.0) AS {c}" for c in NUMBERS
     )
     return f"SELECT {', '.join(KEYS)}, {parts} FROM lineitem"
 
@@ -70,7 +72,7 @@ def _(spark, sf):
     + ", ".join(f"avg({c}) AS m_{c}, stddev_samp({c}) AS d_{c}" for c in NUMBERS)
     + f" FROM lineitem) SELECT {', '.join(KEYS)}, "
     + ", ".join(
-        f"coalesce({sql_rounded(f'({c} - m_{c}) / nullif(d_{c}, 0)', 6)}, 0.0) AS {c}"
+        f"coalesce({sql_fixed(f'({c} - m_{c}) / nullif(d_{c}, 0)')}, 0.0) AS {c}"
         for c in NUMBERS
     )
     + " FROM lineitem, s",
@@ -92,8 +94,8 @@ PARTS = [
 @query(
     "quality_vector",
     f"{WITH}, d AS (SELECT {FILLED_SHARE} AS dc, {age_of('o_orderdate')} AS dt FROM dirty_orders) "
-    f"SELECT o_orderkey, {sql_rounded(f'CAST({FILLED_IN_ROW} AS DOUBLE) / {WIDTH} * 100', 6)} "
-    f"AS row_completeness, {sql_rounded(f'CAST({FILLED_IN_ROW} AS DOUBLE) / {WIDTH} * 100', 6)} "
+    f"SELECT o_orderkey, {sql_fixed(f'CAST({FILLED_IN_ROW} AS DOUBLE) / {WIDTH} * 100')} "
+    f"AS row_completeness, {sql_fixed(f'CAST({FILLED_IN_ROW} AS DOUBLE) / {WIDTH} * 100')} "
     f"AS row_accuracy, {ROW_AGE} AS row_timeliness, dc AS dataset_completeness, "
     "dt AS dataset_timeliness FROM dirty_orders, d",
 )
@@ -128,7 +130,7 @@ def _(spark, sf):
 
 DATASET_PARTS = ["completeness", "accuracy", "consistency", "timeliness"]
 VECTOR = [*assess.ROW_FEATURES, *[f"dataset_{m}" for m in DATASET_PARTS]]
-_SHARE = sql_rounded(f"CAST({FILLED_IN_ROW} AS DOUBLE) / {WIDTH} * 100", 6)
+_SHARE = sql_fixed(f"CAST({FILLED_IN_ROW} AS DOUBLE) / {WIDTH} * 100")
 
 FULL = (
     f"{WITH}, {COUNTED}, {NUMBERED}, d AS (SELECT {FILLED_SHARE} AS dc, {DISTINCT_SHARE} AS du, "
@@ -167,8 +169,8 @@ _N = len(WIDE_COLUMNS)
     f"{sql_age('max(l_shipdate)')} AS dt FROM wide_nulls), r AS (SELECT *, row_number() OVER ("
     f"PARTITION BY {', '.join(WIDE_COLUMNS)} ORDER BY 1) AS rn, {_WIDE_NULLS} AS nulls FROM wide_nulls) "
     f"SELECT l_orderkey, l_linenumber, "
-    f"{sql_rounded(f'CAST({_N} - nulls AS DOUBLE) / {_N} * 100', 6)} AS row_completeness, "
-    f"{sql_rounded(f'CAST({_N} - nulls AS DOUBLE) / {_N} * 100', 6)} AS row_accuracy, "
+    f"{sql_fixed(f'CAST({_N} - nulls AS DOUBLE) / {_N} * 100')} AS row_completeness, "
+    f"{sql_fixed(f'CAST({_N} - nulls AS DOUBLE) / {_N} * 100')} AS row_accuracy, "
     f"CAST(rn > 1 AS DOUBLE) AS is_duplicate, coalesce({sql_age('l_shipdate')}, 100.0) AS row_timeliness, "
     "dc AS dataset_completeness, dc AS dataset_accuracy, du AS dataset_consistency, "
     "dt AS dataset_timeliness FROM r, d",

@@ -111,6 +111,17 @@ def sql_rounded(value: str, digits: int = 2) -> str:
     return f"CAST(round(CAST({value} AS DECIMAL(28,8)), {digits}) AS DOUBLE)"
 
 
+def fixed(value: Column, digits: int = 6) -> Column:
+    """A per-row double cut to some decimals for comparison; plain arithmetic, so it is cheap."""
+    scale = float(10**digits)
+    return F.floor(value * scale + 0.5) / scale
+
+
+def sql_fixed(value: str, digits: int = 6) -> str:
+    scale = f"{10**digits}.0::DOUBLE"
+    return f"floor(CAST({value} AS DOUBLE) * {scale} + 0.5::DOUBLE) / {scale}"
+
+
 def sql_age(moment: str, reference: str = REFERENCE_DATE) -> str:
     """Age score of a timestamp expression in SQL."""
     return (
