@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import datetime
-from typing import NamedTuple
+from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,15 +31,6 @@ Moment = str | datetime.date | datetime.datetime | None
 ROW_FEATURES = ["row_completeness", "row_accuracy", "is_duplicate", "row_timeliness"]
 
 
-class Assessment(NamedTuple):
-    """Lazy frames; each is computed when the caller asks for it."""
-
-    rows: DataFrame
-    metrics: DataFrame
-    features: DataFrame
-    validation: DataFrame | None
-
-
 def _dataset_values(df: DataFrame, counted: DataFrame, reference_date: Moment) -> DataFrame:
     """One row with the four dataset metrics, out of the distinct rows and their copies."""
     names = df.columns
@@ -92,16 +84,42 @@ def assessed_rows(df: DataFrame, reference_date: Moment = None) -> DataFrame:
     )
 
 
-def assess(df: DataFrame, reference_date: Moment = None, validate: bool = True) -> Assessment:
-    """The full assessment of a table."""
-    return Assessment(
-        rows=assessed_rows(df, reference_date),
-        metrics=all_metrics(df, reference_date),
-        features=features_summary(df),
-        validation=validate_all(df) if validate else None,
-    )
+@dataclass(frozen=True)
+class Assessment:
+    """The full assessment of a table. Each frame is planned, and run, when it is asked for."""
+
+    table: DataFrame
+    reference_date: Moment = None
+    scans: str = "shared"
+
+    @cached_property
+    def rows(self) -> DataFrame:
+        """Every row with its metrics, features and quality vector."""
+        return assessed_rows(self.table, self.reference_date)
+
+    @cached_property
+    def metrics(self) -> DataFrame:
+        """The four metrics per dataset and column."""
+        return all_metrics(self.table, self.reference_date, self.scans)
+
+    @cached_property
+    def features(self) -> DataFrame:
+        """Column and dataset features as long rows."""
+        return features_summary(self.table, scans=self.scans)
+
+    @cached_property
+    def validation(self) -> DataFrame:
+        """One verdict per check."""
+        return validate_all(self.table)
+
+
+def assess(df: DataFrame, reference_date: Moment = None, scans: str = "shared") -> Assessment:
+    """The full assessment of a table; `scans` is passed on to `distinct_profile`."""
+    return Assessment(df, reference_date, scans)
 
 
-def quick_assessment(df: DataFrame, reference_date: Moment = None) -> DataFrame:
+def quick_assessment(
+    df: DataFrame, reference_date: Moment = None, scans: str = "shared"
+) -> DataFrame:
     """Dataset and column metrics only."""
-    return all_metrics(df, reference_date)
+    return all_metrics(df, reference_date, scans)

@@ -146,7 +146,7 @@ FULL = (
 @query("full_pipeline", FULL)
 def full_pipeline(spark, sf):
     df = dirty_orders(spark, sf)
-    found = assess.assess(df, REFERENCE_DATE, validate=False).rows
+    found = assess.assess(df, REFERENCE_DATE).rows
     keep = [*df.columns, "null_count", "valid_types_count"]
     return components(found, "quality_feature_vector", keep, VECTOR)
 
