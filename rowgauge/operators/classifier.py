@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from rowgauge.functions.cells import cell
-from rowgauge.operators.evaluate import acceptance_gate, auc_roc, weighted_metrics
+from rowgauge.operators.evaluate import evaluate_weighted
 from rowgauge.operators.sampling import assign_folds
 from rowgauge.operators.schema import numeric_features
 
@@ -97,7 +97,7 @@ class RecordClassifier:
 
     def evaluate(self, df: DataFrame) -> DataFrame:
         """One row: weighted metrics, AUC, sample count and the acceptance gate."""
-        return evaluate_predictions(self.predict(df), self.target)
+        return evaluate_weighted(self.predict(df), self.target, "prediction", "score")
 
     def importance(self, top: int = TOP_FEATURES) -> DataFrame:
         """(feature, importance), highest first. The model holds one number per feature."""
@@ -108,15 +108,6 @@ class RecordClassifier:
         return ranked.orderBy(F.desc("importance"), "feature").limit(top)
 
 
-def evaluate_predictions(
-    predicted: DataFrame, target: str, by: str | None = None
-) -> DataFrame:
-    """(dataset, samples, weighted metrics, auc_roc, accepted) of predictions and scores."""
-    weighted = weighted_metrics(predicted, target, "prediction", by)
-    area = auc_roc(predicted, target, "score", by)
-    return acceptance_gate(weighted.join(area, "dataset"))
-
-
 def train_random_forest(
     df: DataFrame,
     target: str = "ground_truth",
@@ -187,7 +178,8 @@ def cross_validate(
             predictions.append(
                 fitted.predict(held_out).select(cell(target), "fold_id", "prediction", "score")
             )
-        scores = evaluate_predictions(reduce(DataFrame.unionAll, predictions), target, "fold_id")
+        held_out_all = reduce(DataFrame.unionAll, predictions)
+        scores = evaluate_weighted(held_out_all, target, "prediction", "score", "fold_id")
         names = ["f1_score", "precision", "recall", "auc_roc"]
         columns = ["weighted_f1", "weighted_precision", "weighted_recall", "auc_roc"]
         rows = F.array(

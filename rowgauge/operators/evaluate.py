@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 
 from rowgauge.functions.cells import cell, percent
 
-# Thresholds of the acceptance gate, name of the pooled group.
+# Thresholds of the acceptance gate, names of the pooled group and
+# of rows without a group.
 MIN_PRECISION = 0.80
 MIN_RECALL = 0.75
 MIN_F1 = 0.77
 POOLED = "combined"
+UNNAMED = "(none)"
 
 # The ranking is cut into STEP * STEP score ranges, found in two steps of STEP comparisons.
 STEP = 32
@@ -29,17 +31,25 @@ def _zero_safe(part: Column, whole: Column) -> Column:
 
 
 def outcome_counts(
-    scored: DataFrame, truth: str, predicted: str, by: str | None = None
+    scored: DataFrame,
+    truth: str,
+    predicted: str | None = None,
+    score: str | None = None,
+    by: str | None = None,
 ) -> DataFrame:
-    """(dataset, truth, predicted, n)."""
-    group = F.lit(POOLED) if by is None else cell(by).cast("string")
+    """(dataset, truth [, predicted] [, score], n): the one pass over the scored rows.
+
+    What follows works on these counts. Measures taken from the same counts share the pass.
+    """
+    group = F.lit(POOLED) if by is None else F.coalesce(cell(by).cast("string"), F.lit(UNNAMED))
+    keys = {"dataset": group, "truth": cell(truth).cast("int")}
+    if predicted is not None:
+        keys["predicted"] = cell(predicted).cast("int")
+    if score is not None:
+        keys["score"] = cell(score).cast("double")
     return (
-        scored.select(
-            group.alias("dataset"),
-            cell(truth).cast("int").alias("truth"),
-            cell(predicted).cast("int").alias("predicted"),
-        )
-        .groupBy("dataset", "truth", "predicted")
+        scored.select(*[value.alias(name) for name, value in keys.items()])
+        .groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
@@ -57,15 +67,20 @@ def confusion_matrix(
 
     With `pooled`, a row 'combined' over all datasets is added.
     """
-    counts = outcome_counts(scored, truth, predicted, by)
-    if pooled and by is not None:
-        counts = _with_pooled(counts, ["truth", "predicted"], ["n"])
+    counts = outcome_counts(scored, truth, predicted, by=by)
+    return _confusion(counts, pooled and by is not None)
+
+
+def _confusion(counts: DataFrame, pooled: bool) -> DataFrame:
+    cells = counts.groupBy("dataset", "truth", "predicted").agg(F.sum("n").alias("n"))
+    if pooled:
+        cells = _with_pooled(cells, ["truth", "predicted"], ["n"])
 
     def total(condition: Column) -> Column:
         return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
 
     t, p = F.col("truth"), F.col("predicted")
-    return counts.groupBy("dataset").agg(
+    return cells.groupBy("dataset").agg(
         F.sum("n").alias("n_samples"),
         total(t == 1).alias("n_positive"),
         total(t == 0).alias("n_negative"),
@@ -101,6 +116,10 @@ def weighted_metrics(
 
     Each class counts with its share of the labels.
     """
+    return _weighted(outcome_counts(scored, truth, predicted, by=by))
+
+
+def _weighted(counts: DataFrame) -> DataFrame:
     n, t, p = F.col("n"), F.col("truth"), F.col("predicted")
     none = F.lit(0).cast("bigint")
     # Each count speaks for the class it was labeled as and for the class it was predicted as.
@@ -112,8 +131,7 @@ def weighted_metrics(
         F.struct(p.alias("class"), none.alias("labeled"), n.alias("guessed"), none.alias("hit")),
     )
     per_class = (
-        outcome_counts(scored, truth, predicted, by)
-        .select("dataset", F.inline(sides))
+        counts.select("dataset", F.inline(sides))
         .groupBy("dataset", "class")
         .agg(*[F.sum(c).alias(c) for c in ("labeled", "guessed", "hit")])
     )
@@ -140,21 +158,18 @@ def auc_roc(
     from a running sum inside the range, pairs across ranges from the range totals. So no task
     orders more than one range of one dataset, and where the cuts fall does not change the sum.
     """
-    group = F.lit(POOLED) if by is None else cell(by).cast("string")
-    counts = (
-        scored.select(
-            group.alias("dataset"),
-            cell(score).cast("double").alias("score"),
-            cell(truth).cast("int").alias("truth"),
-        )
-        .filter(F.col("score").isNotNull() & F.col("truth").isNotNull())
-        .groupBy("dataset", "score")
-        .agg(
-            F.count(F.when(F.col("truth") == 1, 1)).alias("pos"),
-            F.count(F.when(F.col("truth") == 0, 1)).alias("neg"),
-        )
+    return _area(outcome_counts(scored, truth, score=score, by=by), pooled and by is not None)
+
+
+def _area(outcomes: DataFrame, pooled: bool) -> DataFrame:
+    # Rows without a score or label count as nothing rather than being filtered out: a filter
+    # would move below the counts and keep them from being shared with other measures.
+    n = F.when(F.col("score").isNotNull(), F.col("n"))
+    counts = outcomes.groupBy("dataset", "score").agg(
+        F.coalesce(F.sum(F.when(F.col("truth") == 1, n)), F.lit(0)).alias("pos"),
+        F.coalesce(F.sum(F.when(F.col("truth") == 0, n)), F.lit(0)).alias("neg"),
     )
-    if pooled and by is not None:
+    if pooled:
         counts = _with_pooled(counts, ["score"], ["pos", "neg"])
     # One text literal instead of a thousand number literals keeps the plan small.
     fractions = F.split(
@@ -211,12 +226,18 @@ def evaluate(
     pooled: bool = True,
 ) -> DataFrame:
     """Confusion counts, binary metrics and AUC per dataset, and pooled as 'combined'."""
-    binary = binary_metrics(scored, truth, predicted, by, pooled)
-    area = auc_roc(scored, truth, score, by, pooled)
-    # One row per dataset on both sides. A dataset without any score has no area.
-    return binary.join(area, "dataset", "left").withColumn(
-        "auc_roc", F.coalesce("auc_roc", F.lit(0.0))
-    )
+    counts = outcome_counts(scored, truth, predicted, score, by)
+    both = pooled and by is not None
+    # One row per dataset on both sides.
+    return with_binary_metrics(_confusion(counts, both)).join(_area(counts, both), "dataset")
+
+
+def evaluate_weighted(
+    scored: DataFrame, truth: str, predicted: str, score: str, by: str | None = None
+) -> DataFrame:
+    """(dataset, samples, weighted metrics, auc_roc, accepted), from one pass as well."""
+    counts = outcome_counts(scored, truth, predicted, score, by)
+    return acceptance_gate(_weighted(counts).join(_area(counts, False), "dataset"))
 
 
 def evaluation_summary(evaluation: DataFrame) -> DataFrame:

@@ -113,3 +113,14 @@ def test_area_with_hot_score(spark):
     data = np.array([(r.t, r.s) for r in frame.collect()])
     assert found == pytest.approx(area_by_pairs(data[:, 0], data[:, 1]), abs=1e-12)
     frame.unpersist()
+
+
+def test_evaluation_passes_over_the_rows_once(spark, tmp_path):
+    path = str(tmp_path / "scored")
+    spark.range(300).select(
+        (F.col("id") % 2).cast("int").alias("t"), (F.col("id") % 3 % 2).cast("int").alias("p"),
+        (F.col("id") % 11 / 11).alias("s"), (F.col("id") % 4).cast("string").alias("g"),
+    ).write.parquet(path)
+    plan = final_plan(evaluate.evaluate(spark.read.parquet(path), "t", "p", "s", "g"))
+    final = plan[: plan.index("== Initial Plan ==", plan.rindex("ReusedExchange"))]
+    assert "ReusedExchange" in final
