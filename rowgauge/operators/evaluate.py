@@ -175,7 +175,7 @@ def _area(outcomes: DataFrame, pooled: bool) -> DataFrame:
     fractions = F.split(
         F.lit(" ".join(str(i / STEP**2) for i in range(1, STEP**2))), " "
     ).cast("array<double>")
-    cuts = counts.agg(F.percentile_approx("score", fractions).alias("fine")).select(
+    cuts = counts.agg(F.percentile_approx("score", fractions, 4 * STEP**2).alias("fine")).select(
         F.struct(
             "fine",
             F.filter("fine", lambda _, i: i % STEP == STEP - 1).alias("coarse"),

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from rowgauge.functions.cells import cell
 from rowgauge.operators import metrics, schema, validate
 from workload.registry import query
-from workload.views import RAW_STRINGS, raw_strings, sql_percent
+from workload.views import DIRTY_ORDERS, RAW_STRINGS, dirty_orders, raw_strings, sql_percent, table
 
 TEXTS = ["s", "i", "f", "b", "d", "t"]
 EXPECTED = {"i": "int", "f": "float", "b": "bool", "d": "date", "t": "timestamp"}
@@ -89,21 +89,29 @@ def _(spark, sf):
     return schema.infer_column_types(raw_strings(spark, sf), TEXTS)
 
 
+_STRICT = {
+    "o_orderkey": "CAST(o_orderkey AS VARCHAR)",
+    "o_totalprice": "CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR)",
+    "o_orderdate": "strftime(o_orderdate, '%Y-%m-%d %H:%M:%S')",
+    "o_orderstatus": "o_orderstatus",
+}
+
+
+def _strict_sql(ordinal: int, c: str) -> str:
+    kinds = f"(SELECT DISTINCT {type_sql(_STRICT[c])} AS ty FROM dirty_orders WHERE {c} IS NOT NULL)"
+    return (
+        f"SELECT {ordinal} AS ordinal, '{c}' AS column_name, CASE WHEN count(*) = 1 THEN max(ty) "
+        f"WHEN count(*) = count(*) FILTER (ty IN ('int', 'float')) THEN 'float' ELSE 'string' END "
+        f"AS inferred_type FROM {kinds}"
+    )
+
+
 @query(
     "infer_column_type_strict",
-    " UNION ALL ".join(
-        f"SELECT {i} AS ordinal, '{c}' AS column_name, '{t}' AS inferred_type"
-        for i, (c, t) in enumerate(
-            {"o_orderkey": "int", "o_totalprice": "float", "o_orderdate": "timestamp",
-             "o_orderstatus": "string"}.items()
-        )
-    ),
+    f"WITH {DIRTY_ORDERS} " + " UNION ALL ".join(_strict_sql(i, c) for i, c in enumerate(_STRICT)),
 )
 def _(spark, sf):
-    from workload.views import dirty_orders
-
-    orders = dirty_orders(spark, sf)
-    texts = orders.select(
+    texts = dirty_orders(spark, sf).select(
         F.col("o_orderkey").cast("string"),
         F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("o_totalprice"),
         F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("o_orderdate"),
@@ -199,8 +207,6 @@ def _(spark, sf):
     "END AS status FROM (SELECT column_name FROM (DESCRIBE orders) UNION ALL SELECT 'o_note')",
 )
 def _(spark, sf):
-    from workload.views import table
-
     expected = T.StructType(
         [
             T.StructField("o_orderkey", T.LongType()),
