@@ -15,6 +15,9 @@ LCG_FACTOR = 1_103_515_245
 LCG_STEP = 12_345
 LCG_MODULUS = 2_147_483_648
 
+# Number of values a draw can take.
+DRAWS = 2**32
+
 
 def digest(key: str, seed: int) -> Column:
     """MD5 of 'key:seed' as hex text; sorting by it gives a random order."""

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowgauge.functions.cells import cell, percent, quoted, ratio
-from rowgauge.functions.draws import digest, draw, drawn_index
+from rowgauge.functions.draws import DRAWS, digest, draw, drawn_index
 
 # Sample columns of a labeling template.
 LABEL_DIMENSIONS = ["completeness", "consistency", "validity", "accuracy"]
@@ -17,6 +17,13 @@ LABEL_COLUMN = "final_label"
 # Length of the digest prefix that numbers buckets.
 BUCKET_CHARS = 4
 
+# Strata up to this number are counted into a small local table that may be broadcast.
+MAX_STRATA = 100_000
+
+# Rows drawn per row wanted of a stratum before sorting, and rows drawn on top of that.
+OVERDRAW = 3
+SPARE = 60
+
 # Shares a hot stratum is split into when Spark cannot prune it before the shuffle.
 SALTS = 64
 
@@ -71,7 +78,7 @@ def _first_of_stratum(df: DataFrame, stratum: str, key: str, seed: int, most: in
     a hot stratum whole.
     """
     order = [F.col("__digest"), cell(key)]
-    rows = df.filter(cell(stratum).isNotNull()).withColumn("__digest", digest(key, seed))
+    rows = df.withColumn("__digest", digest(key, seed))
     threshold = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
     if most > threshold:
         salt = F.pmod(F.xxhash64("__digest"), F.lit(SALTS))
@@ -90,21 +97,61 @@ def _first_of_stratum(df: DataFrame, stratum: str, key: str, seed: int, most: in
     )
 
 
+def _early_rows(
+    present: DataFrame, quotas: DataFrame, stratum: str, key: str, seed: int
+) -> tuple[DataFrame, DataFrame]:
+    """The rows whose draw is low enough for them to be chosen, and the quotas.
+
+    Draws are uniform, so a stratum's first rows lie below a limit that follows from its quota
+    and size. Rows above it are dropped where they are read, which leaves a few times the sample
+    size to sort. A stratum with fewer rows below its limit than its quota, which can hardly
+    happen, keeps all its rows. With more than MAX_STRATA strata nothing is dropped here.
+    """
+    small = quotas.limit(MAX_STRATA + 1).toArrow()
+    if small.num_rows > MAX_STRATA:
+        return present, quotas
+    spark = present.sparkSession
+    quotas = spark.createDataFrame(small)
+    wanted = F.col("__quota") * OVERDRAW + SPARE
+    limits = quotas.withColumn(
+        "__limit", F.least(F.lit(DRAWS), F.ceil(wanted / F.col("n") * DRAWS))
+    )
+
+    def below(rows: DataFrame) -> DataFrame:
+        limited = rows.join(F.broadcast(limits), stratum)
+        return limited.filter(draw(key, seed) < F.col("__limit"))
+
+    found = below(present.select(cell(stratum), cell(key))).groupBy(quoted(stratum)).agg(
+        F.count(F.lit(1)).alias("__found")
+    )
+    enough = F.coalesce(F.col("__found"), F.lit(0)) >= F.least("__quota", "n")
+    short = limits.join(found, stratum, "left").filter(~enough).select(cell(stratum)).toArrow()
+    if short.num_rows:
+        whole = spark.createDataFrame(short).withColumn("__whole", F.lit(True))
+        limits = limits.join(whole, stratum, "left").withColumn(
+            "__limit", F.when(F.col("__whole"), F.lit(DRAWS)).otherwise(F.col("__limit"))
+        )
+    return below(present).select(*[cell(n) for n in present.columns]), quotas
+
+
 def stratified_sample(
     df: DataFrame, stratum: str, key: str, total: int, seed: int = 42
 ) -> DataFrame:
     """Proportional sample without replacement: max(1, floor(total * share)) rows a stratum.
 
-    Rows are pruned to at most `total` per stratum before the counts are joined on, so the join
-    is between a small frame and one row per stratum.
+    Counts the strata, then checks the draw limits: two jobs that read two columns. The sample
+    itself then sorts a few times its own size, whatever the size of the table or a stratum.
     """
     names = df.columns
     quotas = strata_profile(df, stratum).select(
         quoted(stratum),
+        "n",
         F.greatest(F.lit(1), F.floor(F.lit(total) * F.col("share"))).alias("__quota"),
     )
+    present = df.filter(cell(stratum).isNotNull())
+    rows, quotas = _early_rows(present, quotas, stratum, key, seed)
     return (
-        _first_of_stratum(df, stratum, key, seed, max(1, total))
+        _first_of_stratum(rows, stratum, key, seed, max(1, total))
         .join(quotas, stratum)
         .filter(F.col("__rank") <= F.col("__quota"))
         .select(*[cell(n) for n in names])
@@ -174,7 +221,7 @@ def label_template(df: DataFrame, key: str, context: Iterable[str] = ()) -> Data
 
 def split_mark(key: str, train: float = 0.8, seed: int = 42) -> Column:
     """'train' or 'test' by the key's draw: no shuffle, stable under repartitioning."""
-    limit = int(train * 2**32)
+    limit = int(train * DRAWS)
     return F.when(draw(key, seed) < limit, "train").otherwise("test")
 
 

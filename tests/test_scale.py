@@ -53,17 +53,46 @@ def test_completeness_shuffles_no_rows(skewed):
 
 def test_small_sample_is_cut_before_the_shuffle(skewed):
     sample = sampling.stratified_sample(skewed.filter("id >= 0"), "t", "id", 100)
-    assert "WindowGroupLimit" in final_plan(sample)
+    plan = final_plan(sample)
+    assert "WindowGroupLimit" in plan and "__limit" in plan
 
 
-def test_sample_does_not_depend_on_salting_or_partitioning(spark, skewed):
-    base = skewed.filter("id >= 0")
-    plain = sampling.stratified_sample(base, "t", "id", 700)
-    expected = sorted(r.id for r in plain.collect())
-    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "10")
+def first_by_digest(ids_of, quota_of, seed=42):
+    import hashlib
+
+    return sorted(
+        i
+        for stratum, ids in ids_of.items()
+        for i in sorted(ids, key=lambda i: hashlib.md5(f"{i}:{seed}".encode()).hexdigest())[
+            : quota_of[stratum]
+        ]
+    )
+
+
+@pytest.mark.parametrize("way", ["plain", "low limits", "many strata", "salted"])
+def test_sample_is_the_same_by_all_ways(spark, monkeypatch, way):
+    """A third of 9000 rows is one stratum; the rest are strata of 7 to 2000 rows."""
+    sizes = {0: 3000, 1: 2000, 2: 1990, 3: 2000, 4: 7, 5: 3}
+    bounds, start = {}, 0
+    for stratum, size in sizes.items():
+        bounds[stratum] = range(start, start + size)
+        start += size
+    stratum = F.lit(5)
+    for name in (4, 3, 2, 1, 0):
+        stratum = F.when(F.col("id") < bounds[name].stop, name).otherwise(stratum)
+    frame = spark.range(start).withColumn("t", stratum).repartition(13)
+    quotas = {t: max(1, int(90 * (n / start))) for t, n in sizes.items()}
+    expected = first_by_digest(bounds, quotas)
+    if way == "low limits":
+        monkeypatch.setattr(sampling, "OVERDRAW", 1)
+        monkeypatch.setattr(sampling, "SPARE", 0)
+    if way in ("many strata", "salted"):
+        monkeypatch.setattr(sampling, "MAX_STRATA", 3)
+    if way == "salted":
+        spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "10")
     try:
-        salted = sampling.stratified_sample(base.repartition(13), "t", "id", 700)
-        assert sorted(r.id for r in salted.collect()) == expected
+        sample = sampling.stratified_sample(frame, "t", "id", 90)
+        assert sorted(r.id for r in sample.collect()) == expected
     finally:
         spark.conf.unset("spark.sql.optimizer.windowGroupLimitThreshold")
 
