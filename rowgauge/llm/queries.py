@@ -6,11 +6,34 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import benchmark_overlaps
+from .licenses import license_labels
+from .mixing import mixed
 from .near_dup import near_duplicates
+from .quality import judged
+from .scratch import Scratch
+from .sentence_spans import remove_repeats
+from .tokens import read_digests, write_tokens
+from .url_filter import fit_url_model, judge_urls, labelled_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
+#: Target shares of tokens; values not named share what `*` has.
+MIXTURE = {
+    "source": {"src0": 0.15, "*": 0.85},
+    "lang": {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15},
+    "topic": {"prose": 0.85, "table": 0.05, "legal": 0.05, "contact": 0.05},
+}
+END_ID = 1
+URL_RULES = [
+    ("allow", "org/"),
+    ("block", "example.org/es/"),
+    ("block", "example.org/en/1"),
+    ("allow", "com/fr/"),
+    ("block", "com/de/"),
+]
+
 
 def query(function: Callable[[SparkSession, str], DataFrame]):
     QUERIES[function.__name__] = function
@@ -21,7 +44,60 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    """The public tokenizer that the token files are made with."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on the URL of every page."""
+    model = fit_url_model(labelled_urls(spark))
+    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES, model)
+
+
+@query
+def op2_mix_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrated weights and the draw of half of all tokens, for every document."""
+    return mixed(table(spark, sf_dir, "documents"), MIXTURE, fraction=0.5)
+
+
+@query
+def op3_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write all documents as token blocks and read them back."""
+    path = Scratch(spark).path("tokens")
+    write_tokens(table(spark, sf_dir, "documents"), path, tokenizer_path(), END_ID)
+    return read_digests(spark, path)
+
+
 @query
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents at similarity 0.85."""
     return near_duplicates(table(spark, sf_dir, "documents"), similarity=85)
+
+
+@query
+def op7_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that lose sentences repeated from elsewhere, with what is left of their text."""
+    found = remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "first_doc_ids", "n_sentences", "n_removed", "text")
+
+
+@query
+def op8_benchmark_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of the benchmark in all documents."""
+    return benchmark_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License labels of every document."""
+    return license_labels(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality posterior of every document."""
+    return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
