@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .decontaminate import benchmark_overlaps
 from .licenses import license_labels
 from .mixing import mixed
 from .near_dup import near_duplicates
+from .neighbours import nearest
 from .quality import judged
 from .scratch import Scratch
+from .secrets import dictionary, fit_secret_model, labelled_findings, scan_secrets
 from .sentence_spans import remove_repeats
 from .tokens import read_digests, write_tokens
 from .url_filter import fit_url_model, judge_urls, labelled_urls
@@ -72,12 +75,26 @@ def op3_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_digests(spark, path)
 
 
+@query
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All candidates for secrets in all documents, judged by the forest."""
+    words = dictionary(spark, tokenizer_path())
+    model = fit_secret_model(labelled_findings(spark, tokenizer_path()), words)
+    return scan_secrets(table(spark, sf_dir, "documents"), model, words, F.col("source"))
+
+
 @query
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents at similarity 0.85."""
     return near_duplicates(table(spark, sf_dir, "documents"), similarity=85)
 
 
+@query
+def op6_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth."""
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 @query
 def op7_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that lose sentences repeated from elsewhere, with what is left of their text."""
