@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import shared_folder
+
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(id, component): for every id in links (a, b), the smallest id reachable from it.
@@ -14,6 +16,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     but two numbers a round. Rows with a null side and links of an id with itself are left out.
     Raises RuntimeError if `most_rounds` (far above the logarithm of any number of links) passes.
     """
+    shared_folder(links.sparkSession)
     edges = (
         links.where("a != b")
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import shared_folder
+
 #: Target of all values of a margin that have none of their own; they share it as they come.
 REST = "*"
 
@@ -77,10 +79,12 @@ def rake(
     occur; values not named share what `*` has, in proportion to their tokens, or nothing if it is
     not given. One pass sums tokens by the combination of values, and the sums stay distributed;
     each step of the fit is an aggregate over these sums that returns one number per named value.
-    Stops when all shares are within `tolerance` or after `rounds`. `scale` is then chosen so that
+    Stops when all shares are within `tolerance`, or no longer come nearer, as where targets
+    contradict what there is, or after `rounds`. `scale` is then chosen so that
     the expected tokens of the sample are `fraction` of all, as far as the documents go: those whose
     probability would pass one are surely taken, and the others' share grows.
     """
+    shared_folder(docs.sparkSession)
     named = {m: [v for v in values if v != REST] for m, values in targets.items()}
     held = {m: F.when(c.isin(named[m]), c).otherwise(F.lit(REST)) if named[m] else F.lit(REST) for m, c in margins.items()}
     cells = (
@@ -108,7 +112,7 @@ def rake(
         wanted[m] = {v: s / whole for v, s in known.items()} if whole > 0 else {}
     done, gap = 0, 0.0
     for done in range(1, rounds + 1):
-        gap = 0.0
+        last, gap = gap, 0.0
         for m in margins:
             now = shares(m)
             whole = sum(now.values())
@@ -116,7 +120,7 @@ def rake(
                 have = now.get(v, 0.0) / whole if whole else 0.0
                 gap = max(gap, abs(have - share))
                 factors[m][v] *= share / have if have > 0 else 0.0
-        if gap <= tolerance:
+        if gap <= tolerance or done > 1 and gap > 0.99 * last:
             break
     # Expected tokens grow with the scale: narrow it down on a grid, a few aggregates in all.
     top = cells.select((F.col("tokens")).alias("t"), product().alias("g"))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, free_names, send_package
+from .scratch import Scratch, free_names, send_package, shared_folder
 
 #: The classifier is fitted on at most so many labelled documents, the first by a hash of doc_id.
 MAX_LABELS = 20_000
@@ -163,6 +163,7 @@ def fit_quality(features: DataFrame, labels: DataFrame, host: str = "source", pa
     or of unknown documents are left out; with fewer than two classes there is no model and every
     document's posterior is 1.
     """
+    shared_folder(features.sparkSession)
     known = labels.select(F.col("doc_id").alias("label_id"), F.col("quality").cast("int").alias("y")).where("y IN (0, 1)")
     sample = (
         features.join(known, features["doc_id"] == known["label_id"])

@@ -12,6 +12,7 @@ from .licenses import license_labels
 from .mixing import mixed
 from .near_dup import near_duplicates
 from .neighbours import nearest
+from .oracles import LICENSES, NEAR_DUP
 from .quality import judged
 from .scratch import Scratch
 from .secrets import dictionary, fit_secret_model, labelled_findings, scan_secrets
@@ -20,7 +21,7 @@ from .tokens import read_digests, write_tokens
 from .url_filter import fit_url_model, judge_urls, labelled_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op5_minhash_near_dedup": NEAR_DUP, "op9_license_scan": LICENSES}
 
 #: Target shares of tokens; values not named share what `*` has.
 MIXTURE = {

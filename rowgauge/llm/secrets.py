@@ -12,6 +12,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .scratch import shared_folder
+
 TREES, DEPTH = 60, 8
 #: The forest is fitted on at most so many labelled findings, the first by a hash of the value.
 MAX_FINDINGS = 20_000
@@ -207,6 +209,7 @@ def scan_secrets(
     doc_id is carried along, a null path is no test path. Other columns are not read. An empty table
     gives no rows. Only candidates are shuffled.
     """
+    shared_folder(docs.sparkSession)
     keys = ["doc_id", "text_hash", "path", "place"]
     found = candidates(docs, path).checkpoint()
     scored = model.transform(_vectors(finding_features(found.withColumnRenamed("length", "n_chars"), words, keys)))
