@@ -1,0 +1,18 @@
+from __future__ import annotations
+
+import os
+import sys
+
+import pytest
+
+from rowgauge.llm.queries import QUERIES, SQL
+
+from .helpers import SF
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+from oracle import compare, connect  # noqa: E402
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_query_equals_its_sql(spark, name):
+    assert compare(spark, connect(SF), SF, QUERIES[name], SQL[name]) is None
