@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowgauge.functions.cells import cell, percent, quoted, ratio
-from rowgauge.functions.draws import DRAWS, digest, draw, drawn_index
+from rowgauge.functions.draws import DRAWS, digest, digest_of, draw, drawn_index
 
 # Sample columns of a labeling template.
 LABEL_DIMENSIONS = ["completeness", "consistency", "validity", "accuracy"]
@@ -17,16 +17,6 @@ LABEL_COLUMN = "final_label"
 # Length of the digest prefix that numbers buckets.
 BUCKET_CHARS = 4
 
-# Strata up to this number are counted into a small local table that may be broadcast.
-MAX_STRATA = 100_000
-
-# Rows drawn per row wanted of a stratum before sorting, and rows drawn on top of that.
-OVERDRAW = 3
-SPARE = 60
-
-# Shares a hot stratum is split into when Spark cannot prune it before the shuffle.
-SALTS = 64
-
 
 def monthly_strata(df: DataFrame, moment: str, output: str = "month") -> DataFrame:
     """Add the calendar month as a stratum."""
@@ -70,68 +60,10 @@ def top_strata(df: DataFrame, stratum: str, k: int = 10) -> DataFrame:
     return strata_counts(df, stratum).orderBy(F.desc("n"), cell(stratum)).limit(k)
 
 
-def _first_of_stratum(df: DataFrame, stratum: str, key: str, seed: int, most: int) -> DataFrame:
-    """At most `most` rows per stratum, the first in digest order, numbered in `__rank`.
-
-    Up to Spark's window limit threshold, every task cuts each stratum to `most` rows before
-    the shuffle. Beyond it, each stratum is first cut within SALTS parts, so that no task sorts
-    a hot stratum whole.
-    """
-    order = [F.col("__digest"), cell(key)]
-    rows = df.withColumn("__digest", digest(key, seed))
-    threshold = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
-    if most > threshold:
-        salt = F.pmod(F.xxhash64("__digest"), F.lit(SALTS))
-        part = Window.partitionBy(quoted(stratum), "__salt").orderBy(*order)
-        rows = (
-            rows.withColumn("__salt", salt)
-            .withColumn("__rank", F.row_number().over(part))
-            .filter(F.col("__rank") <= most)
-            .drop("__salt", "__rank")
-        )
-    whole = Window.partitionBy(quoted(stratum)).orderBy(*order)
-    return (
-        rows.withColumn("__rank", F.row_number().over(whole))
-        .filter(F.col("__rank") <= most)
-        .drop("__digest")
-    )
-
-
-def _early_rows(
-    present: DataFrame, quotas: DataFrame, stratum: str, key: str, seed: int
-) -> tuple[DataFrame, DataFrame]:
-    """The rows whose draw is low enough for them to be chosen, and the quotas.
-
-    Draws are uniform, so a stratum's first rows lie below a limit that follows from its quota
-    and size. Rows above it are dropped where they are read, which leaves a few times the sample
-    size to sort. A stratum with fewer rows below its limit than its quota, which can hardly
-    happen, keeps all its rows. With more than MAX_STRATA strata nothing is dropped here.
-    """
-    small = quotas.limit(MAX_STRATA + 1).toArrow()
-    if small.num_rows > MAX_STRATA:
-        return present, quotas
-    spark = present.sparkSession
-    quotas = spark.createDataFrame(small)
-    wanted = F.col("__quota") * OVERDRAW + SPARE
-    limits = quotas.withColumn(
-        "__limit", F.least(F.lit(DRAWS), F.ceil(wanted / F.col("n") * DRAWS))
-    )
-
-    def below(rows: DataFrame) -> DataFrame:
-        limited = rows.join(F.broadcast(limits), stratum)
-        return limited.filter(draw(key, seed) < F.col("__limit"))
-
-    found = below(present.select(cell(stratum), cell(key))).groupBy(quoted(stratum)).agg(
-        F.count(F.lit(1)).alias("__found")
-    )
-    enough = F.coalesce(F.col("__found"), F.lit(0)) >= F.least("__quota", "n")
-    short = limits.join(found, stratum, "left").filter(~enough).select(cell(stratum)).toArrow()
-    if short.num_rows:
-        whole = spark.createDataFrame(short).withColumn("__whole", F.lit(True))
-        limits = limits.join(whole, stratum, "left").withColumn(
-            "__limit", F.when(F.col("__whole"), F.lit(DRAWS)).otherwise(F.col("__limit"))
-        )
-    return below(present).select(*[cell(n) for n in present.columns]), quotas
+def _row_digest(df: DataFrame, key: str, purpose: str, seed: int) -> Column:
+    """The key's digest; rows without a key are told apart by what they hold."""
+    whole = digest_of(F.to_json(F.struct(*[cell(n) for n in df.columns])), f"{purpose}:row", seed)
+    return F.when(cell(key).isNull(), whole).otherwise(digest(key, purpose, seed))
 
 
 def stratified_sample(
@@ -139,22 +71,43 @@ def stratified_sample(
 ) -> DataFrame:
     """Proportional sample without replacement: max(1, floor(total * share)) rows a stratum.
 
-    Counts the strata, then checks the draw limits: two jobs that read two columns. The sample
-    itself then sorts a few times its own size, whatever the size of the table or a stratum.
+    A stratum's rows are taken in digest order. One pass counts them per stratum and digest prefix,
+    which tells the prefix at which the quota is reached. Rows beyond it are dropped where they are
+    read in the second pass; the others are ranked within their prefix, so a task sorts a 65,536th
+    of a stratum whatever the quota. Lazy, and one plan for any number of strata and any size.
+
+    Rows without a stratum are left out. Rows without a key take part like any other, in an order
+    of their own; those that are equal in all columns are interchangeable.
     """
-    names = df.columns
-    quotas = strata_profile(df, stratum).select(
-        quoted(stratum),
-        "n",
-        F.greatest(F.lit(1), F.floor(F.lit(total) * F.col("share"))).alias("__quota"),
+    marked = df.filter(cell(stratum).isNotNull()).withColumn(
+        "__digest", _row_digest(df, key, "sample", seed)
+    ).withColumn("__prefix", F.substring("__digest", 1, BUCKET_CHARS))
+    sizes = (
+        marked.select(cell(stratum).alias("__stratum"), "__prefix")
+        .groupBy("__stratum", "__prefix").agg(F.count(F.lit(1)).alias("__size"))
+    )
+    before = Window.partitionBy("__stratum").orderBy("__prefix").rowsBetween(Window.unboundedPreceding, -1)
+    everything = F.sum("__size").over(Window.partitionBy("__stratum"))
+    quota = F.greatest(
+        F.lit(1),
+        F.floor(F.lit(total) * ratio(F.col("__all"), strata_counts(df, stratum).agg(F.sum("n")).scalar())),
+    )
+    cuts = (
+        sizes.select(
+            "__stratum", "__prefix", "__size", everything.alias("__all"),
+            F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__before"),
+        )
+        .withColumn("__quota", quota)
+        .filter((F.col("__before") < F.col("__quota")) & (F.col("__before") + F.col("__size") >= F.least("__quota", "__all")))
+        .select("__stratum", F.col("__prefix").alias("__cut"), (F.col("__quota") - F.col("__before")).alias("__left"))
     )
-    present = df.filter(cell(stratum).isNotNull())
-    rows, quotas = _early_rows(present, quotas, stratum, key, seed)
+    inside = Window.partitionBy("__stratum", "__prefix").orderBy("__digest", cell(key))
     return (
-        _first_of_stratum(rows, stratum, key, seed, max(1, total))
-        .join(quotas, stratum)
-        .filter(F.col("__rank") <= F.col("__quota"))
-        .select(*[cell(n) for n in names])
+        marked.join(cuts, cell(stratum) == F.col("__stratum"))
+        .filter(F.col("__prefix") <= F.col("__cut"))
+        .withColumn("__rank", F.row_number().over(inside))
+        .filter((F.col("__prefix") < F.col("__cut")) | (F.col("__rank") <= F.col("__left")))
+        .select(*[cell(n) for n in df.columns])
     )
 
 
@@ -164,9 +117,10 @@ def numbered(df: DataFrame, key: str, seed: int = 42, output: str = "row_index")
     Digests are uniform, so their first characters cut any table into even buckets. A row's
     number is its place in its bucket plus the sizes of the buckets before. There are at most
     16**BUCKET_CHARS buckets whatever the table's size, so their offsets are safe to broadcast.
-    `key` must identify the row.
+    `key` should identify the row; rows without a key are numbered as well.
     """
-    bucket = F.substring(digest(key, seed), 1, BUCKET_CHARS).alias("__bucket")
+    order = _row_digest(df, key, "order", seed)
+    bucket = F.substring(order, 1, BUCKET_CHARS).alias("__bucket")
     sizes = df.select(bucket).groupBy("__bucket").agg(F.count(F.lit(1)).alias("__size"))
     before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
@@ -174,7 +128,7 @@ def numbered(df: DataFrame, key: str, seed: int = 42, output: str = "row_index")
     )
     inside = Window.partitionBy("__bucket").orderBy("__digest", cell(key))
     return (
-        df.select("*", bucket, digest(key, seed).alias("__digest"))
+        df.select("*", bucket, order.alias("__digest"))
         .withColumn("__place", F.row_number().over(inside))
         .join(F.broadcast(offsets), "__bucket")
         .select(
@@ -193,7 +147,7 @@ def bootstrap_resample(sample: DataFrame, key: str, total: int, seed: int = 42)
     size = sample.agg(F.count(F.lit(1))).scalar()
     draws = sample.sparkSession.range(total).select(
         F.col("id").alias("draw"),
-        drawn_index(F.col("id") + seed, F.nullif(size, F.lit(0))).alias("row_index"),
+        drawn_index(F.col("id"), F.nullif(size, F.lit(0)), seed).alias("row_index"),
     )
     return draws.join(indexed, "row_index").select("draw", *[cell(n) for n in sample.columns])
 
@@ -222,7 +176,7 @@ def label_template(df: DataFrame, key: str, context: Iterable[str] = ()) -> Data
 def split_mark(key: str, train: float = 0.8, seed: int = 42) -> Column:
     """'train' or 'test' by the key's draw: no shuffle, stable under repartitioning."""
     limit = int(train * DRAWS)
-    return F.when(draw(key, seed) < limit, "train").otherwise("test")
+    return F.when(draw(key, "split", seed) < limit, "train").otherwise("test")
 
 
 def train_test_split(
@@ -248,7 +202,7 @@ def assign_folds(
     The first form is a projection. The exact form numbers the rows and needs a shuffle.
     """
     if not exact:
-        return df.withColumn("fold_id", (F.pmod(draw(key, seed), F.lit(folds)) + 1).cast("int"))
+        return df.withColumn("fold_id", (F.pmod(draw(key, "fold", seed), F.lit(folds)) + 1).cast("int"))
     placed = numbered(df, key, seed, "__index")
     return placed.withColumn(
         "fold_id", (F.pmod(F.col("__index") + 1, F.lit(folds)) + 1).cast("int")

@@ -269,9 +269,15 @@ COUNTS = (
     "shares AS (SELECT month, n, CAST(n AS DOUBLE) / CAST((SELECT count(*) FROM orders) AS DOUBLE) "
     "AS share FROM counts)"
 )
-DIGEST = "md5(CAST(o_orderkey AS VARCHAR) || ':42')"
+
+
+def digest_sql(purpose: str, key: str = "o_orderkey") -> str:
+    return f"md5('{purpose}:' || coalesce('=' || CAST({key} AS VARCHAR), '') || ':42')"
+
+
+ORDER = digest_sql("order")
 SAMPLED = (
-    f"ranked AS (SELECT *, row_number() OVER (PARTITION BY month ORDER BY {DIGEST}, o_orderkey) AS rk "
+    f"ranked AS (SELECT *, row_number() OVER (PARTITION BY month ORDER BY {digest_sql('sample')}, o_orderkey) AS rk "
     "FROM monthly), sampled AS (SELECT r.* EXCLUDE (rk) FROM ranked r JOIN shares s USING (month) "
     "WHERE rk <= greatest(1, CAST(floor(1000 * share) AS BIGINT)))"
 )
@@ -321,11 +327,16 @@ def _(spark, sf):
     return sampling.stratified_sample(monthly(spark, sf), "month", "o_orderkey", 1000)
 
 
+DRAWN = (
+    "SELECT range AS draw, CAST('0x' || substr(md5('bootstrap:' || CAST(range AS VARCHAR) || ':42'), 1, 15) "
+    "AS BIGINT) % (SELECT count(*) FROM sampled) AS ix FROM range(1000)"
+)
+
+
 @query(
     "bootstrap_resample",
-    f"WITH {MONTHLY}, {COUNTS}, {SAMPLED}, indexed AS (SELECT *, row_number() OVER (ORDER BY {DIGEST}, "
-    "o_orderkey) - 1 AS ix FROM sampled), draws AS (SELECT range AS draw, ((range + 42) * 1103515245 "
-    "+ 12345) % 2147483648 % (SELECT count(*) FROM sampled) AS ix FROM range(1000)) "
+    f"WITH {MONTHLY}, {COUNTS}, {SAMPLED}, indexed AS (SELECT *, row_number() OVER (ORDER BY {ORDER}, "
+    f"o_orderkey) - 1 AS ix FROM sampled), draws AS ({DRAWN}) "
     "SELECT draw, i.* EXCLUDE (ix) FROM draws JOIN indexed i USING (ix)",
 )
 def _(spark, sf):
@@ -333,25 +344,48 @@ def _(spark, sf):
     return sampling.bootstrap_resample(sample, "o_orderkey", 1000)
 
 
-NUMBER = f"CAST('0x' || substr({DIGEST}, 1, 8) AS BIGINT)"
+@query(
+    "exact_size_sample",
+    f"WITH {MONTHLY}, {COUNTS}, {SAMPLED}, indexed AS (SELECT *, row_number() OVER (ORDER BY {ORDER}, "
+    f"o_orderkey) - 1 AS ix FROM sampled), draws AS ({DRAWN}) "
+    "SELECT i.* EXCLUDE (ix) FROM draws JOIN indexed i USING (ix) WHERE (SELECT count(*) FROM sampled) <> 1000 "
+    "UNION ALL SELECT * FROM sampled WHERE (SELECT count(*) FROM sampled) = 1000",
+)
+def _(spark, sf):
+    return sampling.exact_size_sample(monthly(spark, sf), "month", "o_orderkey", 1000)
+
+
+@query(
+    "class_sample",
+    "WITH n AS (SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1), ranked AS (SELECT *, "
+    f"row_number() OVER (PARTITION BY o_orderpriority ORDER BY {digest_sql('sample')}, o_orderkey) AS rk FROM orders) "
+    "SELECT r.* EXCLUDE (rk) FROM ranked r JOIN n USING (o_orderpriority) WHERE rk <= greatest(1, CAST(floor(90 * "
+    "(CAST(n AS DOUBLE) / CAST((SELECT count(*) FROM orders) AS DOUBLE))) AS BIGINT))",
+)
+def _(spark, sf):
+    return sampling.stratified_sample(table(spark, sf, "orders"), "o_orderpriority", "o_orderkey", 90)
+
+
+def number_sql(purpose: str, key: str = "o_orderkey") -> str:
+    return f"CAST('0x' || substr({digest_sql(purpose, key)}, 1, 8) AS BIGINT)"
 
 
 @query(
     "train_test_split",
-    f"SELECT *, CASE WHEN {NUMBER} < 3435973836 THEN 'train' ELSE 'test' END AS split FROM orders",
+    f"SELECT *, CASE WHEN {number_sql('split')} < 3435973836 THEN 'train' ELSE 'test' END AS split FROM orders",
 )
 def _(spark, sf):
     return table(spark, sf, "orders").withColumn("split", sampling.split_mark("o_orderkey"))
 
 
-@query("kfold_assign", f"SELECT *, CAST({NUMBER} % 5 + 1 AS INTEGER) AS fold_id FROM orders")
+@query("kfold_assign", f"SELECT *, CAST({number_sql('fold')} % 5 + 1 AS INTEGER) AS fold_id FROM orders")
 def _(spark, sf):
     return sampling.assign_folds(table(spark, sf, "orders"), "o_orderkey", 5)
 
 
 @query(
     "kfold_assign_exact",
-    f"SELECT *, CAST(row_number() OVER (ORDER BY {DIGEST}, o_orderkey) % 5 + 1 AS INTEGER) AS fold_id "
+    f"SELECT *, CAST(row_number() OVER (ORDER BY {ORDER}, o_orderkey) % 5 + 1 AS INTEGER) AS fold_id "
     "FROM orders",
 )
 def _(spark, sf):
