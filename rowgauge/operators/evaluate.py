@@ -6,10 +6,13 @@ shuffle. What follows works on those counts.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowgauge.functions.cells import cell, percent
+from rowgauge.sources.writers import use_shared_folder
 
 # Thresholds of the acceptance gate, names of the pooled group and
 # of rows without a group.
@@ -19,8 +22,8 @@ MIN_F1 = 0.77
 POOLED = "combined"
 UNNAMED = "(none)"
 
-# The ranking is cut into STEP * STEP score ranges, found in two steps of STEP comparisons.
-STEP = 32
+# The ranking is cut into at least so many squared score ranges, found in two steps of comparisons.
+LEAST_STEP = 32
 
 
 def _zero_safe(part: Column, whole: Column) -> Column:
@@ -54,10 +57,23 @@ def outcome_counts(
     )
 
 
-def _with_pooled(counts: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
-    """Counts per dataset plus the same counts pooled over all datasets."""
-    pooled = counts.groupBy(*keys).agg(*[F.sum(s).alias(s) for s in sums])
-    return counts.unionByName(pooled.withColumn("dataset", F.lit(POOLED)))
+def _with_pooled(counts: DataFrame, pooled: bool) -> DataFrame:
+    """Counts per dataset and, with `pooled`, each once more for the group of all datasets.
+
+    A flag tells that group from a dataset which happens to have its name.
+    """
+    own = F.struct(F.col("dataset"), F.lit(False).alias("pooled"))
+    if not pooled:
+        return counts.withColumn("pooled", F.lit(False))
+    groups = F.array(own, F.struct(F.lit(POOLED).alias("dataset"), F.lit(True).alias("pooled")))
+    rest = [c for c in counts.columns if c != "dataset"]
+    return counts.select(F.inline(groups), *rest)
+
+
+def _kept(counts: DataFrame) -> DataFrame:
+    """The counts written once, for measures that read them several times."""
+    use_shared_folder(counts.sparkSession)
+    return counts.checkpoint()
 
 
 def confusion_matrix(
@@ -68,19 +84,15 @@ def confusion_matrix(
     With `pooled`, a row 'combined' over all datasets is added.
     """
     counts = outcome_counts(scored, truth, predicted, by=by)
-    return _confusion(counts, pooled and by is not None)
-
+    return _confusion(_with_pooled(counts, pooled and by is not None)).drop("pooled")
 
-def _confusion(counts: DataFrame, pooled: bool) -> DataFrame:
-    cells = counts.groupBy("dataset", "truth", "predicted").agg(F.sum("n").alias("n"))
-    if pooled:
-        cells = _with_pooled(cells, ["truth", "predicted"], ["n"])
 
+def _confusion(counts: DataFrame) -> DataFrame:
     def total(condition: Column) -> Column:
         return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
 
     t, p = F.col("truth"), F.col("predicted")
-    return cells.groupBy("dataset").agg(
+    return counts.groupBy("dataset", "pooled").agg(
         F.sum("n").alias("n_samples"),
         total(t == 1).alias("n_positive"),
         total(t == 0).alias("n_negative"),
@@ -154,31 +166,32 @@ def auc_roc(
     """(dataset, auc_roc): exact area under the ROC curve, ties counting half; 0.0 if undefined.
 
     The area is the share of (positive, negative) pairs ranked the right way round. Scores are
-    counted, then cut into ranges at quantiles of the counted scores. Pairs within a range come
-    from a running sum inside the range, pairs across ranges from the range totals. So no task
-    orders more than one range of one dataset, and where the cuts fall does not change the sum.
+    counted, then cut into ranges at quantiles of the counted scores, at least as many as there are
+    shuffle partitions. Pairs within a range come from a running sum inside the range, pairs across
+    ranges from the range totals. So no task orders more than one range of one dataset, and where
+    the cuts fall does not change the sum. Runs a job: the counts are written once.
     """
-    return _area(outcome_counts(scored, truth, score=score, by=by), pooled and by is not None)
+    counts = _kept(outcome_counts(scored, truth, score=score, by=by))
+    return _area(_with_pooled(counts, pooled and by is not None)).drop("pooled")
 
 
-def _area(outcomes: DataFrame, pooled: bool) -> DataFrame:
-    # Rows without a score or label count as nothing rather than being filtered out: a filter
-    # would move below the counts and keep them from being shared with other measures.
+def _area(outcomes: DataFrame) -> DataFrame:
+    # Rows without a score or label count as nothing.
     n = F.when(F.col("score").isNotNull(), F.col("n"))
-    counts = outcomes.groupBy("dataset", "score").agg(
+    counts = outcomes.groupBy("dataset", "pooled", "score").agg(
         F.coalesce(F.sum(F.when(F.col("truth") == 1, n)), F.lit(0)).alias("pos"),
         F.coalesce(F.sum(F.when(F.col("truth") == 0, n)), F.lit(0)).alias("neg"),
     )
-    if pooled:
-        counts = _with_pooled(counts, ["score"], ["pos", "neg"])
+    partitions = int(outcomes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    step = max(LEAST_STEP, math.ceil(math.sqrt(partitions)))
     # One text literal instead of a thousand number literals keeps the plan small.
     fractions = F.split(
-        F.lit(" ".join(str(i / STEP**2) for i in range(1, STEP**2))), " "
+        F.lit(" ".join(str(i / step**2) for i in range(1, step**2))), " "
     ).cast("array<double>")
-    cuts = counts.agg(F.percentile_approx("score", fractions, 4 * STEP**2).alias("fine")).select(
+    cuts = outcomes.agg(F.percentile_approx("score", fractions, 4 * step**2).alias("fine")).select(
         F.struct(
             "fine",
-            F.filter("fine", lambda _, i: i % STEP == STEP - 1).alias("coarse"),
+            F.filter("fine", lambda _, i: i % step == step - 1).alias("coarse"),
         )
     ).scalar()
 
@@ -187,32 +200,32 @@ def _area(outcomes: DataFrame, pooled: bool) -> DataFrame:
 
     ranged = (
         counts.select("*", cuts["fine"].alias("fine"), cuts["coarse"].alias("coarse"))
-        .withColumn("step", reached(F.col("coarse")) * STEP)
+        .withColumn("step", reached(F.col("coarse")) * step)
         .withColumn(
             "range",
-            F.col("step") + reached(F.slice("fine", F.col("step") + 1, F.lit(STEP))),
+            F.col("step") + reached(F.slice("fine", F.col("step") + 1, F.lit(step))),
         )
         .drop("fine", "coarse", "step")
     )
 
     pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
-    in_range = Window.partitionBy("dataset", "range").orderBy("score").rowsBetween(
+    in_range = Window.partitionBy("dataset", "pooled", "range").orderBy("score").rowsBetween(
         Window.unboundedPreceding, -1
     )
     below = F.coalesce(F.sum(neg).over(in_range), F.lit(0.0))
     totals = (
         ranged.withColumn("pairs", pos * (below + neg / 2))
-        .groupBy("dataset", "range")
+        .groupBy("dataset", "pooled", "range")
         .agg(F.sum(pos).alias("pos"), F.sum(neg).alias("neg"), F.sum("pairs").alias("pairs"))
     )
-    # At most STEP * STEP rows per dataset from here on.
-    across = Window.partitionBy("dataset").orderBy("range").rowsBetween(
+    # At most step * step rows per dataset from here on.
+    across = Window.partitionBy("dataset", "pooled").orderBy("range").rowsBetween(
         Window.unboundedPreceding, -1
     )
     below_range = F.coalesce(F.sum("neg").over(across), F.lit(0.0))
     return (
         totals.withColumn("pairs", F.col("pairs") + F.col("pos") * below_range)
-        .groupBy("dataset")
+        .groupBy("dataset", "pooled")
         .agg(_zero_safe(F.sum("pairs"), F.sum("pos") * F.sum("neg")).alias("auc_roc"))
     )
 
@@ -225,19 +238,23 @@ def evaluate(
     by: str | None = None,
     pooled: bool = True,
 ) -> DataFrame:
-    """Confusion counts, binary metrics and AUC per dataset, and pooled as 'combined'."""
-    counts = outcome_counts(scored, truth, predicted, score, by)
-    both = pooled and by is not None
+    """Confusion counts, binary metrics and AUC per dataset, and pooled as 'combined'.
+
+    One pass over the scored rows, run at once; its counts are written and all measures read them.
+    """
+    counts = _with_pooled(_kept(outcome_counts(scored, truth, predicted, score, by)), pooled and by is not None)
     # One row per dataset on both sides.
-    return with_binary_metrics(_confusion(counts, both)).join(_area(counts, both), "dataset")
+    both = with_binary_metrics(_confusion(counts)).join(_area(counts), ["dataset", "pooled"])
+    return both.drop("pooled")
 
 
 def evaluate_weighted(
     scored: DataFrame, truth: str, predicted: str, score: str, by: str | None = None
 ) -> DataFrame:
-    """(dataset, samples, weighted metrics, auc_roc, accepted), from one pass as well."""
-    counts = outcome_counts(scored, truth, predicted, score, by)
-    return acceptance_gate(_weighted(counts).join(_area(counts, False), "dataset"))
+    """(dataset, samples, weighted metrics, auc_roc, accepted), from one pass, run at once, as well."""
+    counts = _kept(outcome_counts(scored, truth, predicted, score, by))
+    area = _area(_with_pooled(counts, False)).drop("pooled")
+    return acceptance_gate(_weighted(counts).join(area, "dataset"))
 
 
 def evaluation_summary(evaluation: DataFrame) -> DataFrame:

@@ -16,10 +16,20 @@ PASSES_NEEDED = 3
 _LABELS = [*LABEL_DIMENSIONS, LABEL_COLUMN]
 
 
+def _number(name: str) -> Column:
+    """A label as a number; null where it cannot be read as one, such as text in a CSV column."""
+    return cell(name).try_cast("double")
+
+
+def _not_zero_or_one(name: str) -> Column:
+    """A value that is there and is neither 0 nor 1."""
+    return cell(name).isNotNull() & ~F.coalesce(_number(name).isin(0.0, 1.0), F.lit(False))
+
+
 def passes(dimensions: Iterable[str] = LABEL_DIMENSIONS) -> Column:
     total = F.lit(0)
     for name in dimensions:
-        total = total + F.coalesce(cell(name), F.lit(0))
+        total = total + F.coalesce(_number(name), F.lit(0.0))
     return total
 
 
@@ -36,7 +46,7 @@ def label_rule(df: DataFrame) -> DataFrame:
 
 
 def _breaks_rule() -> Column:
-    return F.coalesce(cell(LABEL_COLUMN) != rule_label(), F.lit(True))
+    return F.coalesce(_number(LABEL_COLUMN) != rule_label(), F.lit(True))
 
 
 def verify_labels(
@@ -44,8 +54,9 @@ def verify_labels(
 ) -> DataFrame:
     """All checks of a label table as rows (check, status, violations); one aggregate.
 
-    Row count, required columns, nulls and values per label column, and the label rule. Checks
-    that need a missing column are reported as 'skipped'.
+    Row count, required columns, nulls and values per label column, and the label rule. Values that
+    are no number, as a file read as text may hold, are violations. Checks that need a missing
+    column are reported as 'skipped'.
     """
     required = [key, *_LABELS]
     missing = [c for c in required if c not in labels.columns]
@@ -59,7 +70,7 @@ def verify_labels(
     for name in _LABELS:
         present = name in labels.columns
         checks.append(
-            (f"zero_or_one:{name}", F.count(F.when(~cell(name).isin(0, 1), 1)) if present else None)
+            (f"zero_or_one:{name}", F.count(F.when(_not_zero_or_one(name), 1)) if present else None)
         )
     rule = None if any(c in missing for c in _LABELS) else F.count(F.when(_breaks_rule(), 1))
     checks.append(("label_rule", rule))
@@ -88,7 +99,7 @@ def label_violations(labels: DataFrame) -> DataFrame:
     """Rows with a null or a value outside 0/1 in a label column, or a label off the rule."""
     bad_value = F.lit(False)
     for name in _LABELS:
-        bad_value = bad_value | cell(name).isNull() | ~cell(name).isin(0, 1)
+        bad_value = bad_value | cell(name).isNull() | _not_zero_or_one(name)
     return label_rule(labels).filter(bad_value | _breaks_rule())
 
 
@@ -97,7 +108,7 @@ def dimension_pass_rates(
 ) -> DataFrame:
     """(dimension, passed, total, percentage); one aggregate."""
     names = list(dimensions)
-    counts = [F.count(F.when(cell(d) == 1, 1)).alias(f"p{i}") for i, d in enumerate(names)]
+    counts = [F.count(F.when(_number(d) == 1, 1)).alias(f"p{i}") for i, d in enumerate(names)]
     rows = [
         F.struct(F.lit(d).alias("dimension"), F.col(f"p{i}").alias("passed"), F.col("total"))
         for i, d in enumerate(names)

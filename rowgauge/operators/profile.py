@@ -22,6 +22,12 @@ from rowgauge.functions.freshness import age_score, reference_point
 
 COPIES = "__copies"
 
+# to_json cuts timestamps to milliseconds unless told otherwise.
+WHOLE_MICROSECONDS = {
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
+
 
 def column_profile(
     df: DataFrame,
@@ -97,7 +103,7 @@ def _slots(value: Column, dtype: T.DataType) -> tuple[Column, Column, Column]:
     elif isinstance(dtype, T.BinaryType):
         text = F.hex(value)
     elif isinstance(dtype, (T.StructType, T.ArrayType, T.MapType)):
-        text = F.to_json(comparable(value, dtype))
+        text = F.to_json(comparable(value, dtype), WHOLE_MICROSECONDS)
     else:
         text = value.cast("string")
     return whole, real, text

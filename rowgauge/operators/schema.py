@@ -92,16 +92,11 @@ def infer_column_types(
 def infer_schema(
     df: DataFrame,
     columns: Iterable[str] | None = None,
-    sample_rows: int | None = None,
     policy: str = "majority",
 ) -> T.StructType:
-    """A nullable StructType for text columns. Runs one job; collects one row per column.
-
-    All rows are read unless `sample_rows` asks for a quick look at that many.
-    """
+    """A nullable StructType for text columns, from all rows. One job; collects one row per column."""
     names = chosen(df, columns)
-    source = df if sample_rows is None else df.limit(sample_rows)
-    found = infer_column_types(source, names, policy).orderBy("ordinal").collect()
+    found = infer_column_types(df, names, policy).orderBy("ordinal").collect()
     return T.StructType(
         [T.StructField(row["column_name"], SPARK_TYPES[row["inferred_type"]]) for row in found]
     )

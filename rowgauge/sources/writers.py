@@ -75,11 +75,29 @@ def save_metrics(metrics: DataFrame, path: str, mode: str = "overwrite") -> None
     save_table(metrics, path, "json", mode)
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder the cluster shares, as named by spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as named by spark.checkpoint.dir.
 
-    Only a session without that setting, such as a local test, gets a temporary folder.
+    Where the setting is absent, a session with a local master gets a temporary folder, once; a
+    cluster session raises ValueError, since its executors would each write to their own disk.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    base = shared.rstrip("/") if shared else tempfile.mkdtemp(prefix="rowgauge-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not folder:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="rowgauge-"))
+        folder = context.getCheckpointDir()
+    return folder.rstrip("/")
+
+
+def use_shared_folder(spark: SparkSession) -> None:
+    """Make sure that checkpoint() has a shared folder to write to."""
+    folder = shared_folder(spark)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(folder)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
