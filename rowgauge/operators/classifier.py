@@ -14,7 +14,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
@@ -31,6 +31,9 @@ FOLDS = 5
 TOP_FEATURES = 10
 NOT_FEATURES = ["row_id", "ground_truth", "dataset", "split", "fold_id"]
 
+# Plain name of the target while fitting, whatever it is called.
+_LABEL = "__label"
+
 
 def feature_columns(
     df: DataFrame, target: str = "ground_truth", exclude: Iterable[str] = ()
@@ -47,17 +50,18 @@ def _plain(features: list[str]) -> list[str]:
     return [f"__feature_{i}" for i in range(len(features))]
 
 
-def _prepared(df: DataFrame, features: list[str], keep: Iterable[str]) -> DataFrame:
-    """The columns to keep, and the features as doubles under plain names."""
+def _prepared(
+    df: DataFrame, features: list[str], keep: Iterable[Column], fill: bool = False
+) -> DataFrame:
+    """The columns to keep, and the features as doubles under plain names; `fill` NaN as 0.0."""
     plain = _plain(features)
-    copies = df.select(
-        *[cell(c) for c in keep], *[cell(c).alias(a) for c, a in zip(features, plain)]
-    )
-    return numeric_features(copies, plain)
+    copies = df.select(*keep, *[cell(c).alias(a) for c, a in zip(features, plain)])
+    numbers = numeric_features(copies, plain)
+    return numbers.withColumns({c: F.nanvl(c, F.lit(0.0)) for c in plain}) if fill else numbers
 
 
 def _stages(features: list[str]) -> list:
-    # Rows with NaN in a feature are skipped, in training and in prediction.
+    # Rows with NaN in a feature are skipped in training; predictions take NaN as 0.0.
     return [
         VectorAssembler(
             inputCols=_plain(features), outputCol="features", handleInvalid="skip"
@@ -73,7 +77,7 @@ def prepare_features(
 ) -> tuple[DataFrame, list[str]]:
     """Rows with `features` and `scaled_features`, and the feature names in vector order."""
     features = feature_columns(df, target, exclude)
-    prepared = _prepared(df, features, df.columns)
+    prepared = _prepared(df, features, [cell(c) for c in df.columns])
     model = Pipeline(stages=_stages(features)).fit(prepared)
     return model.transform(prepared).drop(*_plain(features)), features
 
@@ -87,8 +91,9 @@ class RecordClassifier:
     target: str
 
     def predict(self, df: DataFrame) -> DataFrame:
-        """The input's columns with `prediction` (0/1) and `score`, the probability of 1."""
-        scored = self.model.transform(_prepared(df, self.features, df.columns))
+        """Every input row with `prediction` (0/1) and `score`, the probability of 1."""
+        rows = _prepared(df, self.features, [cell(c) for c in df.columns], fill=True)
+        scored = self.model.transform(rows)
         return scored.select(
             *[cell(c) for c in df.columns],
             F.col("prediction").cast("int").alias("prediction"),
@@ -123,10 +128,12 @@ def train_random_forest(
     unless `persist` is off, for input that is kept already.
     """
     features = feature_columns(df, target, exclude)
-    labeled = _prepared(df.filter(cell(target).isNotNull()), features, [target])
+    labeled = _prepared(
+        df.filter(cell(target).isNotNull()), features, [cell(target).cast("double").alias(_LABEL)]
+    )
     forest = RandomForestClassifier(
         featuresCol="scaled_features",
-        labelCol=target,
+        labelCol=_LABEL,
         numTrees=num_trees,
         maxDepth=max_depth,
         seed=seed,

@@ -6,6 +6,7 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 
+from rowgauge.functions.cells import cell
 from rowgauge.operators.classifier import RecordClassifier
 from rowgauge.operators.evaluate import evaluate, union_datasets
 from rowgauge.operators.labels import label_join
@@ -25,7 +26,7 @@ def predict_labeled(
 ) -> DataFrame:
     """(key, label, prediction, score) of the labeled rows."""
     joined = label_join(table.raw, table.labels, table.key)
-    return classifier.predict(joined).select(table.key, label, "prediction", "score")
+    return classifier.predict(joined).select(cell(table.key), cell(label), "prediction", "score")
 
 
 def label_pipeline(
@@ -40,7 +41,7 @@ def label_pipeline(
     """
     predictions = {
         name: predict_labeled(classifier, table, label)
-        .select(label, "prediction", "score")
+        .select(cell(label), "prediction", "score")
         for name, table in tables.items()
     }
     report = evaluate(union_datasets(predictions), label, "prediction", "score", "dataset")

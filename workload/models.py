@@ -7,12 +7,21 @@ from pyspark.sql import functions as F
 
 from rowgauge.operators import classifier, labels, rows, sampling
 from rowgauge.plans.labeling import LabeledTable, label_pipeline, predict_labeled
+from workload.labels import number_sql
 from workload.registry import query
 from workload.views import dirty_orders, fixed, sql_fixed, table
 
-# Small forests: the queries show the operators, not a tuned model.
-TREES = 10
-DEPTH = 5
+TRAINED = f"{number_sql('split', 'doc_id')} < 3435973836"
+LABELED = (
+    "labeled AS (SELECT doc_id, CAST(quality AS INTEGER) AS ground_truth, "
+    "length(text) - length(replace(text, ' ', '')) + 1 AS n_words, "
+    f"{TRAINED} AS trained FROM documents JOIN labels USING (doc_id))"
+)
+
+
+def _within(name: str):
+    """Whether a measure lies in 0..1."""
+    return F.col(name).between(0.0, 1.0).alias(f"{name}_valid")
 
 
 def _documents(spark, sf):
@@ -38,9 +47,7 @@ def _labeled(spark, sf):
 
 def _fitted(spark, sf):
     train, test = sampling.train_test_split(_labeled(spark, sf), "doc_id")
-    model = classifier.train_random_forest(
-        train, num_trees=TREES, max_depth=DEPTH, exclude=["doc_id"]
-    )
+    model = classifier.train_random_forest(train, exclude=["doc_id"])
     return model, train, test
 
 
@@ -66,54 +73,106 @@ def _(spark, sf):
     )
 
 
-@query("rf_predict")
+# A forest's numbers have no SQL: these queries return what SQL can say of them, and tests the rest.
+
+
+@query(
+    "rf_predict",
+    f"WITH {LABELED} SELECT doc_id, ground_truth, true AS prediction_valid, true AS score_valid "
+    "FROM labeled WHERE NOT trained",
+)
 def _(spark, sf):
     model, _, test = _fitted(spark, sf)
-    return model.predict(test).select("doc_id", "ground_truth", "prediction", "score")
+    return model.predict(test).select(
+        "doc_id", "ground_truth", F.col("prediction").isin(0, 1).alias("prediction_valid"), _within("score")
+    )
+
+
+def _evaluated(model, rows):
+    names = ("weighted_precision", "weighted_recall", "weighted_f1", "auc_roc")
+    return model.evaluate(rows).select("samples", *[_within(n) for n in names])
+
+
+def _evaluated_sql(condition: str) -> str:
+    return (
+        f"WITH {LABELED} SELECT count(*) AS samples, true AS weighted_precision_valid, true AS "
+        f"weighted_recall_valid, true AS weighted_f1_valid, true AS auc_roc_valid FROM labeled WHERE {condition}"
+    )
 
 
-@query("rf_train_metrics")
+@query("rf_train_metrics", _evaluated_sql("trained"))
 def _(spark, sf):
     model, train, _ = _fitted(spark, sf)
-    return model.evaluate(train).select("weighted_f1", "auc_roc", "samples")
+    return _evaluated(model, train)
 
 
-@query("rf_evaluate")
+@query("rf_evaluate", _evaluated_sql("NOT trained"))
 def _(spark, sf):
     model, _, test = _fitted(spark, sf)
-    return model.evaluate(test)
+    return _evaluated(model, test)
 
 
-@query("rf_importance")
+@query(
+    "rf_importance",
+    "SELECT CAST(6 AS BIGINT) AS features, CAST(1 AS DOUBLE) AS total, true AS importance_valid",
+)
 def _(spark, sf):
-    return _fitted(spark, sf)[0].importance()
+    return _fitted(spark, sf)[0].importance(top=100).agg(
+        F.count(F.lit(1)).alias("features"),
+        fixed(F.sum("importance")).alias("total"),
+        F.bool_and(F.col("importance").between(0.0, 1.0)).alias("importance_valid"),
+    )
 
 
-@query("rf_cross_validate")
+@query(
+    "rf_cross_validate",
+    f"WITH {LABELED}, folds AS (SELECT count(DISTINCT {number_sql('fold', 'doc_id')} % 5) AS folds FROM labeled) "
+    "SELECT metric, folds, true AS mean_valid FROM folds, "
+    "(VALUES ('f1_score'), ('precision'), ('recall'), ('auc_roc')) m(metric)",
+)
 def _(spark, sf):
-    return classifier.cross_validate(
-        _labeled(spark, sf), "doc_id", folds=3, num_trees=TREES, max_depth=DEPTH
-    )
+    found = classifier.cross_validate(_labeled(spark, sf), "doc_id")
+    return found.select("metric", "folds", _within("mean"))
 
 
 def _tables(spark, sf) -> dict[str, LabeledTable]:
-    """Two labeled tables: short and long documents, each with its labels."""
+    """Two labeled tables, short and long documents, with the labels kept from the training."""
     raw = _documents(spark, sf)
     truth = table(spark, sf, "labels").select(
         "doc_id", F.col("quality").cast("int").alias("final_label")
     )
+    held_out = sampling.train_test_split(truth, "doc_id")[1]
     return {
-        "short": LabeledTable(raw.filter("n_words < 100"), truth, "doc_id"),
-        "long": LabeledTable(raw.filter("n_words >= 100"), truth, "doc_id"),
+        "short": LabeledTable(raw.filter("n_words < 100"), held_out, "doc_id"),
+        "long": LabeledTable(raw.filter("n_words >= 100"), held_out, "doc_id"),
     }
 
 
-@query("predict_labeled")
+@query(
+    "predict_labeled",
+    f"WITH {LABELED} SELECT doc_id, ground_truth AS final_label, true AS prediction_valid, "
+    "true AS score_valid FROM labeled WHERE NOT trained",
+)
 def _(spark, sf):
     model = _fitted(spark, sf)[0]
-    return predict_labeled(model, _tables(spark, sf)["short"])
+    short, long = _tables(spark, sf).values()
+    whole = LabeledTable(short.raw.unionByName(long.raw), short.labels, "doc_id")
+    return predict_labeled(model, whole).select(
+        "doc_id", "final_label", F.col("prediction").isin(0, 1).alias("prediction_valid"), _within("score")
+    )
 
 
-@query("label_pipeline")
+@query(
+    "label_pipeline",
+    f"WITH {LABELED}, named AS (SELECT *, CASE WHEN n_words < 100 THEN 'short' ELSE 'long' END AS dataset "
+    "FROM labeled WHERE NOT trained), pool AS (SELECT dataset, ground_truth FROM named UNION ALL "
+    "SELECT 'combined', ground_truth FROM named) SELECT dataset, count(*) AS n_samples, "
+    "count(*) FILTER (ground_truth = 1) AS n_positive, count(*) FILTER (ground_truth = 0) AS n_negative, "
+    "count(*) AS outcomes FROM pool GROUP BY dataset",
+)
 def _(spark, sf):
-    return label_pipeline(_fitted(spark, sf)[0], _tables(spark, sf))
+    report = label_pipeline(_fitted(spark, sf)[0], _tables(spark, sf))
+    return report.select(
+        "dataset", "n_samples", "n_positive", "n_negative",
+        (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")).alias("outcomes"),
+    )
