@@ -1,7 +1,7 @@
 """Excel workbooks (.xlsx) as a table.
 
 Spark lists and reads the files, so any file system it knows will do, and hands each workbook
-to a task. The task streams the first sheet's cells out of the archive in batches.
+to a task. The task streams one sheet's cells out of the archive in batches.
 """
 
 from __future__ import annotations
@@ -10,14 +10,17 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from itertools import chain
 from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rowgauge.functions.cells import quoted
 
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 BATCH_ROWS = 10_000
 
 
@@ -41,18 +44,45 @@ def _shared_strings(archive: zipfile.ZipFile) -> list[str]:
     return [_text(item) for item in root.findall(f"{_NS}si")]
 
 
-def _first_sheet(archive: zipfile.ZipFile) -> str:
-    sheets = [n for n in archive.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)]
-    if not sheets:
-        raise ValueError("workbook without a sheet")
-    return min(sheets, key=lambda n: int(re.search(r"\d+", n.rpartition("/")[2]).group()))
-
-
-def sheet_rows(content: bytes) -> Iterator[list[str | None]]:
-    """Rows of the first sheet as text; empty cells are None."""
+def _sheet_file(archive: zipfile.ZipFile, sheet: int | str) -> str:
+    """The archive's name for a sheet, given by its name or its place in the workbook's order."""
+    names = archive.namelist()
+    if "xl/workbook.xml" not in names or "xl/_rels/workbook.xml.rels" not in names:
+        # Without a list of sheets, their numbers are their order.
+        found = [n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)]
+        found.sort(key=lambda n: int(re.search(r"\d+", n.rpartition("/")[2]).group()))
+        listed = [(f"Sheet{i + 1}", n) for i, n in enumerate(found)]
+    else:
+        relations = ElementTree.fromstring(archive.read("xl/_rels/workbook.xml.rels"))
+        files = {r.get("Id"): r.get("Target").lstrip("/").removeprefix("xl/") for r in relations}
+        book = ElementTree.fromstring(archive.read("xl/workbook.xml"))
+        listed = [(s.get("name"), f"xl/{files[s.get(_RELATION)]}") for s in book.iter(f"{_NS}sheet")]
+    if isinstance(sheet, str):
+        listed = [found for found in listed if found[0] == sheet]
+        sheet = 0
+    if not 0 <= sheet < len(listed):
+        raise ValueError("workbook without the sheet asked for")
+    return listed[sheet][1]
+
+
+def header_names(row: list[str | None]) -> list[str]:
+    """Column names of a header row: empty cells by their place, repeated names by a number."""
+    names: list[str] = []
+    for place, cell in enumerate(row):
+        name = wanted = cell or f"_c{place}"
+        number = 1
+        while name in names:
+            number += 1
+            name = f"{wanted}_{number}"
+        names.append(name)
+    return names
+
+
+def sheet_rows(content: bytes, sheet: int | str = 0) -> Iterator[list[str | None]]:
+    """Rows of a sheet as text; empty cells are None."""
     with zipfile.ZipFile(io.BytesIO(content)) as archive:
         shared = _shared_strings(archive)
-        with archive.open(_first_sheet(archive)) as stream:
+        with archive.open(_sheet_file(archive, sheet)) as stream:
             for _, element in ElementTree.iterparse(stream):
                 if element.tag != f"{_NS}row":
                     continue
@@ -73,12 +103,25 @@ def sheet_rows(content: bytes) -> Iterator[list[str | None]]:
                 element.clear()
 
 
-def _tables(names: list[str], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _named_rows(
+    content: bytes, sheet: int | str, header: bool
+) -> tuple[list[str], Iterator[list[str | None]]]:
+    """The names of a sheet's columns, and its rows below the header."""
+    rows = sheet_rows(content, sheet)
+    first = next(rows, [])
+    if header:
+        return header_names(first), rows
+    return [f"_c{i}" for i in range(len(first))], chain([first], rows)
+
+
+def _tables(
+    names: list[str], sheet: int | str, header: bool, batches: Iterator[pd.DataFrame]
+) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for content in batch["content"]:
-            rows = sheet_rows(content)
-            header = next(rows, [])
-            places = [header.index(n) if n in header else None for n in names]
+            own, rows = _named_rows(content, sheet, header)
+            place_of = {name: i for i, name in enumerate(own)}
+            places = [place_of.get(n) for n in names]
             block = []
             for row in rows:
                 block.append([row[p] if p is not None and p < len(row) else None for p in places])
@@ -89,32 +132,47 @@ def _tables(names: list[str], batches: Iterator[pd.DataFrame]) -> Iterator[pd.Da
                 yield pd.DataFrame(block, columns=names, dtype=object)
 
 
-def workbook_rows(files: DataFrame, names: list[str]) -> DataFrame:
+def workbook_rows(
+    files: DataFrame, names: list[str], sheet: int | str = 0, header: bool = True
+) -> DataFrame:
     """The rows of workbooks given as a binary `content` column; absent columns are null."""
     layout = ", ".join(f"{quoted(n)} string" for n in names)
-    return files.select("content").mapInPandas(lambda batches: _tables(names, batches), layout)
+    return files.select("content").mapInPandas(
+        lambda batches: _tables(names, sheet, header, batches), layout
+    )
 
 
 def read_xlsx(
-    spark: SparkSession, path: str, schema: list[str] | None = None, **_options
+    spark: SparkSession,
+    path: str,
+    schema: list[str] | None = None,
+    sheet: int | str = 0,
+    header: bool | str = True,
+    **_options,
 ) -> DataFrame:
     """Workbooks at a path as one table of text columns, one task per workbook or more.
 
-    The first row names the columns. Without `schema`, a list of names, the header of the first
-    workbook counts. Numbers and dates are given as the sheet stores them.
+    `sheet` is a name or a place in the workbook's order. The first row names the columns unless
+    `header` is off; empty names become `_c` and their place, repeated ones get a number. The table
+    has the columns of all workbooks, in order of path and place, unless `schema`, a list of names,
+    says which; a workbook without a column has nulls there. Numbers and dates are given as the
+    sheet stores them. Without `schema`, one job reads the headers.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path)
+    named = str(header).lower() != "false"
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[xX][lL][sS][xX]").load(path)
     if schema is None:
-        first = files.select("path").orderBy("path").first()
-        if first is None:
-            raise ValueError(f"no workbook at {path}")
-        content = spark.read.format("binaryFile").load(first["path"]).select("content")
 
-        def header(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                for raw in batch["content"]:
-                    names = next(sheet_rows(raw), [])
-                    yield pd.DataFrame({"name": [n or f"_c{i}" for i, n in enumerate(names)]})
-
-        schema = [row["name"] for row in content.mapInPandas(header, "name string").collect()]
-    return workbook_rows(files, list(schema))
+                for at, content in zip(batch["path"], batch["content"]):
+                    names, _ = _named_rows(content, sheet, named)
+                    yield pd.DataFrame({"path": at, "place": range(len(names)), "name": names})
+
+        found = (
+            files.select("path", "content").mapInPandas(headers, "path string, place int, name string")
+            .groupBy("name").agg(F.min(F.struct("path", "place")).alias("first")).orderBy("first")
+        )
+        schema = [row["name"] for row in found.select("name").collect()]  # one row per column
+        if not schema and files.select("path").isEmpty():
+            raise ValueError(f"no workbook at {path}")
+    return workbook_rows(files, list(schema), sheet, named)

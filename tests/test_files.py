@@ -167,7 +167,7 @@ def test_column_types_and_policies(spark):
         "num": "float", "vote": "string", "big": "long", "flag": "bool", "day": "timestamp",
         "none": "string",
     }
-    typed = schema.apply_schema(frame, schema.infer_schema(frame, sample_rows=3))
+    typed = schema.apply_schema(frame, schema.infer_schema(frame))
     assert dict(typed.dtypes)["big"] == "bigint"
     assert [r.vote for r in typed.collect()] == [1, None, None]
 
@@ -179,3 +179,55 @@ def test_type_checks_of_typed_columns(spark):
     assert [(r.i_valid, r.f_valid, r.b_valid, r.s_valid) for r in found] == [
         (True, False, True, False), (True, True, True, True)
     ]
+
+
+def sheets(*books: tuple[str, list[list]]) -> bytes:
+    """A workbook of several sheets, listed in the order given but stored in another, with references."""
+    import io
+    import zipfile
+
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as archive:
+        listed, targets = "", ""
+        for k, (name, rows) in enumerate(books):
+            number = len(books) - k
+            listed += f'<sheet name="{name}" sheetId="{k + 1}" r:id="r{k}"/>'
+            targets += f'<Relationship Id="r{k}" Target="worksheets/sheet{number}.xml"/>'
+            lines = "".join(
+                f'<row r="{y + 1}">' + "".join(
+                    f'<c r="{chr(65 + x)}{y + 1}" t="inlineStr"><is><t>{v}</t></is></c>' for x, v in enumerate(row) if v
+                ) + "</row>" for y, row in enumerate(rows)
+            )
+            archive.writestr(f"xl/worksheets/sheet{number}.xml", f'<worksheet xmlns="{main}"><sheetData>{lines}</sheetData></worksheet>')
+        archive.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets>{listed}</sheets></workbook>')
+        archive.writestr("xl/_rels/workbook.xml.rels", f"<Relationships>{targets}</Relationships>")
+    return out.getvalue()
+
+
+def test_workbooks_with_different_headers_are_all_read(spark, tmp_path):
+    (tmp_path / "a.xlsx").write_bytes(sheets(("one", [["x"], ["1"]])))
+    (tmp_path / "B.XLSX").write_bytes(sheets(("one", [["x", "y"], ["2", "3"]])))
+    frame = readers.read_table(spark, str(tmp_path), format="xlsx")
+    assert sorted(frame.columns) == ["x", "y"]
+    assert sorted((r.x, r.y) for r in frame.collect()) == [("1", None), ("2", "3")] or sorted(
+        map(str, ((r.x, r.y) for r in frame.collect()))
+    ) == ["('1', None)", "('2', '3')"]
+
+
+def test_empty_and_repeated_headers_keep_their_values(spark, tmp_path):
+    path = tmp_path / "a.XLSX"
+    path.write_bytes(sheets(("one", [["x", "", "x"], ["1", "2", "3"], ["", "5", ""]])))
+    frame = readers.read_table(spark, str(path))
+    assert frame.columns == ["x", "_c1", "x_2"]
+    assert [tuple(r) for r in frame.collect()] == [("1", "2", "3"), (None, "5", None)]
+
+
+def test_sheets_by_order_name_and_without_header(spark, tmp_path):
+    path = str(tmp_path / "a.xlsx")
+    (tmp_path / "a.xlsx").write_bytes(sheets(("late", [["x"], ["1"]]), ("early", [["y"], ["2"]])))
+    assert [tuple(r) for r in readers.read_table(spark, path).collect()] == [("1",)]
+    assert readers.read_table(spark, path, sheet=1).columns == ["y"]
+    assert readers.read_table(spark, path, sheet="early").columns == ["y"]
+    assert [tuple(r) for r in readers.read_table(spark, path, header=False).collect()] == [("x",), ("1",)]

@@ -172,3 +172,24 @@ def test_correlation(spark):
     assert labels.feature_kinds(frame, "y") == {
         "n_total_features": 3, "n_numeric": 2, "n_categorical": 1
     }
+
+
+def test_text_in_a_label_file_is_a_violation(spark):
+    rows = [("1", "1", "1", "1", "0", "1"), ("2", "yes", "1", "1", "1", "1"), ("3", "1", None, "1", "1", "maybe")]
+    texts = spark.createDataFrame(rows, ["id", *(part.split()[0] for part in DIMS.split(", "))])
+    found = checks(labels.verify_labels(texts, "id", 3))
+    assert found["zero_or_one:completeness"] == ("fail", 1)
+    assert found["no_nulls:consistency"] == ("fail", 1)
+    assert found["zero_or_one:final_label"] == ("fail", 1)
+    assert sorted(r.id for r in labels.label_violations(texts).collect()) == ["2", "3"]
+    assert labels.dimension_pass_rates(texts).filter("dimension = 'completeness'").first().passed == 2
+
+
+def test_every_row_is_predicted_and_names_may_have_dots(spark):
+    rows = [(float(i % 10), i, i % 10 > 4) for i in range(200)] + [(float("nan"), 1000, True), (None, 1001, False)]
+    frame = spark.createDataFrame(rows, "`x.y` double, key int, good boolean").selectExpr(
+        "`x.y`", "key", "cast(good AS int) AS `the.label`"
+    )
+    model = classifier.train_random_forest(frame, "the.label", num_trees=3, max_depth=3, exclude=["key"])
+    assert model.predict(frame).count() == 202
+    assert model.evaluate(frame).first().samples == 202

@@ -204,3 +204,13 @@ def test_row_operators_work_on_streams(spark, people, tmp_path):
     writing.processAllAvailable()
     writing.stop()
     assert spark.table("measured").agg(F.sum("null_count")).first()[0] == 2
+
+
+def test_nested_timestamps_a_microsecond_apart_are_distinct(spark):
+    frame = spark.range(10).select(
+        F.struct(F.timestamp_micros(F.col("id") + 1_700_000_000_000_000).alias("at")).alias("s"),
+        F.array(F.timestamp_micros(F.col("id") + 1_700_000_000_000_000).cast("timestamp_ntz")).alias("a"),
+    )
+    for scans in ("shared", "per_column"):
+        found = profile.distinct_profile(frame, scans=scans)
+        assert {r.distinct_values for r in found.collect()} == {10}
