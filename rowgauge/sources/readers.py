@@ -110,10 +110,11 @@ def list_files(spark: SparkSession, directory: str, pattern: str = "*.csv") -> l
 
 
 class Directory(NamedTuple):
-    """Tables by file name, and the reason for each file that could not be opened."""
+    """Tables by file name, the reason for each file that could not be opened, and reports if asked for."""
 
     tables: dict[str, DataFrame]
     failures: dict[str, str]
+    reports: dict[str, DataFrame]
 
 
 def read_directory(
@@ -121,14 +122,22 @@ def read_directory(
     directory: str,
     pattern: str = "*.csv",
     format: str | None = None,
+    validate: bool = False,
+    expected_schema: T.StructType | None = None,
     **options,
 ) -> Directory:
-    """One frame per file. A file that cannot be opened is reported and skipped."""
-    found = Directory({}, {})
+    """One frame per file. A file that cannot be opened is reported and skipped.
+
+    With `validate`, every table gets its validation report.
+    """
+    found = Directory({}, {}, {})
     for path in list_files(spark, directory, pattern):
         name = posixpath.basename(path)
         try:
-            found.tables[name] = read_table(spark, path, format, **options)
+            rows = read_table(spark, path, format, **options)
+            if validate:
+                found.reports[name] = validate_all(rows, expected_schema=expected_schema)
+            found.tables[name] = rows
         except (PySparkException, ValueError) as error:
             log.error("cannot read %s: %s", name, error)
             found.failures[name] = str(error)
@@ -166,6 +175,7 @@ class TableSpec:
     pattern: str | None = None
     rows_expected: int | None = None
     columns: int | None = None
+    tables_expected: int | None = None
     options: Mapping[str, object] = field(default_factory=dict)
 
 
@@ -180,38 +190,51 @@ class Catalog:
             raise ValueError(f"Unknown dataset: {name}")
         return self.specs[name]
 
-    def load(self, spark: SparkSession, name: str) -> DataFrame | Directory:
+    def load(
+        self, spark: SparkSession, name: str, validate: bool = False
+    ) -> DataFrame | Validated | Directory:
+        """The table, with `validate` also its report; a directory's come per file."""
         spec = self.spec(name)
         if spec.pattern is not None:
-            return read_directory(spark, spec.path, spec.pattern, spec.format, **spec.options)
-        return read_table(spark, spec.path, spec.format, **spec.options)
+            return read_directory(
+                spark, spec.path, spec.pattern, spec.format, validate, **spec.options
+            )
+        read = read_validated if validate else read_table
+        return read(spark, spec.path, spec.format, **spec.options)
 
     def expectations(self, spark: SparkSession) -> DataFrame:
-        """(dataset, check, expected, actual, is_valid) for every single-table spec."""
+        """(dataset, check, expected, actual, is_valid) for every spec.
+
+        Rows and columns, and for a directory the number of tables that could be opened; its rows
+        are those of all tables, its columns those that any of them has.
+        """
         parts = []
         for name, spec in self.specs.items():
+            loaded = self.load(spark, name)
+            frames = list(loaded.tables.values()) if isinstance(loaded, Directory) else [loaded]
+            columns = len({c for frame in frames for c in frame.columns})
+            checks = [("rows", spec.rows_expected, F.col("n")), ("columns", spec.columns, F.lit(columns))]
             if spec.pattern is not None:
-                continue
-            frame = self.load(spark, name)
-            checks = F.array(
-                F.struct(
-                    F.lit("rows").alias("check"),
-                    F.lit(spec.rows_expected).cast("bigint").alias("expected"),
-                    F.col("n").alias("actual"),
-                ),
-                F.struct(
-                    F.lit("columns").alias("check"),
-                    F.lit(spec.columns).cast("bigint").alias("expected"),
-                    F.lit(len(frame.columns)).cast("bigint").alias("actual"),
-                ),
+                checks.append(("tables", spec.tables_expected, F.lit(len(frames))))
+            rows = F.array(
+                *[
+                    F.struct(
+                        F.lit(check).alias("check"),
+                        F.lit(expected).cast("bigint").alias("expected"),
+                        actual.cast("bigint").alias("actual"),
+                    )
+                    for check, expected, actual in checks
+                ]
             )
+            counts = [frame.agg(F.count(F.lit(1)).alias("n")) for frame in frames]
+            counted = reduce(DataFrame.unionAll, counts) if counts else spark.range(0).select(F.col("id").alias("n"))
             parts.append(
-                frame.agg(F.count(F.lit(1)).alias("n")).select(
-                    F.lit(name).alias("dataset"), F.inline(checks)
+                counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).select(
+                    F.lit(name).alias("dataset"), F.inline(rows)
                 )
             )
         if not parts:
-            raise ValueError("no single-table spec in the catalog")
+            raise ValueError("no spec in the catalog")
         verdict = F.coalesce(F.col("expected") == F.col("actual"), F.lit(True))
         return reduce(DataFrame.unionAll, parts).select("*", verdict.alias("is_valid"))
 

@@ -231,3 +231,20 @@ def test_sheets_by_order_name_and_without_header(spark, tmp_path):
     assert readers.read_table(spark, path, sheet=1).columns == ["y"]
     assert readers.read_table(spark, path, sheet="early").columns == ["y"]
     assert [tuple(r) for r in readers.read_table(spark, path, header=False).collect()] == [("x",), ("1",)]
+
+
+def test_directories_are_validated_and_checked(spark, tmp_path):
+    for name, n in (("a", 3), ("b", 4)):
+        spark.range(n).coalesce(1).write.parquet(str(tmp_path / "in" / f"{name}.parquet"))
+    spec = readers.TableSpec(
+        str(tmp_path / "in" / "*.parquet"), "parquet", "*.parquet", rows_expected=7, columns=1, tables_expected=2
+    )
+    catalog = readers.Catalog({"all": spec, "one": readers.TableSpec(str(tmp_path / "in" / "a.parquet"), rows_expected=4)})
+    found = {(r.dataset, r.check): (r.actual, r.is_valid) for r in catalog.expectations(spark).collect()}
+    assert found[("all", "rows")] == (7, True) and found[("all", "columns")] == (1, True)
+    assert found[("one", "rows")] == (3, False) and found[("one", "columns")] == (1, True)
+    assert ("one", "tables") not in found
+    whole = catalog.load(spark, "all", validate=True)
+    assert set(whole.reports) == set(whole.tables)
+    assert all(r.is_valid for report in whole.reports.values() for r in report.collect())
+    assert catalog.load(spark, "one", validate=True).report.count() > 0

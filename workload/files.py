@@ -21,7 +21,9 @@ from workload.views import (
     RAW_STRINGS,
     REFERENCE_DATE,
     dirty_orders,
+    fixed,
     raw_strings,
+    sql_fixed,
     table,
 )
 
@@ -106,18 +108,13 @@ def _(spark, sf):
     return reduce(DataFrame.unionAll, counts)
 
 
-@query(
-    "scan_directory_as_one",
-    "SELECT o_orderkey, o_orderpriority FROM orders",
-)
+@query("scan_directory_as_one", f"WITH {DIRTY_ORDERS} SELECT *, true AS from_csv FROM dirty_orders")
 def _(spark, sf):
     path = writers.scratch_path(spark, "parts")
-    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
+    orders = _texts(dirty_orders(spark, sf))
     writers.save_table(orders.repartition(4, "o_orderpriority"), path, "csv")
     found = readers.read_directory_as_one(spark, path, "*.csv")
-    return found.filter(F.col("file_name").endswith(".csv")).select(
-        F.col("o_orderkey").try_cast("bigint").alias("o_orderkey"), "o_orderpriority"
-    )
+    return _typed(found.withColumn("from_csv", F.col("file_name").endswith(".csv")).drop("file_name"))
 
 
 @query(
@@ -158,16 +155,24 @@ def _(spark, sf):
 
 @query(
     "roundtrip_csv",
-    "SELECT vec_id, label, len(embedding) AS width FROM embeddings",
+    "SELECT vec_id, label, len(embedding) AS width, CAST(list_min(embedding) AS DOUBLE) AS smallest, "
+    "CAST(list_max(embedding) AS DOUBLE) AS largest, "
+    f"{sql_fixed('list_sum(list_transform(embedding, lambda x, i: CAST(x AS DOUBLE) * i))', 4)} AS weighed "
+    "FROM embeddings",
 )
 def _(spark, sf):
     path = writers.scratch_path(spark, "out") + ".csv"
     writers.save_table(table(spark, sf, "embeddings"), path, "csv", escape='"')
     found = spark.read.csv(path, header=True, escape='"')
+    vector = F.from_json("embedding", "array<float>")
+    weighed = F.transform(vector, lambda x, i: x.cast("double") * (i + 1))
     return found.select(
         F.col("vec_id").try_cast("bigint").alias("vec_id"),
         F.col("label").try_cast("int").alias("label"),
-        F.size(F.from_json("embedding", "array<float>")).cast("bigint").alias("width"),
+        F.size(vector).cast("bigint").alias("width"),
+        F.array_min(vector).cast("double").alias("smallest"),
+        F.array_max(vector).cast("double").alias("largest"),
+        fixed(F.aggregate(weighed, F.lit(0.0), lambda a, b: a + b), 4).alias("weighed"),
     )
 
 
