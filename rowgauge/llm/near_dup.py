@@ -8,7 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
@@ -20,7 +20,7 @@ CIRCLE_BITS = 22
 #: A pair of similarity 0.85 shares a band of 8 coordinates with probability 0.85^8 = 0.27, so
 #: 40 bands miss it with probability 3e-6.
 BANDS, BAND_ROWS = 40, 8
-#: Rounds in which each bucket's members meet one of them, before the rest meet each other.
+#: Rounds in which each bucket's members meet one of them, before the rest meet by rare shingles.
 STAR_ROUNDS = 2
 
 
@@ -109,6 +109,38 @@ def _order(round_: int) -> Column:
     return F.xxhash64(F.lit(round_), F.col("id"))
 
 
+def _prefix_pairs(classes: DataFrame, similarity: int) -> DataFrame:
+    """(id, n, other, other_n): pairs of different components that may be similar enough.
+
+    `classes` has (id, component, shingles). Two sets of similarity t or more share one of the first
+    n - ceil(t * n) + 1 shingles of each, whatever order all sets are put in; here the rarest come
+    first, so a set with many shingles of its own meets nobody. No pair is lost.
+    """
+    each = classes.select(
+        "id", "component", F.xxhash64("shingles").alias("set"), F.size("shingles").alias("n"),
+        F.explode("shingles").alias("shingle"),
+    )
+    counts = each.groupBy("shingle").agg(F.count("*").alias("sets"))
+    rank = F.row_number().over(Window.partitionBy("id", "set").orderBy("sets", "shingle"))
+    first = (
+        each.join(counts, "shingle")
+        .withColumn("rank", rank)
+        .where(F.col("rank") <= F.col("n") - F.expr(f"(n * {similarity} + 99) div 100") + 1)
+        .where("sets > 1")
+        .select("shingle", "id", "component", "n", (F.col("n") - F.col("rank") + 1).alias("rest"))
+    )
+    mixed = first.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    first = first.join(mixed.where("low != high").select("shingle"), "shingle").checkpoint()
+    other = first.select("shingle", F.col("id").alias("other"), F.col("component").alias("other_component"), F.col("n").alias("other_n"), F.col("rest").alias("other_rest"))
+    return first.join(
+        other,
+        (first["shingle"] == other["shingle"]) & (first["id"] < other["other"])
+        & (first["component"] != other["other_component"])
+        & F.expr(f"100 * least(n, other_n) >= {similarity} * greatest(n, other_n)")
+        & F.expr(f"{100 + similarity} * least(rest, other_rest) >= {similarity} * (n + other_n)"),
+    ).select("id", "n", "other", "other_n")
+
+
 def near_duplicates(
     docs: DataFrame,
     similarity: int = 80,
@@ -126,8 +158,9 @@ def near_duplicates(
        Documents with equal sets are one class, so copies cost nothing further.
     2. Buckets of a band key with two classes or more propose pairs. In each of a few rounds every
        class of a bucket meets one of it, the first in that round's order; buckets whose classes
-       are then in one component are done. All that is left of the other buckets meets across
-       components, so no link is lost and a hot bucket never meets itself in all pairs.
+       are then in one component are done. The classes of all other buckets meet across components
+       if they share one of their rarest shingles, which sets that similar must. So no link is lost
+       and a hot bucket never meets itself in all pairs.
     3. Pairs are confirmed on the full sets of shingles, made again from the text for the classes
        concerned. Sets are of 64-bit hashes: two of n shingles agree by chance once in 2^64.
 
@@ -172,9 +205,6 @@ def near_duplicates(
             .select("a", "b")
         )
 
-    def pair_of(df: DataFrame) -> DataFrame:
-        return df.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-
     # A doc_id on rows of several texts ties their classes together.
     several = part.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high"))
     links = (
@@ -187,16 +217,11 @@ def near_duplicates(
             hubs = left.groupBy("key").agg(
                 F.min(F.struct(_order(round_).alias("o"), F.col("id"), F.col("n"))).alias("hub")
             ).select("key", F.col("hub.id").alias("other"), F.col("hub.n").alias("other_n"))
-            pairs = pair_of(left.join(hubs, "key").where(fits))
+            pairs = left.join(hubs, "key").where(fits)
         else:
-            other = left.select("key", F.col("id").alias("other"), F.col("n").alias("other_n"),
-                                F.col("component").alias("other_component"))
-            pairs = pair_of(
-                left.join(other, (left["key"] == other["key"]) & (F.col("id") < F.col("other"))
-                          & (F.col("component") != F.col("other_component")) & fits)
-            )
-        found = confirmed(pairs)
-        links = scratch.keep(links.union(found), f"links{round_}")
+            pairs = _prefix_pairs(left.select("id", "component").distinct().join(sets, "id"), similarity).where(fits)
+        ordered = pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+        links = scratch.keep(links.union(confirmed(ordered)), f"links{round_}")
         groups = components(links)
         if round_ == STAR_ROUNDS:
             break
