@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
@@ -39,11 +41,12 @@ def labelled_urls(spark) -> DataFrame:
     """(url, blocked): a small labelled table, the names above as hosts with usual paths."""
     rows = []
     for blocked, names in ((1, BLOCKED_NAMES), (0, ALLOWED_NAMES)):
-        for k, name in enumerate(names):
-            for j in (0, 1, 2) if blocked == 0 else (0, 1):
-                n = 2 * k + j
-                path = _PATHS[(k + j) % len(_PATHS)].format(n * 37 % 997)
-                rows.append((f"https://{_PREFIXES[n % 4]}{name}.{_ENDINGS[(k + 2 * j) % 4]}{path}", blocked))
+        for name in names:
+            for j in range(5 if blocked else 3):
+                # Prefix, ending and path by a checksum, so that none of them tells the label.
+                n = zlib.crc32(f"{name} {j}".encode())
+                path = _PATHS[n // 64 % len(_PATHS)].format(n // 4096 % 997)
+                rows.append((f"https://{_PREFIXES[n // 4 % 4]}{name}.{_ENDINGS[n // 16 % 4]}{path}", blocked))
     return spark.createDataFrame(rows, "url string, blocked int")
 
 
