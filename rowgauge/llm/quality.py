@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch, free_names, send_package, shared_folder
 
-#: The classifier is fitted on at most so many labelled documents, the first by a hash of doc_id.
+#: The classifier is fitted on at most so many labelled documents, drawn by a hash of doc_id.
 MAX_LABELS = 20_000
 #: Documents whose posterior is lower are rejected.
 THRESHOLD = 0.5
@@ -165,10 +165,12 @@ def fit_quality(features: DataFrame, labels: DataFrame, host: str = "source", pa
     """
     shared_folder(features.sparkSession)
     known = labels.select(F.col("doc_id").alias("label_id"), F.col("quality").cast("int").alias("y")).where("y IN (0, 1)")
+    # Drawn where the rows lie: sorting for the first ones would send each task's share to the driver.
+    share = min(1.0, 0.95 * max_labels / max(1, known.count()))
     sample = (
-        features.join(known, features["doc_id"] == known["label_id"])
-        .select("doc_id", "y", "features")
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(max_labels).collect()
+        features.join(known.where(F.pmod(F.xxhash64("label_id"), F.lit(1 << 30)) < int(share * (1 << 30))),
+                      features["doc_id"] == known["label_id"])
+        .select("y", "features").limit(max_labels).collect()
     )
     y = np.array([r.y for r in sample], dtype=float)
     if len(set(y)) < 2:
