@@ -17,9 +17,9 @@ from .words import LOWER, WordHashes, byte_texts, mix, pieces, shingle_set
 
 #: Places of the circle on which the two permutations work: 2 to this power.
 CIRCLE_BITS = 22
-#: A pair of similarity 0.85 shares a band of 8 coordinates with probability 0.85^8 = 0.27, so
-#: 40 bands miss it with probability 3e-6.
-BANDS, BAND_ROWS = 40, 8
+#: A pair of similarity 0.8 shares a band of 7 coordinates with probability 0.8^7 = 0.21, so 50
+#: bands miss it with probability 8e-6; at 0.85, with 4e-9.
+BANDS, BAND_ROWS = 50, 7
 #: Rounds in which each bucket's members meet one of them, before the rest meet by rare shingles.
 STAR_ROUNDS = 2
 
