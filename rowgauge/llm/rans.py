@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 
 #: Token i of a block belongs to lane i modulo the number of lanes; a step is one token per lane.
-LANES = 512
+LANES = 2048
 SMALL_LANES = 16
 #: Steps between two places at which decoding can start.
 CHECKPOINT_STEPS = 128

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -15,57 +16,111 @@ from pyspark.sql import functions as F
 
 from .rans import FrequencyTable, decode, encode
 from .scratch import Scratch, send_package
-from .words import byte_texts, pieces
+from .words import LOWER, byte_texts, pieces
 
 #: A block is closed when it holds so many ids; it always holds whole documents.
-BLOCK_TOKENS = 1 << 18
+BLOCK_TOKENS = 1 << 20
 
 _TABLE = "id long, frequency long, bits int, vocabulary long"
 _BLOCK = "start long, n_tokens long, doc_ids array<long>, lengths array<long>, block binary"
 _ROWS = "part long, start long, n_tokens long, doc_ids array<long>, lengths array<long>"
 
 
-class PieceIds(dict):
+# ASCII signs that end a piece; the apostrophe is not among them, since it starts tokens of its own.
+_SIGNS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+class PieceIds:
     """Piece between ASCII white space to its ids as little-endian 32-bit integers.
 
     White space ends every token of a tokenizer that drops it, so the ids of a text are those of
-    its pieces one after another; pieces seen before are not encoded again.
+    its pieces one after another; pieces seen before are not encoded again. Where the tokenizer
+    lower-cases and splits letters from signs, a piece such as `word,` is put together from `word`
+    and `,`. Of what was seen, the last MOST pieces at least are remembered, twice as many at most.
     """
 
-    MOST = 500_000
+    MOST = 800_000
 
     def __init__(self, path: str) -> None:
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        self.now: dict[bytes, bytes] = {}
+        self.earlier: dict[bytes, bytes] = {}
+        # Whether these hold is asked of the tokenizer, with every sign and two kinds of letters.
+        self.folds_case = self._whole(b"ABC xYz \xc3\xa9A") == self._whole(b"abc xyz \xc3\xa9a")
+        self.splits_signs = all(
+            self._whole(x + bytes([c]) * n) == self._whole(x) + self._whole(bytes([c]) * n)
+            for x in (b"the", b"caf\xc3\xa9", b"7") for c in _SIGNS for n in (1, 3)
+        )
+
+    def _whole(self, piece: bytes) -> bytes:
+        return array("I", self.tokenizer.encode(piece.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
+
+    def _parts(self, piece: bytes) -> tuple[bytes, ...]:
+        """A word and the signs behind it, if the tokenizer surely cuts between them."""
+        word = piece.rstrip(_SIGNS)
+        if self.splits_signs and 0 < len(word) < len(piece) and b"<|" not in piece:
+            if word[-1:].isalnum():  # ASCII
+                return word, piece[len(word) :]
+            # Case folding can leave a mark at the end, which belongs to the signs.
+            last = unicodedata.normalize("NFC", word.decode("utf-8", "replace")).lower()[-1]
+            if last.isalpha():
+                return word, piece[len(word) :]
+        return (piece,)
 
     def learn(self, wanted: set[bytes]) -> None:
-        new = [p for p in wanted if p not in self]
-        if len(self) + len(new) > self.MOST:
-            self.clear()
-            new = list(wanted)
+        """Have the ids of all wanted pieces in `now`."""
+        if len(self.now) > self.MOST:
+            self.earlier, self.now = self.now, {}
+        now, earlier, cut = self.now, self.earlier, {}
+        for piece in wanted:
+            if piece not in now:
+                if piece in earlier:
+                    now[piece] = earlier[piece]
+                else:
+                    cut[piece] = self._parts(piece)
+        new = list({x for parts in cut.values() for x in parts if x not in now})
         for start in range(0, len(new), 2048):
             some = new[start : start + 2048]
+            # One call for many pieces between blanks; a token belongs to the piece it starts in.
             texts = [p.decode("utf-8", "replace") for p in some]
-            for piece, found in zip(some, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-                self[piece] = array("I", found.ids).tobytes()
+            found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+            begins = np.fromiter((first for first, _ in found.offsets), np.int64, len(found.ids))
+            after = np.cumsum([len(t) + 1 for t in texts])
+            ids, cuts = array("I", found.ids).tobytes(), [0, *(4 * np.searchsorted(begins, after)).tolist()]
+            for piece, a, b in zip(some, cuts, cuts[1:]):
+                now[piece] = ids[a:b]
+        for piece, parts in cut.items():
+            if len(parts) > 1:
+                now[piece] = now[parts[0]] + now[parts[1]]
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
-        split = [t.split() for t in texts]
+        # Special tokens are told by their case, so texts that may hold one stay as they are.
+        split = [(t.translate(LOWER) if self.folds_case and b"<|" not in t else t).split() for t in texts]
         self.learn(set().union(*split))
         for words in split:
-            yield b"".join(map(self.__getitem__, words))
+            yield b"".join(map(self.now.__getitem__, words))
+
+
+_KNOWN: dict[str, PieceIds] = {}
+
+
+def _piece_ids(path: str) -> PieceIds:
+    """What this Python worker has learnt, kept from task to task."""
+    if path not in _KNOWN:
+        _KNOWN[path] = PieceIds(path)
+    return _KNOWN[path]
 
 
 def _chunks(path: str, end_id: int, block_tokens: int, kind: str):
     """Tokenize documents in the order given and pack them into future blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, part = PieceIds(path), TaskContext.get().partitionId()
+        ids, part = _piece_ids(path), TaskContext.get().partitionId()
         end = array("I", [end_id]).tobytes()
         start, names, lengths, held, size = 0, [], [], [], 0
 
@@ -78,7 +133,7 @@ def _chunks(path: str, end_id: int, block_tokens: int, kind: str):
                 names=["part", "start", "n_tokens", "doc_ids", "lengths", "ids"],
             )
 
-        for batch in pieces(batches, "text", 1 << 20):
+        for batch in pieces(batches, "text", 2 << 20):
             found = ids.encode(byte_texts(batch.column("text")))
             for doc_id, tokens in zip(batch.column("doc_id").to_pylist(), found):
                 names.append(doc_id)
