@@ -73,10 +73,11 @@ def test_nulls_repeats_and_clashing_columns(spark):
     df = docs(spark, odd_texts() + ["x y", "x y"], [None, 1, 2, 3, 4, 5, 6, 7, 8, 8])
     df = df.withColumn("lang", F.when(F.col("doc_id") == 3, None).otherwise(F.col("lang")))
     df = df.withColumn("source", F.when(F.col("doc_id") == 4, None).otherwise(F.col("source")))
-    rows = mixed(df.selectExpr("*", "1 AS tokens", "2 AS topic", "3 AS weight", "4 AS kept"), MIXTURE).collect()
+    targets = {"source": {"src0": 0.5, "*": 0.5}, "lang": {"*": 1.0}, "topic": {"*": 1.0}}
+    rows = mixed(df.selectExpr("*", "1 AS tokens", "2 AS topic", "3 AS weight", "4 AS kept"), targets).collect()
     assert len(rows) == 10 and all(0 <= r.probability <= 1 for r in rows)
     assert len({(r.probability, r.kept) for r in rows if r.doc_id == 8}) == 1
-    assert sample_mixture(df, MIXTURE).columns == df.columns
+    assert sample_mixture(df, targets).columns == df.columns
 
 
 def test_empty_table_and_no_tokens(spark):
