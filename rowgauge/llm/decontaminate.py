@@ -13,11 +13,15 @@ from .scratch import send_package
 from .words import WordHashes, byte_texts, mix, pieces
 
 #: Fixed seeds: of so many words in a row, only those at a 1 are hashed, so that a substitution at
-#: a 0 does no harm. Four shapes of seven words in eleven.
-MASKS = ("11011001011", "11100101101", "10110110011", "11010011101")
+#: a 0 does no harm. Six shapes of seven words in eleven; with CLOSE, one of them fits every run of
+#: MIN_WORDS words or more of which PERCENT or more agree, wherever the substitutions are.
+MASKS = ("11110001011", "10101100111", "11100111001", "10111010011", "11011010101", "10011011011")
+CLOSE = "1111111"
 #: Overlaps of fewer words are not reported, unless the whole item is that short.
 MIN_WORDS = 13
-#: Items of fewer words than this are left out: they would occur anywhere.
+#: Overlaps of which fewer words agree are not reported.
+PERCENT = 80
+#: Items of fewer words, and overlaps of fewer equal words, are left out: they would occur anywhere.
 MIN_ITEM = 5
 #: Words of the benchmark that one pass over the documents looks for.
 BLOCK_WORDS = 1 << 18
@@ -48,26 +52,39 @@ def seed_hashes(hashes: np.ndarray, mask: str) -> np.ndarray:
     return total ^ (total >> np.uint64(32))
 
 
+def masks_for(size: int, percent: int, min_words: int) -> tuple[str, ...]:
+    """Masks of which one fits every overlap that an item of `size` words can have.
+
+    Where MASKS don't answer for it, that is the longest stretch of equal words which substitutions
+    leave at least: k of them cut n words into k + 1 stretches.
+    """
+    if size >= min_words >= MIN_WORDS and percent >= PERCENT:
+        return (*MASKS, CLOSE)
+    least = min(size, min_words)
+    # A hundred lengths: beyond, the shares of substitutions come again and stretches only grow.
+    shortest = size
+    for n in range(least, min(size, least + 99) + 1):
+        k = max(0, min(n * (100 - percent) // 100, n - MIN_ITEM))
+        shortest = min(shortest, -(-(n - k) // (k + 1)))
+    return ("1" * shortest,)
+
+
 class Items:
     """A block of benchmark items: their words and, for each mask, the sorted seed hashes."""
 
-    def __init__(self, items: list[tuple[int, list[bytes]]]) -> None:
+    def __init__(self, items: list[tuple[int, list[bytes]]], percent: int, min_words: int) -> None:
         hashes = WordHashes()
         self.ids = [i for i, _ in items]
         self.words = [hashes.of(w) for _, w in items]
-        span = len(MASKS[0])
-        short = sorted({len(w) for w in self.words if len(w) < span})
+        owned: dict[str, list[int]] = {}
+        for k, words in enumerate(self.words):
+            for mask in masks_for(len(words), percent, min_words):
+                owned.setdefault(mask, []).append(k)
         self.seeds = []
-        for mask in (*MASKS, *("1" * n for n in short)):
-            keys, owners, places = [], [], []
-            for k, words in enumerate(self.words):
-                if len(words) >= span if len(mask) == span else len(words) == len(mask):
-                    found = seed_hashes(words, mask)
-                    keys.append(found)
-                    owners.append(np.full(len(found), k, dtype=np.int64))
-                    places.append(np.arange(len(found), dtype=np.int64))
-            if not keys:
-                continue
+        for mask, own in owned.items():
+            keys = [seed_hashes(self.words[k], mask) for k in own]
+            owners = [np.full(len(found), k, dtype=np.int64) for k, found in zip(own, keys)]
+            places = [np.arange(len(found), dtype=np.int64) for found in keys]
             key, owner, place = map(np.concatenate, (keys, owners, places))
             order = np.argsort(key, kind="stable")
             seen = np.zeros(1 << _TABLE_BITS, dtype=bool)
@@ -88,12 +105,12 @@ class Items:
 
 
 def best_run(equal: np.ndarray, percent: int) -> tuple[int, int]:
-    """Start and stop of the run that has most agreement beyond `percent` of its places."""
+    """Start and stop of the longest run of which `percent` or more agree, the first of equals."""
     gain = np.concatenate([[0], np.cumsum(np.where(equal, 100 - percent, -percent))])
-    lowest = np.minimum.accumulate(gain)
-    stop = int(np.argmax(gain - lowest))
-    start = int(np.argmin(gain[: stop + 1]))
-    return start, stop
+    # A run ends at `stop` as it should if the gain before it is not higher: begin at the first such.
+    start = np.searchsorted(-np.minimum.accumulate(gain), -gain, side="left")
+    stop = int(np.argmax(np.arange(len(gain)) - start))
+    return int(start[stop]), stop
 
 
 def _overlaps(items: Items, words: np.ndarray, hits: np.ndarray, percent: int, min_words: int):
@@ -105,7 +122,7 @@ def _overlaps(items: Items, words: np.ndarray, hits: np.ndarray, percent: int, m
         equal = words[low + diagonal : high + diagonal] == own[low:high]
         start, stop = best_run(equal, percent)
         n = int(equal[start:stop].sum())
-        if stop - start < min(min_words, len(own)) or 100 * n < percent * (stop - start):
+        if stop - start < min(min_words, len(own)) or n < MIN_ITEM:
             continue
         if int(item) not in best or n > best[int(item)][3]:
             best[int(item)] = (int(low + start + diagonal), int(low + start), int(stop - start), n)
@@ -114,7 +131,7 @@ def _overlaps(items: Items, words: np.ndarray, hits: np.ndarray, percent: int, m
 
 def _search(blocks: list[tuple[int, list[bytes]]], percent: int, min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, memory = Items(blocks), WordHashes()
+        items, memory = Items(blocks, percent, min_words), WordHashes()
         for batch in pieces(batches, "text"):
             docs = [plain_words(t) for t in byte_texts(batch.column("text"))]
             ends = np.cumsum([len(w) for w in docs])
@@ -144,17 +161,18 @@ def _search(blocks: list[tuple[int, list[bytes]]], percent: int, min_words: int)
 def benchmark_overlaps(
     docs: DataFrame,
     benchmark: DataFrame,
-    percent: int = 80,
+    percent: int = PERCENT,
     min_words: int = MIN_WORDS,
     block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
     """(doc_id, item_id, doc_word, item_word, n_words, n_equal): benchmark passages in documents.
 
     Words are runs of ASCII letters, digits and non-ASCII characters, A-Z lower-cased. Seeds of the
-    documents and of the benchmark that agree under one of the fixed MASKS are joined; on each hit's
-    diagonal, the run with most agreement is reported if it has `min_words` words or more (or the
-    whole of a shorter item) of which `percent` or more agree. One row per document and item, the
-    run with most equal words (the earliest diagonal of equals), places counted in words from 0.
+    documents and of the benchmark that agree under one of the fixed masks are joined; on each hit's
+    diagonal, the longest run of which `percent` or more agree is reported if it has `min_words` words
+    or more (or is the whole of a shorter item) and MIN_ITEM or more agree. Masks are chosen so that
+    every such run has a seed. One row per document and item, of these runs that with most equal
+    words (the earliest diagonal of equals), places counted in words from 0.
 
     Documents are read as they lie, without a shuffle. The benchmark is looked for in blocks of
     `block_words` words, each a pass over the documents, so that what a task holds is bounded

@@ -1,11 +1,13 @@
 from __future__ import annotations
 
+import itertools
+import random
 import re
 
 import numpy as np
 import pytest
 
-from rowgauge.llm.decontaminate import MASKS, benchmark_overlaps, best_run, plain_words
+from rowgauge.llm.decontaminate import CLOSE, MASKS, benchmark_overlaps, best_run, masks_for, plain_words
 from rowgauge.llm.queries import QUERIES
 
 from .helpers import SCHEMA, SF, docs, odd_texts, prose
@@ -96,3 +98,60 @@ def test_masks_are_of_one_shape():
 @pytest.mark.parametrize("equal,want", [([1, 1, 1], (0, 3)), ([0, 0, 1, 1, 0], (2, 4)), ([1] * 8 + [0] + [1] * 8, (0, 17))])
 def test_best_run(equal, want):
     assert best_run(np.array(equal, dtype=bool), 80) == want
+
+
+def by_the_rule(text, item, percent=80, least=13):
+    """Whether any run on any diagonal has words enough of which enough agree; every run is tried."""
+    words, own = plain_words(text.encode()), plain_words(item.encode())
+    least = min(least, len(own))
+    for diagonal in range(1 - len(own), len(words)):
+        low, high = max(0, -diagonal), min(len(own), len(words) - diagonal)
+        total = [0, *itertools.accumulate(words[i + diagonal] == own[i] for i in range(low, high))]
+        for start in range(len(total)):
+            for stop in range(start + least, len(total)):
+                n = total[stop] - total[start]
+                if n >= 5 and 100 * n >= percent * (stop - start):
+                    return True
+    return False
+
+
+def substituted(item, places):
+    return " ".join(f"other{k}" if k in places else w for k, w in enumerate(item.split()))
+
+
+def test_every_run_that_meets_the_rule_is_found(spark):
+    rng = random.Random(1)
+    texts, items = [], []
+    for k in range(300):
+        size = rng.choice([*range(5, 31), 40, 60])
+        item = prose(1000 + k, size)
+        some = rng.sample(range(size), min(size, size // 5 + (k % 7 == 0)))
+        if k % 5 == 0:
+            some = range(k % 4, size, 5)
+        items.append(item)
+        texts.append(f"before {substituted(item, set(some))} after")
+    want = {(k, k) for k in range(300) if by_the_rule(texts[k], items[k])}
+    assert len(want) > 200
+    assert pairs(benchmark_overlaps(docs(spark, texts), bench(spark, items))) == want
+
+
+@pytest.mark.parametrize("size,changed", [(13, 2), (15, 3), (20, 4), (25, 5)])
+def test_a_mask_fits_wherever_the_substitutions_are(size, changed):
+    """Every longer run that meets the rule holds one of these lengths that does."""
+    masks = [(int(m[::-1], 2) << at) for m in (*MASKS, CLOSE) for at in range(size - len(m) + 1)]
+    for places in itertools.combinations(range(size), changed):
+        gone = sum(1 << p for p in places)
+        assert any(not gone & mask for mask in masks), places
+
+
+@pytest.mark.parametrize("size,percent,least", [(6, 80, 13), (10, 80, 13), (12, 80, 13), (14, 70, 9), (16, 60, 13)])
+def test_masks_of_short_items_and_other_shares(size, percent, least):
+    (mask,) = masks_for(size, percent, least)
+    for n in range(min(size, least), size + 1):
+        for places in itertools.combinations(range(n), min(n * (100 - percent) // 100, n - 5)):
+            assert "1" * len(mask) in "".join("0" if k in places else "1" for k in range(n))
+
+
+@pytest.mark.parametrize("equal,want", [([1] * 3 + [0] + [1] * 9, (0, 13)), ([0, 1, 1, 1, 1, 0, 0, 0, 0, 0, 1], (0, 5)), ([0, 0], (0, 0)), ([], (0, 0))])
+def test_best_run_is_the_longest(equal, want):
+    assert best_run(np.array(equal, dtype=bool), 80) == want
