@@ -15,8 +15,7 @@ from pyspark.sql import functions as F
 from .scratch import Scratch, free_names, send_package
 from .words import byte_texts, pieces
 
-#: A run is closed at its second or a later sentence once it has so many words, or at its first
-#: if that has twice as many.
+#: A run of two sentences or more has so many words at least, one of a single sentence twice as many.
 RUN_WORDS = 15
 
 # A sentence ends after . ! ? and what closes quotes, before white space, or at a line's end.
@@ -37,15 +36,21 @@ def sentences(text: bytes) -> list[tuple[int, int]]:
 
 
 def runs(words: list[int], least: int) -> list[tuple[int, int]]:
-    """(first, last) of the shortest run from every sentence that has words enough."""
-    total = np.concatenate([[0], np.cumsum(words)])
+    """(first, last), sorted, of the shortest runs from and up to every sentence, and of long sentences.
+
+    Any sentence of a longer run lies in one of these that the run holds: so whatever of a text is
+    repeated as a run is repeated as some of these, and nothing else is.
+    """
+    total = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
     at = np.arange(len(words))
     # The last sentence of the run is the first whose total reaches what is wanted.
-    many = np.searchsorted(total, total[:-1] + least, side="left") - 1
-    last = np.maximum(many, at + 1)
-    last[np.asarray(words) >= 2 * least] = at[np.asarray(words) >= 2 * least]
-    fits = (last < len(words)) & (total[np.minimum(last, len(words) - 1) + 1] - total[:-1] >= least)
-    return list(zip(at[fits].tolist(), last[fits].tolist()))
+    last = np.maximum(np.searchsorted(total, total[:-1] + least, side="left") - 1, at + 1)
+    # The first sentence of the run is the last from which the total is what is wanted.
+    first = np.minimum(np.searchsorted(total, total[1:] - least, side="right") - 1, at - 1)
+    found = {(k, k) for k in at[np.asarray(words, dtype=np.int64) >= 2 * least].tolist()}
+    found.update(zip(at[last < len(words)].tolist(), last[last < len(words)].tolist()))
+    found.update(zip(first[first >= 0].tolist(), at[first >= 0].tolist()))
+    return sorted(found)
 
 
 def _normal(sentence: bytes) -> bytes:
@@ -131,11 +136,12 @@ def _cut(text: Column, spans: Column) -> Column:
 def remove_repeats(docs: DataFrame, least: int = RUN_WORDS) -> DataFrame:
     """The documents that lose sentences, with (n_sentences, n_removed, first_doc_ids) added.
 
-    Every run of several consecutive sentences with `least` words or more is hashed; of each that
-    occurs more than once, in one or in several documents, the first occurrence stays and all
-    sentences that another occurrence covers are removed from `text`. A single sentence of
-    2 * `least` words or more is a run too. `first_doc_ids` lists, sorted, the documents that hold
-    the first occurrences. Documents without repeated runs are not in the result.
+    Of every run of several consecutive sentences with `least` words or more that occurs more than
+    once, in one or in several documents, the first occurrence stays and all sentences that another
+    occurrence covers are removed from `text`. A single sentence of 2 * `least` words or more is a
+    run too. Hashed are the shortest runs from and up to every sentence, which cover every sentence
+    of the longer ones. `first_doc_ids` lists, sorted, the documents that hold the first occurrences
+    of the hashed runs. Documents without repeated runs are not in the result.
 
     Null and empty texts have no sentence. Text without ends of sentences is one sentence. Rows
     whose doc_id is null take no part. Rows that share a doc_id are one document: a run at one place

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 
 from rowgauge.llm.queries import QUERIES
@@ -91,3 +93,54 @@ def test_sentences(text, want):
 
 def test_runs_of_nothing():
     assert runs([], 15) == [] and runs([3], 15) == [] and runs([30], 15) == [(0, 0)] and runs([14, 1], 15) == [(0, 1)]
+
+
+def by_the_rule(rows, least=RUN_WORDS):
+    """{row number: removed sentence numbers}: every repeated run, however long, by (doc_id, text) and place."""
+    first, places = {}, []
+    for k, (doc_id, text) in sorted(enumerate(rows), key=lambda r: r[1]):
+        own = normal(text.encode())
+        for a in range(len(own)):
+            for b in range(a, len(own)):
+                n = sum(len(s.split()) for s in own[a : b + 1])
+                if b > a and n >= least or n >= 2 * least:
+                    run = tuple(own[a : b + 1])
+                    first.setdefault(run, (doc_id, text, a))
+                    places.append((k, doc_id, text, a, b, run))
+    gone = {}
+    for k, doc_id, text, a, b, run in places:
+        if first[run] != (doc_id, text, a):
+            gone.setdefault(k, set()).update(range(a, b + 1))
+    return gone
+
+
+def spans(seed, *sizes):
+    """One sentence of made-up words for every size."""
+    return " ".join(prose(seed * 100 + k, n).replace(".", "") + "." for k, n in enumerate(sizes))
+
+
+@pytest.mark.parametrize("sizes", [(35, 25), (10, 10, 3), (35, 10, 3), (8, 6, 8), (1, 1, 40, 1, 1), (3, 14, 2, 2)])
+def test_the_whole_of_a_passage_goes(spark, sizes):
+    passage = spans(7, *sizes)
+    texts = [f"{prose(1)}\n{passage}\n{prose(2)}", f"{prose(3)}\n{passage}\n{prose(4)}"]
+    (r,) = remove_repeats(docs(spark, texts)).collect()
+    assert (r.doc_id, r.n_removed, r.text.split()) == (1, len(sizes), f"{prose(3)} {prose(4)}".split())
+
+
+def test_every_repeated_run_goes_and_nothing_else(spark):
+    rng = random.Random(3)
+    known = [spans(k, n) for k, n in enumerate([1, 2, 3, 5, 8, 9, 14, 15, 16, 29, 30, 31, 40])]
+    texts = [" ".join(rng.choice(known) if rng.random() < 0.7 else spans(500 + 20 * k + j, rng.randrange(1, 20)) for j in range(8)) for k in range(40)]
+    want = by_the_rule(list(enumerate(texts)))
+    got = {r.doc_id: r for r in remove_repeats(docs(spark, texts)).collect()}
+    assert set(got) == set(want) and len(want) > 10
+    for k, gone in want.items():
+        own = normal(texts[k].encode())
+        assert got[k].text.lower().encode().split() == b" ".join(s for j, s in enumerate(own) if j not in gone).split()
+
+
+def test_given_documents_by_the_rule(spark):
+    df = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) < 4000")
+    rows = [(r.doc_id, r.text) for r in df.collect()]
+    got = {r.doc_id: r.n_removed for r in remove_repeats(df).collect()}
+    assert got == {rows[k][0]: len(gone) for k, gone in by_the_rule(rows).items()}
