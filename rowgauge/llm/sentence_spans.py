@@ -60,49 +60,60 @@ def _normal(sentence: bytes) -> bytes:
 def _runs(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
-            ids, hashes, firsts, lasts = [], [], [], []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), byte_texts(batch.column("text"))):
+            ids, texts, hashes, firsts, lasts = [], [], [], [], []
+            columns = (batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist())
+            for doc_id, text_hash, text in zip(*columns, byte_texts(batch.column("text"))):
                 own = [_normal(text[a:b]) for a, b in sentences(text)]
                 for first, last in runs([s.count(b" ") + 1 for s in own], least):
                     ids.append(doc_id)
+                    texts.append(text_hash)
                     hashes.append(xxhash.xxh3_64_intdigest(b"\n".join(own[first : last + 1])))
                     firsts.append(first)
                     lasts.append(last)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(np.array(hashes, dtype=np.uint64).view(np.int64)),
+                [pa.array(ids, pa.int64()), pa.array(texts, pa.int64()),
+                 pa.array(np.array(hashes, dtype=np.uint64).view(np.int64)),
                  pa.array(firsts, pa.int32()), pa.array(lasts, pa.int32())],
-                names=["doc_id", "run", "first", "last"],
+                names=["doc_id", "text_hash", "run", "first", "last"],
             )
 
     return run
 
 
+def _text_hash() -> Column:
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def repeated_runs(docs: DataFrame, least: int = RUN_WORDS) -> DataFrame:
-    """(doc_id, first, last, kept_doc_id): runs of sentences that are no first occurrence.
+    """(doc_id, text_hash, first, last, kept_doc_id): runs of sentences that are no first occurrence.
 
     A run is known by the hash of its sentences, ASCII lower-cased with white space made one blank;
-    its first occurrence is that of smallest doc_id and then place. Runs are found in one pass and
+    its first occurrence is that of smallest doc_id, then hash of the text, then place. Runs are found in one pass and
     kept; first occurrences are combined before the shuffle, so that a run in a third of all
     documents costs one row per task, and only runs that do occur twice are joined back.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
     found = scratch.keep(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        docs.select(
+            F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+            _text_hash().alias("text_hash"),
+        )
         .where("doc_id IS NOT NULL")
-        .mapInArrow(_runs(least), "doc_id long, run long, first int, last int"),
+        .mapInArrow(_runs(least), "doc_id long, text_hash long, run long, first int, last int"),
         "runs",
     )
+    place = F.struct("doc_id", "text_hash", "first")
     firsts = (
         found.groupBy("run")
-        .agg(F.min(F.struct("doc_id", "first")).alias("at"), F.max(F.struct("doc_id", "first")).alias("end"))
+        .agg(F.min(place).alias("at"), F.max(place).alias("end"))
         .where("at != end")
-        .select("run", F.col("at.doc_id").alias("kept_doc_id"), F.col("at.first").alias("kept_first"))
+        .select("run", "at")
     )
     return (
         found.join(firsts, "run")
-        .where("doc_id != kept_doc_id OR first != kept_first")
-        .select("doc_id", "first", "last", "kept_doc_id")
+        .where(place != F.col("at"))
+        .select("doc_id", "text_hash", "first", "last", F.col("at.doc_id").alias("kept_doc_id"))
     )
 
 
@@ -144,20 +155,21 @@ def remove_repeats(docs: DataFrame, least: int = RUN_WORDS) -> DataFrame:
     of the hashed runs. Documents without repeated runs are not in the result.
 
     Null and empty texts have no sentence. Text without ends of sentences is one sentence. Rows
-    whose doc_id is null take no part. Rows that share a doc_id are one document: a run at one place
-    of both is one occurrence, so copies with the same doc_id don't remove each other. Other columns
-    are carried along; added names that clash get an underscore. An empty table gives no rows.
+    whose doc_id is null take no part. Rows that share doc_id and text are one document: a run at one
+    place of both is one occurrence, so copies with the same doc_id don't remove each other. Rows with
+    one doc_id and different texts are documents of their own. Other columns are carried along; added
+    names that clash get an underscore. An empty table gives no rows.
     """
     send_package(docs.sparkSession)
-    key, spans, cut, count, removed, firsts = free_names(
-        docs, "span_doc_id", "spans", "cut", "n_sentences", "n_removed", "first_doc_ids"
+    key, text_key, spans, cut, count, removed, firsts = free_names(
+        docs, "span_doc_id", "span_text_hash", "spans", "cut", "n_sentences", "n_removed", "first_doc_ids"
     )
     found = (
-        repeated_runs(docs, least).groupBy(F.col("doc_id").alias(key))
+        repeated_runs(docs, least).groupBy(F.col("doc_id").alias(key), F.col("text_hash").alias(text_key))
         .agg(F.collect_set(F.col("first").cast("long") * (1 << 32) + F.col("last")).alias(spans),
              F.array_sort(F.collect_set("kept_doc_id")).alias(firsts))
     )
-    joined = docs.join(found, docs["doc_id"] == found[key]).withColumn(
+    joined = docs.join(found, (docs["doc_id"] == found[key]) & (_text_hash() == found[text_key])).withColumn(
         cut, _cut(F.col("text").cast("string"), F.col(spans))
     )
     columns = [F.col(f"{cut}.text").alias("text") if c == "text" else docs[c] for c in docs.columns]

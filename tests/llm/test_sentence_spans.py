@@ -144,3 +144,17 @@ def test_given_documents_by_the_rule(spark):
     rows = [(r.doc_id, r.text) for r in df.collect()]
     got = {r.doc_id: r.n_removed for r in remove_repeats(df).collect()}
     assert got == {rows[k][0]: len(gone) for k, gone in by_the_rule(rows).items()}
+
+
+def test_one_doc_id_on_different_texts(spark):
+    passage = spans(8, 12, 12, 12)
+    rows = [
+        (4, f"{prose(1)}\n{passage}"), (4, "Short. Text."), (4, f"{passage}\n{prose(2)}"), (4, f"{passage}\n{prose(3)}"),
+        (4, f"{prose(1)}\n{passage}"), (5, prose(4)), (5, f"{passage}\n{prose(5)}"),
+    ]
+    got = remove_repeats(docs(spark, [t for _, t in rows], [i for i, _ in rows])).collect()
+    # The first of the three texts of document 4 with the passage keeps it, with its copy if it has one.
+    assert sorted(r.doc_id for r in got) in ([4, 4, 5], [4, 4, 4, 5])
+    assert {r.n_removed for r in got} == {3} and all(r.first_doc_ids == [4] for r in got)
+    texts = {" ".join(t.split()) for _, t in rows}
+    assert all(f"{r.text.strip()} {passage}" in texts or f"{passage} {r.text.strip()}" in texts for r in got)
