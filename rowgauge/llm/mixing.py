@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +21,8 @@ TOPICS = (
 )
 OTHER_TOPIC = "prose"
 
-_GRID = 64
+#: The draw meets the shares to this share of all tokens drawn, in so many rounds at most.
+_NEAR, _ROUNDS, _HALVINGS = 1e-5, 3000, 16
 
 
 def topic_of(text: Column) -> Column:
@@ -39,22 +41,60 @@ def n_words(text: Column) -> Column:
 
 @dataclass
 class Mixture:
-    """Calibrated weights: a factor for each value of each margin, and the scale of the sample."""
+    """Calibrated weights: a factor for each value of each margin, and the scale of the sample.
+
+    `drawn` has the factors of the draw: those of the weights, unless some would pass a probability
+    of one. `fraction` is the expected share of all tokens, `shares` those of each margin in the draw.
+    """
 
     factors: dict[str, dict[str, float]]
     scale: float
     rounds: int
     gap: float
+    drawn: dict[str, dict[str, float]]
+    fraction: float
+    shares: dict[str, dict[str, float]]
 
     def weight(self, margins: dict[str, Column]) -> Column:
         """Product of a row's factors: its calibrated weight, up to `scale`."""
-        total = F.lit(1.0)
-        for name, column in margins.items():
-            total = total * _lookup(self.factors[name], column)
-        return total
+        return _product(self.factors, margins)
 
     def probability(self, margins: dict[str, Column]) -> Column:
-        return F.least(F.lit(1.0), self.scale * self.weight(margins))
+        return F.least(F.lit(1.0), self.scale * _product(self.drawn, margins))
+
+
+def _product(factors: dict[str, dict[str, float]], margins: dict[str, Column]) -> Column:
+    total = F.lit(1.0)
+    for name, column in margins.items():
+        total = total * _lookup(factors[name], column)
+    return total
+
+
+def _bounded(
+    tokens: np.ndarray, weights: np.ndarray, codes: list[np.ndarray], sizes: list[int], fraction: float
+) -> tuple[list[np.ndarray], float] | None:
+    """(factors of every margin, scale) with which min(1, scale * weight * factors) draws `fraction` of
+    all tokens in the margins' weighted shares; None if it does not come to that."""
+    weighed = tokens * weights
+    scale = fraction * tokens.sum() / weighed.sum()
+    goals = [np.bincount(c, weighed, n) * scale for c, n in zip(codes, sizes)]
+    if any((np.bincount(c, tokens * (weights > 0), n) < goal * (1 - 1e-9)).any() for c, n, goal in zip(codes, sizes, goals)):
+        return None
+    factors = [np.ones(n) for n in sizes]
+    raised = weights * scale
+    for _ in range(_ROUNDS):
+        gap = 0.0
+        for c, n, goal, factor in zip(codes, sizes, goals, factors):
+            have = np.bincount(c, tokens * np.minimum(1.0, raised), n)
+            gap = max(gap, np.abs(have - goal).max() / goal.sum())
+            step = np.divide(goal, have, out=np.ones(n), where=have > 0)
+            factor *= step
+            raised = raised * step[c]
+        if not np.isfinite(raised).all():
+            return None
+        if gap <= _NEAR:
+            return factors, scale
+    return None
 
 
 def _lookup(values: dict[str, float], key: Column) -> Column:
@@ -80,9 +120,11 @@ def rake(
     not given. One pass sums tokens by the combination of values, and the sums stay distributed;
     each step of the fit is an aggregate over these sums that returns one number per named value.
     Stops when all shares are within `tolerance`, or no longer come nearer, as where targets
-    contradict what there is, or after `rounds`. `scale` is then chosen so that
-    the expected tokens of the sample are `fraction` of all, as far as the documents go: those whose
-    probability would pass one are surely taken, and the others' share grows.
+    contradict what there is, or after `rounds`. The draw keeps the shares so reached: where weights
+    scaled to `fraction` of all tokens would pass a probability of one, such combinations are surely
+    taken and the others raked again, and where no draw of `fraction` has these shares, as where a
+    source is to have more tokens than there are, the largest fraction that has them is drawn. For
+    that the sums come to the driver, one row for every combination of named values that occurs.
     """
     shared_folder(docs.sparkSession)
     named = {m: [v for v in values if v != REST] for m, values in targets.items()}
@@ -94,14 +136,8 @@ def rake(
     )
     factors = {m: {v: 1.0 for v in (*named[m], REST)} for m in margins}
 
-    def product() -> Column:
-        total = F.lit(1.0)
-        for m in margins:
-            total = total * _lookup(factors[m], F.col(m))
-        return total
-
     def shares(margin: str) -> dict[str, float]:
-        weighed = cells.select(margin, (F.col("tokens") * product()).alias("w"))
+        weighed = cells.select(margin, (F.col("tokens") * _product(factors, {m: F.col(m) for m in margins})).alias("w"))
         return {r[0]: r[1] for r in weighed.groupBy(margin).agg(F.sum("w")).collect()}
 
     wanted: dict[str, dict[str, float]] = {}
@@ -122,18 +158,39 @@ def rake(
                 factors[m][v] *= share / have if have > 0 else 0.0
         if gap <= tolerance or done > 1 and gap > 0.99 * last:
             break
-    # Expected tokens grow with the scale: narrow it down on a grid, a few aggregates in all.
-    top = cells.select((F.col("tokens")).alias("t"), product().alias("g"))
-    low, high, goal = top.agg(F.min(F.when(F.col("g") > 0, F.col("g"))), F.max("g"), F.sum("t")).first()
-    if not goal or not high:
-        return Mixture(factors, 0.0, done, gap)
-    low, high, goal = 0.0, 1.0 / low, goal * fraction
-    for _ in range(6):
-        grid = [low + (high - low) * k / _GRID for k in range(_GRID + 1)]
-        sums = top.agg(*(F.sum(F.col("t") * F.least(F.lit(1.0), F.col("g") * s)).alias(f"s{k}") for k, s in enumerate(grid))).first()
-        after = next((k for k, s in enumerate(sums) if s >= goal), _GRID)
-        low, high = grid[max(0, after - 1)], grid[after]
-    return Mixture(factors, high, done, gap)
+    table = cells.toArrow()
+    values, codes = {}, []
+    for m in margins:
+        column = table.column(m).combine_chunks().dictionary_encode()
+        values[m] = column.dictionary.to_pylist()
+        codes.append(column.indices.to_numpy(zero_copy_only=False).astype(np.int64))
+    total = table.column("tokens").to_numpy()
+    weights = np.ones(len(total))
+    for m, c in zip(margins, codes):
+        weights = weights * np.array([factors[m][v] for v in values[m]])[c]
+    if not len(total) or not weights.max() > 0:
+        return Mixture(factors, 0.0, done, gap, factors, 0.0, {m: {} for m in margins})
+    # Up to this fraction no probability passes one.
+    low, high = float((total * weights).sum() / weights.max() / total.sum()), fraction
+    sizes = [len(values[m]) for m in margins]
+    best = [np.ones(n) for n in sizes], min(low, high) * total.sum() / (total * weights).sum()
+    if low < high:
+        middle = high
+        for _ in range(_HALVINGS):
+            found = _bounded(total, weights, codes, sizes, middle)
+            low, high, best = (middle, high, found) if found else (low, middle, best)
+            if low >= high:
+                break
+            middle = (low + high) / 2
+    adjusted, scale = best
+    drawn = {m: dict(factors[m]) for m in margins}
+    expected = weights * scale
+    for m, c, adjust in zip(margins, codes, adjusted):
+        drawn[m].update((v, factors[m][v] * float(x)) for v, x in zip(values[m], adjust))
+        expected = expected * adjust[c]
+    expected = total * np.minimum(1.0, expected)
+    reached = {m: dict(zip(values[m], (np.bincount(c, expected) / expected.sum()).tolist())) for m, c in zip(margins, codes)}
+    return Mixture(factors, float(scale), done, gap, drawn, float(expected.sum() / total.sum()), reached)
 
 
 def draw(key: Column, seed: int) -> Column:
@@ -151,7 +208,8 @@ def mixed(docs: DataFrame, targets: dict[str, dict[str, float]], fraction: float
     """(doc_id, source, lang, topic, n_tokens, weight, probability, kept) of every document.
 
     Token counts are words of the whole text. `weight` is the calibrated weight of the document's
-    source, language and topic, `probability` that of being drawn, `kept` the draw, which depends
+    source, language and topic, `probability` that of being drawn, with which expected
+    tokens have the shares of the weights (see `rake` on `fraction`), `kept` the draw, which depends
     on doc_id and seed only. Null sources and languages, and values without a target, are the rest.
     Null and empty texts have no tokens and topic `prose`; they are drawn as others of their kind.
     Repeated rows are drawn alike; null doc_ids share one draw. Other columns are not read. An empty

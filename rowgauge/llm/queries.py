@@ -64,7 +64,7 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_mix_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calibrated weights and the draw of half of all tokens, for every document."""
+    """Calibrated weights and the draw of half of all tokens, or as many as meet MIXTURE, for every document."""
     return mixed(table(spark, sf_dir, "documents"), MIXTURE, fraction=0.5)
 
 

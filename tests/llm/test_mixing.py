@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rowgauge.llm.mixing import mixed, n_words, rake, sample_mixture, topic_of
+from rowgauge.llm.mixing import draw, mixed, n_words, rake, sample_mixture, topic_of
 from rowgauge.llm.queries import MIXTURE, QUERIES
 
 from .helpers import SCHEMA, SF, docs, odd_texts
@@ -89,3 +89,31 @@ def test_words_and_topics(spark):
     rows = [(None, 0, "prose"), ("", 0, "prose"), ("  a\tb\n", 2, "prose"), ("MIT License", 2, "legal"), ("mail x@y.org now", 3, "contact"), ("a | b | c", 5, "table")]
     df = spark.createDataFrame(rows, "t string, n long, topic string")
     assert [tuple(r) for r in df.select(n_words(F.col("t")), topic_of(F.col("t"))).collect()] == [r[1:] for r in rows]
+
+
+@pytest.mark.parametrize("fraction", [0.1, 0.5, 0.9])
+def test_the_draw_meets_the_targets(spark, fraction):
+    """Of source `rare` there is too little for its target in a draw of half."""
+    df = spark.range(40_000).select(
+        F.when(F.col("id") % 25 == 0, "rare").otherwise("often").alias("a"),
+        F.concat(F.lit("l"), F.when(F.col("id") % 7 < 4, 0).otherwise(F.col("id") % 3)).alias("b"), F.lit(10).alias("t"), "id",
+    )
+    targets = {"a": {"rare": 0.15, "*": 0.85}, "b": {"l0": 0.4, "l1": 0.3, "l2": 0.3}}
+    margins = {"a": F.col("a"), "b": F.col("b")}
+    mixture = rake(df, margins, F.col("t"), targets, fraction)
+    rows = df.select("a", "b", mixture.probability(margins).alias("p"), (draw(F.col("id"), 42) < mixture.probability(margins)).alias("kept")).toPandas()
+    assert mixture.fraction == pytest.approx(rows.p.mean()) and (rows.p <= 1).all()
+    assert mixture.fraction == pytest.approx(min(fraction, 0.04 / 0.15), rel=5e-3)
+    for name, value, share in [("a", "rare", 0.15), ("b", "l0", 0.4), ("b", "l1", 0.3), ("b", "l2", 0.3)]:
+        assert rows.p[rows[name] == value].sum() / rows.p.sum() == pytest.approx(share, abs=1e-3)
+        assert mixture.shares[name][value] == pytest.approx(share, abs=1e-3)
+        assert (rows.kept & (rows[name] == value)).sum() / rows.kept.sum() == pytest.approx(share, abs=0.03)
+
+
+def test_the_registered_draw_meets_the_targets(spark):
+    rows = QUERIES["op2_mix_to_targets"](spark, SF).toPandas()
+    expected = rows.n_tokens * rows.probability
+    for name, shares in MIXTURE.items():
+        for value, share in shares.items():
+            held = rows[name] == value if value != "*" else ~rows[name].isin(list(shares))
+            assert expected[held].sum() / expected.sum() == pytest.approx(share, abs=1e-3)
