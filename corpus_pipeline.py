@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowgauge.llm import mixing
-from rowgauge.llm.decontaminate import benchmark_overlaps
+from rowgauge.llm.decontaminate import without_overlaps
 from rowgauge.llm.near_dup import near_duplicates
 from rowgauge.llm.quality import keep_good
 from rowgauge.llm.queries import END_ID, MIXTURE, tokenizer_path
@@ -39,11 +39,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of the benchmark go."""
-    (doc_id,) = free_names(docs, "leak_doc_id")
-    found = benchmark_overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    leaks = found.select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks[doc_id]), "left_anti")
+    """Documents that hold a passage of the benchmark go, each row by its own text."""
+    return without_overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import send_package
+from .scratch import free_names, send_package
 from .words import WordHashes, byte_texts, mix, pieces
 
 #: Fixed seeds: of so many words in a row, only those at a 1 are hashed, so that a substitution at
@@ -144,15 +144,15 @@ def _search(blocks: list[tuple[int, list[bytes]]], percent: int, min_words: int)
                 found.append(np.stack([doc, owner, at - starts[doc] - place], axis=1)[inside])
             hits = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
             rows = []
-            ids = batch.column("doc_id")
+            ids, texts = batch.column("doc_id"), batch.column("text_hash")
             for doc in np.unique(hits[:, 0]):
                 own = hits[hits[:, 0] == doc, 1:]
                 for item, run_ in _overlaps(items, words[starts[doc] : ends[doc]], own, percent, min_words).items():
-                    rows.append((ids[int(doc)].as_py(), items.ids[item], *run_))
+                    rows.append((ids[int(doc)].as_py(), texts[int(doc)].as_py(), items.ids[item], *run_))
             if rows:
                 columns = [pa.array(c, pa.int64()) for c in zip(*rows)]
                 yield pa.RecordBatch.from_arrays(
-                    columns, names=["doc_id", "item_id", "doc_word", "item_word", "n_words", "n_equal"]
+                    columns, names=["doc_id", "text_hash", "item_id", "doc_word", "item_word", "n_words", "n_equal"]
                 )
 
     return run
@@ -182,9 +182,36 @@ def benchmark_overlaps(
     out. Null ids are carried along. Repeated rows of documents give repeated rows, repeated items a
     row each. Other columns are not read. Empty tables give no rows.
     """
+    return _found(docs, benchmark, percent, min_words, block_words).drop("text_hash")
+
+
+def without_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of `docs`, with their columns, whose text holds no passage of the benchmark.
+
+    Rows go by doc_id and a hash of the text: a row that leaks takes no other text along, whatever
+    its doc_id, null or shared. Only ids and hashes of the rows that go are joined with the rest.
+    """
+    doc_id, text_hash = free_names(docs, "leak_doc_id", "leak_text_hash")
+    leaks = (
+        _found(docs, benchmark, PERCENT, MIN_WORDS, BLOCK_WORDS)
+        .select(F.col("doc_id").alias(doc_id), F.col("text_hash").alias(text_hash)).distinct()
+    )
+    same = docs["doc_id"].cast("long").eqNullSafe(leaks[doc_id]) & (_text_hash(docs["text"]) == leaks[text_hash])
+    return docs.join(leaks, same, "left_anti")
+
+
+def _text_hash(text: Column) -> Column:
+    return F.xxhash64(text.cast("string"))
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, percent: int, min_words: int, block_words: int) -> DataFrame:
+    """What `benchmark_overlaps` returns, with the hash of the document's text."""
     spark = docs.sparkSession
     send_package(spark)
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    source = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+        _text_hash(F.col("text")).alias("text_hash"),
+    )
     blocks: list[list[tuple[int, list[bytes]]]] = []
     size = block_words
     for row in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).toLocalIterator():
@@ -196,7 +223,7 @@ def benchmark_overlaps(
             size = 0
         blocks[-1].append((row[0], words))
         size += len(words)
-    schema = "doc_id long, item_id long, doc_word long, item_word long, n_words long, n_equal long"
+    schema = "doc_id long, text_hash long, item_id long, doc_word long, item_word long, n_words long, n_equal long"
     if not blocks:
         return spark.createDataFrame([], schema)
     found = [source.mapInArrow(_search(b, percent, min_words), schema) for b in blocks]

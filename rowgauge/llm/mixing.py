@@ -199,6 +199,12 @@ def draw(key: Column, seed: int) -> Column:
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / float(16**12)
 
 
+def _key(docs: DataFrame) -> Column:
+    """What a row is drawn by: its doc_id, or a hash of what is read of it where that is null."""
+    read = F.concat_ws(":", F.lit("row"), *(F.xxhash64(docs[c].cast("string")) for c in ("text", "source", "lang")))
+    return F.coalesce(docs["doc_id"].cast("string"), read)
+
+
 def _parts(docs: DataFrame) -> tuple[dict[str, Column], Column]:
     text = docs["text"].cast("string")
     return {"source": docs["source"].cast("string"), "lang": docs["lang"].cast("string"), "topic": topic_of(text)}, n_words(text)
@@ -210,9 +216,9 @@ def mixed(docs: DataFrame, targets: dict[str, dict[str, float]], fraction: float
     Token counts are words of the whole text. `weight` is the calibrated weight of the document's
     source, language and topic, `probability` that of being drawn, with which expected
     tokens have the shares of the weights (see `rake` on `fraction`), `kept` the draw, which depends
-    on doc_id and seed only. Null sources and languages, and values without a target, are the rest.
+    on doc_id and seed only, or on text, source, lang and seed where doc_id is null. Null sources and languages, and values without a target, are the rest.
     Null and empty texts have no tokens and topic `prose`; they are drawn as others of their kind.
-    Repeated rows are drawn alike; null doc_ids share one draw. Other columns are not read. An empty
+    Repeated rows are drawn alike. Other columns are not read. An empty
     table gives no rows.
     """
     margins, tokens = _parts(docs)
@@ -221,7 +227,7 @@ def mixed(docs: DataFrame, targets: dict[str, dict[str, float]], fraction: float
     return docs.select(
         docs["doc_id"], docs["source"], docs["lang"], margins["topic"].alias("topic"), tokens.alias("n_tokens"),
         mixture.weight(margins).alias("weight"), probability.alias("probability"),
-        (draw(docs["doc_id"], seed) < probability).alias("kept"),
+        (draw(_key(docs), seed) < probability).alias("kept"),
     )
 
 
@@ -229,4 +235,4 @@ def sample_mixture(docs: DataFrame, targets: dict[str, dict[str, float]], fracti
     """The rows of `docs`, with their columns, that `mixed` draws; no shuffle of documents."""
     margins, tokens = _parts(docs)
     mixture = rake(docs, margins, tokens, targets, fraction)
-    return docs.where(draw(docs["doc_id"], seed) < mixture.probability(margins))
+    return docs.where(draw(_key(docs), seed) < mixture.probability(margins))

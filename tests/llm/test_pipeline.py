@@ -97,6 +97,17 @@ def test_near_dedup_of_odd_rows(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["2", "5", "5", "6", "7", "None", "None"]
 
 
+def test_decontaminate_and_mix_of_odd_rows(spark):
+    (leak,) = spark.read.parquet(f"{SF}/benchmark.parquet").where("length(text) > 200").select("text").first()
+    rows = [(None, leak)] + [(None, prose(k)) for k in range(50)] + [(7, leak), (7, prose(60)), (8, prose(61)), (8, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA).withColumn("leak_doc_id", F.lit(1))
+    kept = corpus_pipeline.decontaminate(spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(str(r) for r in rows if r[1] != leak)
+    drawn = corpus_pipeline.mix(spark, kept.where("doc_id IS NULL"), SF)
+    assert 10 < drawn.count() < 40
+
+
 def test_empty_table_goes_through_all_stages(spark):
     docs = spark.createDataFrame([], SCHEMA)
     for name, stage in corpus_pipeline.STAGES:
