@@ -14,6 +14,7 @@ from .near_dup import near_duplicates
 from .neighbours import nearest
 from .oracles import LICENSES, NEAR_DUP
 from .quality import judged
+from .runs import periodic_runs, with_planted_runs
 from .scratch import Scratch
 from .secrets import dictionary, fit_secret_model, labelled_findings, scan_secrets
 from .sentence_spans import remove_repeats
@@ -119,3 +120,10 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality posterior of every document."""
     return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op11_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in all documents, a tenth of which have a periodic tail put in."""
+    found = periodic_runs(table(spark, sf_dir, "documents"), with_planted_runs)
+    return found.drop("collapsed")
