@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from .licenses import AGREEMENT, BASE, GAP, NOTICES, WORD
 
-NEAR_DUP = r"""
+
+def _linked(size: int, percent: int) -> str:
+    """Sets of shingles, links and what they reach, as tables `sizes` and `reach`."""
+    return _LINKED.replace("{size}", str(size)).replace("{percent}", str(percent))
+
+
+_LINKED = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
     'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 sets AS (
-  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS s
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {size} THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) + 2 - {size}), lambda i: array_to_string(ws[i:i + {size} - 1], ' '))) END AS s
   FROM words),
 sizes AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles FROM sets),
 each AS (SELECT doc_id, unnest(s) AS shingle FROM sets),
@@ -19,14 +25,21 @@ pairs AS (
   FROM each a JOIN each b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
 links AS (
   SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
-  WHERE 100 * common >= 85 * (x.n_shingles + y.n_shingles - common)),
+  WHERE 100 * common >= {percent} * (x.n_shingles + y.n_shingles - common)),
 edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach(doc_id, other) AS (
   SELECT doc_id, doc_id FROM documents
   UNION SELECT reach.doc_id, edges.b FROM reach JOIN edges ON edges.a = reach.other)
+"""
+
+NEAR_DUP = _linked(5, 85) + """
 SELECT doc_id, n_shingles, min(other) AS component_id, doc_id = min(other) AS kept
 FROM reach JOIN sizes USING (doc_id) GROUP BY doc_id, n_shingles
 """
+SET_JOIN = _linked(4, 85) + """
+SELECT doc_id, n_shingles, min(other) AS component_id
+FROM reach JOIN sizes USING (doc_id) GROUP BY doc_id, n_shingles
+"""
 
 
 def _grams() -> str:

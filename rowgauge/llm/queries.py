@@ -12,17 +12,18 @@ from .licenses import license_labels
 from .mixing import mixed
 from .near_dup import near_duplicates
 from .neighbours import nearest
-from .oracles import LICENSES, NEAR_DUP
+from .oracles import LICENSES, NEAR_DUP, SET_JOIN
 from .quality import judged
 from .runs import periodic_runs, with_planted_runs
 from .scratch import Scratch
 from .secrets import dictionary, fit_secret_model, labelled_findings, scan_secrets
 from .sentence_spans import remove_repeats
+from .set_join import linked_sets
 from .tokens import read_digests, write_tokens
 from .url_filter import fit_url_model, judge_urls, labelled_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {"op5_minhash_near_dedup": NEAR_DUP, "op9_license_scan": LICENSES}
+SQL: dict[str, str] = {"op5_minhash_near_dedup": NEAR_DUP, "op9_license_scan": LICENSES, "op12_ngram_join": SET_JOIN}
 
 #: Target shares of tokens; values not named share what `*` has.
 MIXTURE = {
@@ -127,3 +128,9 @@ def op11_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of words in all documents, a tenth of which have a periodic tail put in."""
     found = periodic_runs(table(spark, sf_dir, "documents"), with_planted_runs)
     return found.drop("collapsed")
+
+
+@query
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents joined by four-word shingles at similarity 0.85."""
+    return linked_sets(table(spark, sf_dir, "documents"), similarity=85, size=4)
