@@ -12,7 +12,8 @@ from .licenses import license_labels
 from .mixing import mixed
 from .near_dup import near_duplicates
 from .neighbours import nearest
-from .oracles import LICENSES, NEAR_DUP, SET_JOIN
+from .oracles import LICENSES, NEAR_DUP, PHRASES, SET_JOIN
+from .phrases import collocations
 from .quality import judged
 from .runs import periodic_runs, with_planted_runs
 from .scratch import Scratch
@@ -23,7 +24,12 @@ from .tokens import read_digests, write_tokens
 from .url_filter import fit_url_model, judge_urls, labelled_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {"op5_minhash_near_dedup": NEAR_DUP, "op9_license_scan": LICENSES, "op12_ngram_join": SET_JOIN}
+SQL: dict[str, str] = {
+    "op5_minhash_near_dedup": NEAR_DUP,
+    "op9_license_scan": LICENSES,
+    "op12_ngram_join": SET_JOIN,
+    "op13_phrases": PHRASES,
+}
 
 #: Target shares of tokens; values not named share what `*` has.
 MIXTURE = {
@@ -134,3 +140,9 @@ def op11_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents joined by four-word shingles at similarity 0.85."""
     return linked_sets(table(spark, sf_dir, "documents"), similarity=85, size=4)
+
+
+@query
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best phrases of two and three words of each language."""
+    return collocations(table(spark, sf_dir, "documents"))
