@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import string
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+from .scratch import Scratch
+
 #: Words of a rolling hash.
 GRAM = 2
 #: A template is one row of votes with a bit per gram; longer texts are given in parts.
 MAX_GRAMS = 63
+#: Number of what stands for the end of every text.
+END = -1
 #: Neighbouring diagonals so far apart at most are one place: words put in or left out.
 GAP = 3
 #: A place counts if so large a share of the template's grams agrees.
@@ -57,13 +61,19 @@ NOTICES = (
 )
 
 
+# ASCII letters to be folded, and what ASCII signs are no words.
+_UPPER, _LOWER = string.ascii_uppercase, string.ascii_lowercase
+_SIGNS = "".join(c for c in map(chr, range(128)) if not c.isalnum())
+
+
 def words_of(text: Column) -> Column:
-    """Words of letters, digits and non-ASCII characters, lower-cased; null text has none."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    """Words of letters, digits and non-ASCII characters, lower-cased in A-Z; null text has none."""
+    spaced = F.translate(F.coalesce(text, F.lit("")), _UPPER + _SIGNS, _LOWER + " " * len(_SIGNS))
+    return F.array_remove(F.split(spaced, " "), "")
 
 
 def template_grams(spark: SparkSession, templates: tuple[Template, ...]) -> DataFrame:
-    """(template, label, base, grams, place, hash, w1, w2), one row per gram of every template."""
+    """(template, label, base, grams, place, t1, t2, gram), one row per gram of every template and one of END."""
     rows = []
     for number, template in enumerate(templates):
         words = template.words.split()
@@ -71,37 +81,50 @@ def template_grams(spark: SparkSession, templates: tuple[Template, ...]) -> Data
         if not 1 <= grams <= MAX_GRAMS:
             raise ValueError(f"a template has {GRAM} to {MAX_GRAMS + GRAM - 1} words: {template}")
         rows += [(number, template.label, template.base, grams, k, words[k], words[k + 1]) for k in range(grams)]
+    rows.append((END, "", False, 0, 0, "", ""))
     table = spark.createDataFrame(
         rows, "template int, label string, base boolean, grams int, place int, t1 string, t2 string"
     )
     return table.withColumn("gram", F.xxhash64("t1", "t2"))
 
 
-def license_places(docs: DataFrame, templates: tuple[Template, ...]) -> DataFrame:
-    """(doc_id, text_hash, label, base, first, last, score): verified places of templates in texts.
+def license_hits(docs: DataFrame, templates: tuple[Template, ...]) -> DataFrame:
+    """(doc_id, text_hash, pos, template, label, base, grams, place): grams of templates in texts.
 
-    Every gram of two words is hashed and joined to the templates' grams; hits vote for the diagonal
-    (place in the text minus place in the template) as bits of one number. Diagonals at most GAP
-    apart are one place. It is verified if the grams that agree, word by word, are AGREEMENT or more
-    of the larger of template and span; a base phrase needs all its grams on one diagonal.
+    Every gram of two words is hashed and joined to the templates' grams, those with words that no
+    template has left out before. One row more for each text, of template END, has the number of its
+    words as `pos`. The words of a text are cut once.
     """
-    words = docs.select("doc_id", "text_hash", words_of(F.col("text")).alias("words"))
-    pairs = words.where(F.size("words") >= GRAM).select(
+    words = F.col("words")
+    after = F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0)))
+    end = F.lit("")
+    pairs = docs.select("doc_id", "text_hash", words_of(F.col("text")).alias("words")).select(
         "doc_id", "text_hash",
         F.posexplode(
-            F.arrays_zip(
-                F.slice("words", F.lit(1), F.size("words") - 1).alias("a"),
-                F.slice("words", F.lit(2), F.size("words") - 1).alias("b"),
-            )
+            F.arrays_zip(F.concat(words, F.array(end)).alias("a"), F.concat(after, F.array(end, end)).alias("b"))
         ).alias("pos", "pair"),
     ).select("doc_id", "text_hash", "pos", F.col("pair.a").alias("a"), F.col("pair.b").alias("b"))
+    known = sorted({"", *(w for t in templates for w in t.words.split())})
     # The templates are a fixed list of a few hundred short rows.
     grams = F.broadcast(template_grams(docs.sparkSession, templates))
-    hits = pairs.withColumn("hash", F.xxhash64("a", "b")).join(
-        grams, (F.col("hash") == F.col("gram")) & (F.col("a") == F.col("t1")) & (F.col("b") == F.col("t2"))
+    return (
+        pairs.where(F.col("a").isin(known) & F.col("b").isin(known))
+        .withColumn("hash", F.xxhash64("a", "b"))
+        .join(grams, (F.col("hash") == F.col("gram")) & (F.col("a") == F.col("t1")) & (F.col("b") == F.col("t2")))
+        .select("doc_id", "text_hash", "pos", "template", "label", "base", "grams", "place")
     )
+
+
+def license_places(hits: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, label, base, first, last, score): verified places of templates in texts.
+
+    Hits vote for the diagonal (place in the text minus place in the template) as bits of one number.
+    Diagonals at most GAP apart are one place. It is verified if the grams that agree, word by word,
+    are AGREEMENT or more of the larger of template and span; a base phrase needs all its grams on
+    one diagonal.
+    """
     votes = (
-        hits.groupBy("doc_id", "text_hash", "template", "label", "base", "grams", (F.col("pos") - F.col("place")).alias("diagonal"))
+        hits.where(F.col("template") != END).groupBy("doc_id", "text_hash", "template", "label", "base", "grams", (F.col("pos") - F.col("place")).alias("diagonal"))
         .agg(
             F.bit_or(F.expr("shiftleft(1L, place)")).alias("bits"),
             F.min("pos").alias("first"), F.max("pos").alias("last"),
@@ -139,12 +162,14 @@ def license_labels(docs: DataFrame, templates: tuple[Template, ...] = BASE + NOT
     Null and empty texts have no words and no label. Rows equal in doc_id and text have equal
     results, each row its own; a null doc_id is carried along. The words of a text are never held
     together with those of others, so very long texts cost what they are long. Other columns are not
-    read. An empty table gives no rows. Nothing but counts per document and the hits is shuffled.
+    read. An empty table gives no rows. Texts are read once; their hits and numbers of words are written
+    to the shared folder, and nothing else is shuffled.
     """
     source = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).withColumn(
         "text_hash", F.xxhash64("text")
     )
-    places = license_places(source, templates)
+    hits = Scratch(docs.sparkSession).keep(license_hits(source, templates), "hits")
+    places = license_places(hits)
     found = places.groupBy(F.col("doc_id").alias("found_id"), F.col("text_hash").alias("found_hash")).agg(
         F.count_if("base").alias("n_base"),
         F.min(F.when(F.col("base"), F.col("first"))).alias("first_word"),
@@ -153,7 +178,7 @@ def license_labels(docs: DataFrame, templates: tuple[Template, ...] = BASE + NOT
         F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"),
         F.max("score").alias("score"),
     )
-    counted = source.select("doc_id", "text_hash", F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
+    counted = hits.where(F.col("template") == END).select("doc_id", "text_hash", F.col("pos").cast("long").alias("n_words"))
     joined = counted.join(
         found, counted["doc_id"].eqNullSafe(found["found_id"]) & (counted["text_hash"] == found["found_hash"]), "left"
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .licenses import AGREEMENT, BASE, GAP, NOTICES, WORD
+from .licenses import AGREEMENT, BASE, GAP, NOTICES
 
 
 def _linked(size: int, percent: int) -> str:
@@ -51,9 +51,10 @@ def _grams() -> str:
     return ", ".join(rows)
 
 
-LICENSES = f"""
+LICENSES = rf"""
 WITH grams(template, label, base, grams, place, t1, t2) AS (VALUES {_grams()}),
-words AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{WORD}') AS ws FROM documents),
+words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
 pairs AS (
   SELECT doc_id, unnest(range(len(ws) - 1)) AS pos, unnest(ws[1:len(ws) - 1]) AS a, unnest(ws[2:]) AS b
   FROM words WHERE len(ws) >= 2),
