@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import shared_folder
+from .scratch import Scratch
 
 #: Target of all values of a margin that have none of their own; they share it as they come.
 REST = "*"
@@ -16,51 +16,61 @@ REST = "*"
 # Topics by what a text contains, the first that fits.
 TOPICS = (
     ("legal", r"(?i)\blicen[cs]e|copyright"),
-    ("contact", r"[\w.+-]+@[\w-]+\.\w"),
+    ("contact", r"[\w.+-]@[\w-]+\.\w"),
     ("table", r"\w \| \w[^|\n]* \| "),
 )
 OTHER_TOPIC = "prose"
 
-#: The draw meets the shares to this share of all tokens drawn, in so many rounds at most.
-_NEAR, _ROUNDS, _HALVINGS = 1e-5, 3000, 16
+#: Rounds of the draw's fit at most, and the largest factor of a value that is taken whole.
+_ROUNDS, _LARGEST = 3000, 1e12
 
 
 def topic_of(text: Column) -> Column:
-    """The first of TOPICS whose pattern the text contains, else `prose`; null text is prose."""
+    """The first of TOPICS whose pattern the text contains, else `prose`; null text is prose.
+
+    Patterns are tried only on texts that hold a sign or letters that every match of theirs has.
+    """
+    lower = F.lower(text)
+    may = {
+        "legal": lower.contains("licen") | lower.contains("copyright"),
+        "contact": text.contains("@"),
+        "table": text.contains(" | "),
+    }
     found = F.lit(None).cast("string")
     for name, pattern in reversed(TOPICS):
-        found = F.when(text.rlike(pattern), F.lit(name)).otherwise(found)
+        found = F.when(may[name] & text.rlike(pattern), F.lit(name)).otherwise(found)
     return F.coalesce(found, F.lit(OTHER_TOPIC))
 
 
 def n_words(text: Column) -> Column:
     """Number of words between white space; null and empty texts have none."""
-    bare = F.trim(F.coalesce(text, F.lit("")), F.lit(" \t\n\r"))
-    return F.when(F.length(bare) == 0, F.lit(0)).otherwise(F.size(F.split(bare, r"[ \t\n\r]+"))).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^ \t\n\r]+")), F.lit(0)).cast("long")
 
 
 @dataclass
 class Mixture:
     """Calibrated weights: a factor for each value of each margin, and the scale of the sample.
 
-    `drawn` has the factors of the draw: those of the weights, unless some would pass a probability
-    of one. `fraction` is the expected share of all tokens, `shares` those of each margin in the draw.
+    `drawn` has the factors of the draw, with probabilities of one at most. `fraction` is the expected
+    share of all tokens, `shares` those of each margin's values in the draw, and `shortfall` what they
+    lack of their target shares: more than nothing where a value has too few tokens, less than
+    nothing for those that make up for it.
     """
 
     factors: dict[str, dict[str, float]]
-    scale: float
     rounds: int
     gap: float
     drawn: dict[str, dict[str, float]]
     fraction: float
     shares: dict[str, dict[str, float]]
+    shortfall: dict[str, dict[str, float]]
 
     def weight(self, margins: dict[str, Column]) -> Column:
-        """Product of a row's factors: its calibrated weight, up to `scale`."""
+        """Product of a row's factors: its calibrated weight, up to a scale."""
         return _product(self.factors, margins)
 
     def probability(self, margins: dict[str, Column]) -> Column:
-        return F.least(F.lit(1.0), self.scale * _product(self.drawn, margins))
+        return F.least(F.lit(1.0), _product(self.drawn, margins))
 
 
 def _product(factors: dict[str, dict[str, float]], margins: dict[str, Column]) -> Column:
@@ -70,33 +80,6 @@ def _product(factors: dict[str, dict[str, float]], margins: dict[str, Column]) -
     return total
 
 
-def _bounded(
-    tokens: np.ndarray, weights: np.ndarray, codes: list[np.ndarray], sizes: list[int], fraction: float
-) -> tuple[list[np.ndarray], float] | None:
-    """(factors of every margin, scale) with which min(1, scale * weight * factors) draws `fraction` of
-    all tokens in the margins' weighted shares; None if it does not come to that."""
-    weighed = tokens * weights
-    scale = fraction * tokens.sum() / weighed.sum()
-    goals = [np.bincount(c, weighed, n) * scale for c, n in zip(codes, sizes)]
-    if any((np.bincount(c, tokens * (weights > 0), n) < goal * (1 - 1e-9)).any() for c, n, goal in zip(codes, sizes, goals)):
-        return None
-    factors = [np.ones(n) for n in sizes]
-    raised = weights * scale
-    for _ in range(_ROUNDS):
-        gap = 0.0
-        for c, n, goal, factor in zip(codes, sizes, goals, factors):
-            have = np.bincount(c, tokens * np.minimum(1.0, raised), n)
-            gap = max(gap, np.abs(have - goal).max() / goal.sum())
-            step = np.divide(goal, have, out=np.ones(n), where=have > 0)
-            factor *= step
-            raised = raised * step[c]
-        if not np.isfinite(raised).all():
-            return None
-        if gap <= _NEAR:
-            return factors, scale
-    return None
-
-
 def _lookup(values: dict[str, float], key: Column) -> Column:
     """The value of a key in a table of literals, the rest's where there is none."""
     table = F.create_map(*(x for k, v in values.items() if k != REST for x in (F.lit(k), F.lit(float(v))))) if len(values) > 1 else None
@@ -104,6 +87,69 @@ def _lookup(values: dict[str, float], key: Column) -> Column:
     return rest if table is None else F.coalesce(F.element_at(table, key), rest)
 
 
+def _goals(wanted: np.ndarray, there: np.ndarray, whole: float) -> np.ndarray:
+    """`whole` tokens dealt in the wanted shares; what a value lacks is dealt to the others in theirs."""
+    goals = np.zeros(len(wanted))
+    short = np.zeros(len(wanted), dtype=bool)
+    while True:
+        open_ = ~short & (wanted > 0)
+        left = whole - there[short].sum()
+        goals[short] = there[short]
+        if not open_.any():
+            return goals
+        goals[open_] = left * wanted[open_] / wanted[open_].sum()
+        more = open_ & (goals >= there)
+        if not more.any():
+            return goals
+        short |= more
+
+
+def _fitted(
+    tokens: np.ndarray, codes: list[np.ndarray], wanted: list[np.ndarray], rounds: int, tolerance: float
+) -> tuple[list[np.ndarray], int, float]:
+    """(factors, rounds taken, largest gap of a share): iterative proportional fitting of weights to shares."""
+    factors = [np.ones(len(w)) for w in wanted]
+    weights, gap, done = tokens.copy(), 0.0, 0
+    for done in range(1, rounds + 1):
+        last, gap = gap, 0.0
+        for code, share, factor in zip(codes, wanted, factors):
+            have = np.bincount(code, weights, len(share))
+            have = have / have.sum() if have.sum() > 0 else have
+            gap = max(gap, np.abs(have - share).max(initial=0.0))
+            step = np.divide(share, have, out=np.zeros(len(share)), where=have > 0)
+            factor *= step
+            weights = weights * step[code]
+        if gap <= tolerance or done > 1 and gap > 0.99 * last:
+            break
+    return factors, done, gap
+
+
+def _bounded(
+    tokens: np.ndarray, weights: np.ndarray, codes: list[np.ndarray], wanted: list[np.ndarray], fraction: float, tolerance: float
+) -> tuple[list[np.ndarray], np.ndarray]:
+    """(factors, probabilities): `weights` raked again so that probabilities up to one draw `fraction`.
+
+    A value whose tokens don't suffice is taken whole, and its margin's other values make up for it.
+    """
+    there = [np.bincount(c, tokens * (weights > 0), len(w)) for c, w in zip(codes, wanted)]
+    whole = min(fraction * tokens.sum(), there[0].sum())
+    goals = [_goals(w, t, whole) for w, t in zip(wanted, there)]
+    factors = [np.ones(len(w)) for w in wanted]
+    factors[0] *= whole / (tokens * weights).sum()
+    raised = weights * factors[0][0]
+    for _ in range(_ROUNDS):
+        gap = 0.0
+        for code, goal, factor in zip(codes, goals, factors):
+            have = np.bincount(code, tokens * np.minimum(1.0, raised), len(goal))
+            gap = max(gap, np.abs(have - goal).max() / whole)
+            step = np.divide(goal, have, out=np.ones(len(goal)), where=have > 0)
+            np.minimum(factor * step, _LARGEST, out=factor)
+            raised = weights * np.prod([f[c] for f, c in zip(factors, codes)], axis=0)
+        if gap <= tolerance:
+            break
+    return factors, np.minimum(1.0, raised)
+
+
 def rake(
     docs: DataFrame,
     margins: dict[str, Column],
@@ -117,80 +163,47 @@ def rake(
 
     `targets` gives for each margin the shares of its values, scaled to a sum of one over those that
     occur; values not named share what `*` has, in proportion to their tokens, or nothing if it is
-    not given. One pass sums tokens by the combination of values, and the sums stay distributed;
-    each step of the fit is an aggregate over these sums that returns one number per named value.
-    Stops when all shares are within `tolerance`, or no longer come nearer, as where targets
-    contradict what there is, or after `rounds`. The draw keeps the shares so reached: where weights
-    scaled to `fraction` of all tokens would pass a probability of one, such combinations are surely
-    taken and the others raked again, and where no draw of `fraction` has these shares, as where a
-    source is to have more tokens than there are, the largest fraction that has them is drawn. For
-    that the sums come to the driver, one row for every combination of named values that occurs.
+    not given. One pass sums tokens by the combination of named values; these sums, whose number
+    the targets bound, come to the driver and are fitted there. The fit of the weights stops when all
+    shares are within `tolerance`, or no longer come nearer, as where targets contradict what there
+    is, or after `rounds`.
+
+    The draw is of `fraction` of all tokens, whatever the targets, or of all tokens whose weight is
+    not zero if they are fewer. A value that has fewer tokens than its share of the draw is taken
+    whole, with a probability of one, and the other values of its margin share what it lacks in
+    proportion to their targets; all margins are raked to these goals. So a value held by few
+    documents changes the draw by them only.
     """
-    shared_folder(docs.sparkSession)
     named = {m: [v for v in values if v != REST] for m, values in targets.items()}
     held = {m: F.when(c.isin(named[m]), c).otherwise(F.lit(REST)) if named[m] else F.lit(REST) for m, c in margins.items()}
     cells = (
         docs.select(*(c.alias(m) for m, c in held.items()), tokens.alias("tokens"))
-        .groupBy(*held).agg(F.sum("tokens").cast("double").alias("tokens"))
-        .where("tokens > 0").checkpoint()
+        .groupBy(*margins).agg(F.sum("tokens").cast("double").alias("tokens"))
+        .where("tokens > 0").collect()
     )
-    factors = {m: {v: 1.0 for v in (*named[m], REST)} for m in margins}
-
-    def shares(margin: str) -> dict[str, float]:
-        weighed = cells.select(margin, (F.col("tokens") * _product(factors, {m: F.col(m) for m in margins})).alias("w"))
-        return {r[0]: r[1] for r in weighed.groupBy(margin).agg(F.sum("w")).collect()}
-
-    wanted: dict[str, dict[str, float]] = {}
+    total = np.array([r["tokens"] for r in cells], dtype=float)
+    values = {m: sorted({r[m] for r in cells}) for m in margins}
+    codes = [np.array([values[m].index(r[m]) for r in cells], dtype=np.int64) for m in margins]
+    wanted = []
     for m in margins:
-        found = [v for v, w in shares(m).items() if w > 0]
-        known = {v: float(targets[m].get(v, 0.0)) for v in found}
-        whole = sum(known.values())
-        wanted[m] = {v: s / whole for v, s in known.items()} if whole > 0 else {}
-    done, gap = 0, 0.0
-    for done in range(1, rounds + 1):
-        last, gap = gap, 0.0
-        for m in margins:
-            now = shares(m)
-            whole = sum(now.values())
-            for v, share in wanted[m].items():
-                have = now.get(v, 0.0) / whole if whole else 0.0
-                gap = max(gap, abs(have - share))
-                factors[m][v] *= share / have if have > 0 else 0.0
-        if gap <= tolerance or done > 1 and gap > 0.99 * last:
-            break
-    table = cells.toArrow()
-    values, codes = {}, []
-    for m in margins:
-        column = table.column(m).combine_chunks().dictionary_encode()
-        values[m] = column.dictionary.to_pylist()
-        codes.append(column.indices.to_numpy(zero_copy_only=False).astype(np.int64))
-    total = table.column("tokens").to_numpy()
+        share = np.array([float(targets[m].get(v, 0.0)) for v in values[m]])
+        wanted.append(share / share.sum() if share.sum() > 0 else share)
+    fitted, done, gap = _fitted(total, codes, wanted, rounds, tolerance)
     weights = np.ones(len(total))
-    for m, c in zip(margins, codes):
-        weights = weights * np.array([factors[m][v] for v in values[m]])[c]
+    for code, factor in zip(codes, fitted):
+        weights = weights * factor[code]
+    factors = {m: {**dict.fromkeys((*named[m], REST), 1.0), **dict(zip(values[m], f.tolist()))} for m, f in zip(margins, fitted)}
     if not len(total) or not weights.max() > 0:
-        return Mixture(factors, 0.0, done, gap, factors, 0.0, {m: {} for m in margins})
-    # Up to this fraction no probability passes one.
-    low, high = float((total * weights).sum() / weights.max() / total.sum()), fraction
-    sizes = [len(values[m]) for m in margins]
-    best = [np.ones(n) for n in sizes], min(low, high) * total.sum() / (total * weights).sum()
-    if low < high:
-        middle = high
-        for _ in range(_HALVINGS):
-            found = _bounded(total, weights, codes, sizes, middle)
-            low, high, best = (middle, high, found) if found else (low, middle, best)
-            if low >= high:
-                break
-            middle = (low + high) / 2
-    adjusted, scale = best
-    drawn = {m: dict(factors[m]) for m in margins}
-    expected = weights * scale
-    for m, c, adjust in zip(margins, codes, adjusted):
-        drawn[m].update((v, factors[m][v] * float(x)) for v, x in zip(values[m], adjust))
-        expected = expected * adjust[c]
-    expected = total * np.minimum(1.0, expected)
-    reached = {m: dict(zip(values[m], (np.bincount(c, expected) / expected.sum()).tolist())) for m, c in zip(margins, codes)}
-    return Mixture(factors, float(scale), done, gap, drawn, float(expected.sum() / total.sum()), reached)
+        return Mixture(factors, done, gap, {m: dict.fromkeys(f, 0.0) for m, f in factors.items()}, 0.0, {m: {} for m in margins}, {m: {} for m in margins})
+    raised, probability = _bounded(total, weights, codes, wanted, fraction, tolerance)
+    drawn = {m: {**factors[m], **dict(zip(values[m], (f * r).tolist()))} for m, f, r in zip(margins, fitted, raised)}
+    expected = total * probability
+    reached = [np.bincount(c, expected, len(w)) / expected.sum() for c, w in zip(codes, wanted)]
+    return Mixture(
+        factors, done, gap, drawn, float(expected.sum() / total.sum()),
+        {m: dict(zip(values[m], r.tolist())) for m, r in zip(margins, reached)},
+        {m: dict(zip(values[m], (w - r).tolist())) for m, w, r in zip(margins, wanted, reached)},
+    )
 
 
 def draw(key: Column, seed: int) -> Column:
@@ -214,20 +227,29 @@ def mixed(docs: DataFrame, targets: dict[str, dict[str, float]], fraction: float
     """(doc_id, source, lang, topic, n_tokens, weight, probability, kept) of every document.
 
     Token counts are words of the whole text. `weight` is the calibrated weight of the document's
-    source, language and topic, `probability` that of being drawn, with which expected
-    tokens have the shares of the weights (see `rake` on `fraction`), `kept` the draw, which depends
-    on doc_id and seed only, or on text, source, lang and seed where doc_id is null. Null sources and languages, and values without a target, are the rest.
-    Null and empty texts have no tokens and topic `prose`; they are drawn as others of their kind.
-    Repeated rows are drawn alike. Other columns are not read. An empty
-    table gives no rows.
+    source, language and topic, `probability` that of being drawn, with which expected tokens have
+    the shares of the weights as far as there are tokens (see `rake`), `kept` the draw, which depends
+    on doc_id and seed only, or on text, source, lang and seed where doc_id is null. Null sources and
+    languages, and values without a target, are the rest. Null and empty texts have no tokens and
+    topic `prose`; they are drawn as others of their kind. Repeated rows are drawn alike. Other
+    columns are not read. An empty table gives no rows.
+
+    Texts are read once, for a table of these columns in the shared folder; the rest is made from it.
     """
     margins, tokens = _parts(docs)
-    mixture = rake(docs, margins, tokens, targets, fraction)
+    table = Scratch(docs.sparkSession).keep(
+        docs.select(
+            docs["doc_id"], docs["source"], docs["lang"], margins["topic"].alias("topic"), tokens.alias("n_tokens"),
+            draw(_key(docs), seed).alias("drawn"),
+        ),
+        "mixing",
+    )
+    margins = {m: F.col(m).cast("string") for m in margins}
+    mixture = rake(table, margins, F.col("n_tokens"), targets, fraction)
     probability = mixture.probability(margins)
-    return docs.select(
-        docs["doc_id"], docs["source"], docs["lang"], margins["topic"].alias("topic"), tokens.alias("n_tokens"),
-        mixture.weight(margins).alias("weight"), probability.alias("probability"),
-        (draw(_key(docs), seed) < probability).alias("kept"),
+    return table.select(
+        "doc_id", "source", "lang", "topic", "n_tokens", mixture.weight(margins).alias("weight"),
+        probability.alias("probability"), (F.col("drawn") < probability).alias("kept"),
     )
 
 

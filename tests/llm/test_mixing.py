@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rowgauge.llm.mixing import draw, mixed, n_words, rake, sample_mixture, topic_of
+from rowgauge.llm.mixing import TOPICS, draw, mixed, n_words, rake, sample_mixture, topic_of
 from rowgauge.llm.queries import MIXTURE, QUERIES
 
 from .helpers import SCHEMA, SF, docs, odd_texts
@@ -37,9 +37,26 @@ def test_registered_query_equals_brute_force(spark):
     found = rows.groupby(["source", "lang", "topic"]).weight.first().to_dict()
     ratio = np.array([found[k] / want[k] for k in want])
     assert ratio.max() / ratio.min() == pytest.approx(1, abs=1e-4)
-    scale = (rows.probability / rows.weight)[rows.probability < 1]
-    assert scale.max() == pytest.approx(scale.min())
-    assert (rows.n_tokens * rows.probability).sum() == pytest.approx(rows.n_tokens.sum() / 2, rel=1e-3)
+    assert (rows.n_tokens * rows.probability).sum() == pytest.approx(rows.n_tokens.sum() / 2, rel=1e-4)
+    draw_shares(rows, MIXTURE, 0.5)
+
+
+def draw_shares(rows, targets, fraction):
+    """Check the draw's shares: a value has its goal, or all of its tokens are taken."""
+    expected, total = rows.n_tokens * rows.probability, rows.n_tokens.sum() * fraction
+    for name, shares in targets.items():
+        kinds = rows[name].where(rows[name].isin([v for v in shares if v != "*"]), "*")
+        there, have = rows.n_tokens.groupby(kinds).sum(), expected.groupby(kinds).sum()
+        open_ = {v: shares.get(v, 0.0) for v in there.index if there[v] > 0}
+        goals, left = {}, total
+        while open_:
+            whole = sum(open_.values())
+            short = [v for v, s in open_.items() if left * s / whole >= there[v]]
+            goals |= {v: there[v] for v in short} if short else {v: left * s / whole for v, s in open_.items()}
+            left -= sum(there[v] for v in short)
+            open_ = {v: s for v, s in open_.items() if v not in short} if short else {}
+        for v, goal in goals.items():
+            assert have[v] == pytest.approx(goal, abs=total * 1e-4)
 
 
 def test_margins_are_met(spark):
@@ -102,18 +119,45 @@ def test_the_draw_meets_the_targets(spark, fraction):
     margins = {"a": F.col("a"), "b": F.col("b")}
     mixture = rake(df, margins, F.col("t"), targets, fraction)
     rows = df.select("a", "b", mixture.probability(margins).alias("p"), (draw(F.col("id"), 42) < mixture.probability(margins)).alias("kept")).toPandas()
-    assert mixture.fraction == pytest.approx(rows.p.mean()) and (rows.p <= 1).all()
-    assert mixture.fraction == pytest.approx(min(fraction, 0.04 / 0.15), rel=5e-3)
-    for name, value, share in [("a", "rare", 0.15), ("b", "l0", 0.4), ("b", "l1", 0.3), ("b", "l2", 0.3)]:
-        assert rows.p[rows[name] == value].sum() / rows.p.sum() == pytest.approx(share, abs=1e-3)
-        assert mixture.shares[name][value] == pytest.approx(share, abs=1e-3)
-        assert (rows.kept & (rows[name] == value)).sum() / rows.kept.sum() == pytest.approx(share, abs=0.03)
-
-
-def test_the_registered_draw_meets_the_targets(spark):
-    rows = QUERIES["op2_mix_to_targets"](spark, SF).toPandas()
-    expected = rows.n_tokens * rows.probability
-    for name, shares in MIXTURE.items():
+    rare = min(0.15, 0.04 / fraction)
+    assert mixture.fraction == pytest.approx(rows.p.mean()) == pytest.approx(fraction, rel=1e-4)
+    assert (rows.p <= 1).all()
+    assert mixture.shortfall["a"]["rare"] == pytest.approx(0.15 - rare, abs=1e-4)
+    draw_shares(rows.assign(n_tokens=10, probability=rows.p), targets, fraction)
+    for name, shares in mixture.shares.items():
         for value, share in shares.items():
-            held = rows[name] == value if value != "*" else ~rows[name].isin(list(shares))
-            assert expected[held].sum() / expected.sum() == pytest.approx(share, abs=1e-3)
+            held = rows[name] == value if value != "*" else rows[name] == "often"
+            assert rows.p[held].sum() / rows.p.sum() == pytest.approx(share, abs=1e-4)
+            assert (rows.kept & held).sum() / rows.kept.sum() == pytest.approx(share, abs=0.03)
+
+
+@pytest.mark.parametrize("rare", [0, 1, 10])
+def test_a_value_of_few_documents_changes_the_draw_by_them_only(spark, rare):
+    texts = [f"some prose number {k} of many words" for k in range(3000)]
+    texts += [f"write to mail{k}@example.org or not" for k in range(rare)]
+    df = docs(spark, texts).withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "de").otherwise("en"))
+    targets = {"source": {"src0": 0.3, "*": 0.7}, "lang": {"en": 0.6, "de": 0.4}, "topic": {"prose": 0.95, "contact": 0.05}}
+    rows = mixed(df, targets, fraction=0.4).toPandas()
+    draw_shares(rows, targets, 0.4)
+    assert (rows.n_tokens * rows.probability).sum() == pytest.approx(0.4 * rows.n_tokens.sum(), rel=1e-4)
+    assert rows.kept.mean() == pytest.approx(0.4, abs=0.04)
+    assert rows.probability[rows.topic == "contact"].min() == 1 if rare else True
+
+
+def test_targets_that_no_draw_can_meet(spark):
+    """One source has one language only, the other another."""
+    df = docs(spark, ["a b c"] * 300).withColumn("source", F.when(F.col("doc_id") < 30, "src0").otherwise("src1"))
+    df = df.withColumn("lang", F.when(F.col("doc_id") < 30, "en").otherwise("de"))
+    targets = {"source": {"src0": 0.5, "*": 0.5}, "lang": {"en": 0.1, "de": 0.9}, "topic": {"*": 1.0}}
+    rows = mixed(df, targets, fraction=0.5).toPandas()
+    assert rows.probability.between(0, 1).all() and rows.kept.sum() > 75
+
+
+def test_topics_need_what_is_looked_for_first(spark):
+    """The quick tests before the patterns rule out no match."""
+    texts = ["LICENSE", "x licence", "relicense", "CopyRight 1", "lIcEnCe", "a@b.c", "@b.c", "a@b", "+@b-c.d e", "x | y z | ", "x |y | z", "\u212aopy"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = None
+    for name, pattern in reversed(TOPICS):
+        found = F.when(F.col("t").rlike(pattern), name).otherwise(F.lit("prose") if found is None else found)
+    assert all(a == b for a, b in df.select(topic_of(F.col("t")), found).collect())

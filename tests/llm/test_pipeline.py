@@ -117,7 +117,7 @@ def test_empty_table_goes_through_all_stages(spark):
 
 def test_every_dealt_operator_is_registered():
     found = {n.split("_")[0] for n in contract.queries() if n.startswith("op")}
-    assert found == {f"op{k}" for k in range(1, 11)}
+    assert found == {f"op{k}" for k in range(1, 14)}
 
 
 def test_free_names(spark):
