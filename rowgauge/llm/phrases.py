@@ -6,25 +6,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .words import LOWER, byte_texts, pieces
+from .words import LOWER, byte_texts, mix, pieces
 
 #: Bytes of text whose grams are counted together: of a batch, and of a part of all grams.
-BATCH_BYTES, PART_BYTES = 8 << 20, 16 << 20
+BATCH_BYTES, PART_BYTES = 4 << 20, 16 << 20
 #: Shares into which a language's phrases are dealt before the best of all are taken.
 SHARES = 64
 #: Language of rows that have none.
 NO_LANG = "und"
 
-# Signs that end a piece, and bytes that no UTF-8 text has.
+# Signs that end a piece, and a byte that no UTF-8 text has, which stands for them.
 _ENDS = b".,;:!?\n\x0b\x0c\r"
-_MARK, _BLANK = b"\xff", b"\xfe"
+_MARK = b"\xff"
 _CUT = bytes(0xFF if c in _ENDS else LOWER[c] for c in range(256))
 
 _PACKED = "part int, grams binary"
@@ -32,7 +31,7 @@ _COUNTED = f"{_PACKED}, lang string, phrase string, words int, n long"
 
 
 class _Codes(dict):
-    """Numbers of words in order of appearance; 0 is the end of a piece."""
+    """Numbers of words in order of appearance; 0 is no word."""
 
     def __init__(self) -> None:
         super().__init__({_MARK: 0})
@@ -41,92 +40,92 @@ class _Codes(dict):
         code = self[word] = len(self)
         return code
 
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
 
-def gram_counts(texts: list[bytes], longest: int) -> tuple[list[bytes], np.ndarray]:
-    """Distinct grams of the texts' pieces, words joined by one space, and how often each begins.
 
-    At every word one gram begins: of `longest` words, or of all that are left of its piece.
-    """
-    codes = _Codes()
-    words = (b" " + _MARK + b" ").join(t.translate(_CUT).replace(_MARK, b" " + _MARK + b" ") for t in texts).split()
-    found = np.fromiter(map(codes.__getitem__, words), dtype=np.int64, count=len(words))
-    found = np.concatenate([found, np.zeros(longest, np.int64)])
-    at = np.flatnonzero(found)
-    if not len(at):
-        return [], np.zeros(0, np.int64)
-    key, bound = found[at], len(codes)
-    follows = [key]
-    for k in range(1, longest):
-        follows.append(np.where(follows[-1] > 0, found[at + k], 0))
-        if bound > (1 << 62) // len(codes):
+def summed(grams: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows of numbers below `size`, and the sums of their counts."""
+    if not len(grams):
+        return grams, counts
+    key, bound = grams[:, 0], size
+    for column in grams.T[1:]:
+        if bound > (1 << 62) // size:
             names, key = np.unique(key, return_inverse=True)
             bound = len(names)
-        key = key * len(codes) + follows[-1]
-        bound *= len(codes)
-    _, first, counts = np.unique(key, return_index=True, return_counts=True)
-    names = pa.array(list(codes), pa.large_binary())
-    columns = [names.take(pa.array(f[first], mask=f[first] == 0)) for f in follows]
-    grams = pc.binary_join_element_wise(*columns, pa.scalar(b" ", pa.large_binary()), null_handling="skip")
-    return grams.to_pylist(), counts
-
-
-def _pack(grams: list[bytes], counts: np.ndarray) -> bytes:
-    lengths = np.fromiter(map(len, grams), dtype=np.uint32, count=len(grams))
-    head = np.array([len(grams)], np.uint32).tobytes()
-    return zstandard.compress(head + lengths.tobytes() + counts.astype(np.int64).tobytes() + b"".join(grams), 1)
-
-
-def _unpack(blobs: list[bytes]) -> pa.Table:
-    lengths, counts, texts = [], [], []
-    for blob in blobs:
-        raw = zstandard.decompress(blob)
-        n = int(np.frombuffer(raw, np.uint32, 1)[0])
-        lengths.append(np.frombuffer(raw, np.uint32, n, 4))
-        counts.append(np.frombuffer(raw, np.int64, n, 4 + 4 * n))
-        texts.append(raw[4 + 12 * n :])
-    sizes = np.concatenate(lengths) if lengths else np.zeros(0, np.uint32)
-    ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
-    grams = pa.LargeBinaryArray.from_buffers(
-        pa.large_binary(), len(sizes), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(b"".join(texts))]
-    )
-    return pa.table({"gram": grams, "n": np.concatenate(counts) if counts else np.zeros(0, np.int64)})
+        key = key * size + column
+        bound *= size
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return grams[order[first]], np.add.reduceat(counts[order], first)
 
 
-def _summed(table: pa.Table) -> tuple[list[bytes], np.ndarray]:
-    total = table.group_by("gram", use_threads=False).aggregate([("n", "sum")])
-    return total.column("gram").to_pylist(), total.column("n_sum").to_numpy()
+def grams_of(texts: list[bytes], longest: int, codes: _Codes) -> np.ndarray:
+    """The gram that begins at every word of the texts' pieces, as rows of numbers.
 
-
-def _dealt(grams: list[bytes], counts: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
-    """The grams packed by part, a gram's part being a hash of it."""
-    part = np.fromiter(map(xxhash.xxh3_64_intdigest, grams), dtype=np.uint64, count=len(grams)) % np.uint64(parts)
+    It has `longest` words, or all that are left of its piece; the rest of its row is 0.
+    """
+    marked = (b" " + _MARK + b" ").join(t.translate(_CUT).replace(_MARK, b" " + _MARK + b" ") for t in texts)
+    found = np.concatenate([codes.of(marked.split()), np.zeros(longest, np.int64)])
+    at = np.flatnonzero(found)
+    columns = [found[at]]
+    for k in range(1, longest):
+        columns.append(np.where(columns[-1] > 0, found[at + k], 0))
+    return np.stack(columns, axis=1)
+
+
+def _dealt(grams: np.ndarray, counts: np.ndarray, names: list[bytes], parts: int) -> Iterator[tuple[int, bytes]]:
+    """The grams packed by part, a gram's part being a hash of its words; each pack has the words it needs."""
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, names), dtype=np.uint64, count=len(names))
+    hashes[0] = 0
+    total = np.zeros(len(grams), dtype=np.uint64)
+    for column in grams.T:
+        total = mix(total + hashes[column])
+    part = (total % np.uint64(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
     numbers, begins = np.unique(part[order], return_index=True)
     for number, begin, end in zip(numbers.tolist(), begins, [*begins[1:], len(order)]):
         some = order[begin:end]
-        yield number, _pack([grams[k] for k in some], counts[some])
+        used, local = np.unique(grams[some], return_inverse=True)
+        words = [names[k] for k in used.tolist()]
+        head = np.array([len(words), len(some), grams.shape[1]], np.uint32)
+        lengths = np.fromiter(map(len, words), dtype=np.uint32, count=len(words))
+        packed = [head, lengths, local.reshape(-1).astype(np.uint32), counts[some].astype(np.int64)]
+        yield number, zstandard.compress(b"".join([*(x.tobytes() for x in packed), *words]), 1)
 
 
-def _named(lang: str) -> bytes:
-    """A language as what its grams begin with; it may hold blanks, grams are counted by theirs."""
-    return lang.encode().replace(b" ", _BLANK) + _MARK
+def _unpacked(blobs: list[bytes], codes: _Codes) -> tuple[np.ndarray, np.ndarray]:
+    """The grams and counts of packs, in numbers of `codes`."""
+    grams, counts = [], []
+    for blob in blobs:
+        raw = zstandard.decompress(blob)
+        n_words, n, width = np.frombuffer(raw, np.uint32, 3).tolist()
+        at = 12 + 4 * n_words
+        ends = np.cumsum(np.frombuffer(raw, np.uint32, n_words, 12), dtype=np.int64)
+        local = np.frombuffer(raw, np.uint32, n * width, at)
+        counts.append(np.frombuffer(raw, np.int64, n, at + 4 * n * width))
+        ends = (ends + at + 4 * n * width + 8 * n).tolist()
+        words = [raw[b:e] for b, e in zip([at + 4 * n * width + 8 * n, *ends], ends)]
+        grams.append(codes.of(words)[local].reshape(n, width))
+    return np.concatenate(grams), np.concatenate(counts)
 
 
 def _counted(longest: int, parts: int):
-    """Batches of (lang, text) as their grams, packed by part."""
+    """Batches of (lang, text) as their grams, packed by part; a gram's first number is its language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", BATCH_BYTES):
             by_lang: dict[str, list[bytes]] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), byte_texts(batch.column("text"))):
                 by_lang.setdefault(lang, []).append(text)
-            grams, counts = [], []
+            codes, found = _Codes(), []
             for lang, texts in by_lang.items():
-                own, n = gram_counts(texts, longest)
-                head = _named(lang)
-                grams += [head + g for g in own]
-                counts.append(n)
-            rows = list(_dealt(grams, np.concatenate(counts), parts)) if grams else []
+                own = grams_of(texts, longest, codes)
+                found.append(np.insert(own, 0, codes[_MARK + lang.encode()], axis=1))
+            grams = np.concatenate(found)
+            grams, counts = summed(grams, np.ones(len(grams), np.int64), len(codes))
+            rows = list(_dealt(grams, counts, list(codes), parts))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())],
                 names=["part", "grams"],
@@ -144,26 +143,22 @@ def _level(words: int, least: int, parts: int):
     """
 
     def run(table: pa.Table) -> pa.Table:
-        grams, n = _summed(_unpack(table.column("grams").to_pylist()))
-        rows = []
-        sizes = np.fromiter((g.count(b" ") for g in grams), dtype=np.int64, count=len(grams)) + 1
-        for k in np.flatnonzero((sizes == words) & (n >= least)).tolist():
-            lang, _, phrase = grams[k].partition(_MARK)
-            rows.append((None, None, lang.replace(_BLANK, b" ").decode(), phrase.decode(), words, int(n[k])))
+        codes = _Codes()
+        grams, n = _unpacked(table.column("grams").to_pylist(), codes)
+        grams, n = summed(grams, n, len(codes))
+        names, rows = list(codes), []
+        for k in np.flatnonzero((grams[:, words] > 0) & (n >= least)).tolist():
+            lang, *own = (names[c] for c in grams[k].tolist())
+            rows.append((None, None, lang[1:].decode(), b" ".join(own).decode(), words, int(n[k])))
+        nodes, n = summed(grams[:, :-1], n, len(codes))
         if words == 1:
-            totals: dict[bytes, int] = {}
-            for gram, count in zip(grams, n.tolist()):
-                lang = gram.partition(_MARK)[0]
-                totals[lang] = totals.get(lang, 0) + count
-            rows += [(None, None, lang.replace(_BLANK, b" ").decode(), None, 0, count) for lang, count in totals.items()]
+            rows += [(None, None, names[c][1:].decode(), None, 0, count) for c, count in zip(nodes[:, 0].tolist(), n.tolist())]
         else:
-            nodes = [g.rpartition(b" ")[0] if size == words else g for g, size in zip(grams, sizes.tolist())]
-            handed = _summed(pa.table({"gram": pa.array(nodes, pa.large_binary()), "n": n}))
-            rows += [(part, blob, None, None, None, None) for part, blob in _dealt(*handed, parts)]
+            rows += [(part, blob, None, None, None, None) for part, blob in _dealt(nodes, n, names, parts)]
         types = [pa.int32(), pa.binary(), pa.string(), pa.string(), pa.int32(), pa.int64()]
-        names = ["part", "grams", "lang", "phrase", "words", "n"]
+        fields = ["part", "grams", "lang", "phrase", "words", "n"]
         columns = zip(*rows) if rows else [()] * 6
-        return pa.table([pa.array(list(c), t) for c, t in zip(columns, types)], names=names)
+        return pa.table([pa.array(list(c), t) for c, t in zip(columns, types)], names=fields)
 
     return run
 

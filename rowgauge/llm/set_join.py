@@ -22,8 +22,9 @@ BAND_POWER = 2
 PARTS = 2
 #: For so much allowed difference there is one partition more, so that few empty parts can be left out.
 SPARE = 64
-#: Rounds in which each bucket's members meet one of them, before the rest meet by rare shingles.
-STAR_ROUNDS = 2
+#: Members of buckets that may all meet each other; of larger ones, each meets one of the bucket in so
+#: many rounds, and what is open then meets by rare shingles.
+SMALL, STAR_ROUNDS = 32, 2
 
 _BAND = 0x9E3779B97F4A7C15
 
@@ -93,6 +94,20 @@ def signatures(elements: np.ndarray, similarity: int) -> np.ndarray:
     return np.unique(np.concatenate(found)) if found else elements[:0]
 
 
+def parities(elements: np.ndarray) -> np.ndarray:
+    """Whether an odd number of elements falls on each bit of a power of two, n/2 bits or more, 64 at least.
+
+    Bits that differ between two sets are not more than the elements in which the sets differ.
+    """
+    words = 1
+    while 128 * words < len(elements):
+        words *= 2
+    spread = mix(elements ^ np.uint64(_BAND))
+    place = (spread >> np.uint64(6)) % np.uint64(words) * np.uint64(64) + spread % np.uint64(64)
+    bits = np.bincount(place.astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
 def _lists(values: list[np.ndarray]) -> pa.Array:
     ends = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
     flat = np.concatenate(values).view(np.int64) if values else np.zeros(0, np.int64)
@@ -100,7 +115,7 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
 
 
 def _shingled(size: int, similarity: int, full: bool):
-    """Batches of (doc_id, text) as (doc_id, n_shingles, digest, keys), or as (id, shingles) if `full`."""
+    """Batches of (doc_id, text) as (doc_id, n_shingles, digest, keys, odd), or as (id, shingles) if `full`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -112,8 +127,8 @@ def _shingled(size: int, similarity: int, full: bool):
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()),
-                 _lists([signatures(s, similarity) for s in sets])],
-                names=["doc_id", "n_shingles", "digest", "keys"],
+                 _lists([signatures(s, similarity) for s in sets]), _lists([parities(s) for s in sets])],
+                names=["doc_id", "n_shingles", "digest", "keys", "odd"],
             )
 
     return run
@@ -124,15 +139,34 @@ def _several(entries: DataFrame) -> DataFrame:
     return entries.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
 
 
+def _likely(pairs: DataFrame, sketches: DataFrame, similarity: int) -> DataFrame:
+    """Pairs (a, b) of (id, other) whose sizes and parities let them fit: all that do, and few others.
+
+    The longer parities are folded to the shorter, a bit being odd if an odd number of its bits are.
+    """
+    left = sketches.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("odd").alias("odd_a"))
+    right = sketches.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("odd").alias("odd_b"))
+    ordered = pairs.where("id != other").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
+    folded = "aggregate(sequence(k, size({0}) - 1, least(size(odd_a), size(odd_b))), 0L, (x, j) -> x ^ {0}[j])"
+    differ = F.expr(
+        "aggregate(sequence(0, least(size(odd_a), size(odd_b)) - 1), 0, (sum, k) -> sum + bit_count("
+        f"{folded.format('odd_a')} ^ {folded.format('odd_b')}))"
+    )
+    return (
+        ordered.distinct().join(left, "a").join(right, "b")
+        .where(f"100 * least(n_a, n_b) >= {similarity} * greatest(n_a, n_b)")
+        .where((100 + similarity) * differ <= (100 - similarity) * (F.col("n_a") + F.col("n_b")))
+        .select("a", "b").distinct()
+    )
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """The links (a, b) among pairs (id, other), by their whole sets."""
+    """The links among pairs (a, b), by their whole sets."""
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("left"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("right"))
     common = F.size(F.array_intersect("left", "right"))
-    ordered = pairs.where("id != other").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
     return (
-        ordered.distinct().join(left, "a").join(right, "b")
-        .where(f"100 * least(size(left), size(right)) >= {similarity} * greatest(size(left), size(right))")
+        pairs.join(left, "a").join(right, "b")
         .where(100 * common >= similarity * (F.size("left") + F.size("right") - common))
         .select("a", "b")
     )
@@ -148,11 +182,13 @@ def linked_sets(docs: DataFrame, similarity: int = 80, size: int = 5) -> DataFra
     1. One pass makes for each document its number of shingles, a digest of its set and its PartEnum
        signatures (see `signatures`). Documents with equal sets are one class. Two classes that fit
        have a signature in common, always.
-    2. Signatures of two classes or more are buckets. In each of two rounds every class of a bucket
-       meets one of it: the smallest, then a random one. Pairs are confirmed on the full sets, made
-       again from the texts of the classes concerned. Buckets of one component are done.
-    3. Classes of buckets still in several components meet by their rarest shingles, which sets that
-       similar must share, so a hot bucket never meets itself in all pairs and no link is lost.
+    2. Signatures of two classes or more are buckets. First every class of a bucket meets the smallest
+       of it; buckets of one component are done. Of the others, the classes of different components
+       meet each other where there are SMALL or fewer; in larger ones, each meets a random one.
+    3. Classes of large buckets still in several components meet by their rarest shingles, which sets
+       that similar must share, so a hot bucket never meets itself in all pairs and no link is lost.
+    4. Pairs pass by their sizes and by parities (see `parities`), which no link fails, and are then
+       confirmed on the full sets, made again from the texts of the classes concerned.
 
     Sets are of 64-bit hashes: two of n shingles agree by chance once in 2^64.
 
@@ -167,7 +203,7 @@ def linked_sets(docs: DataFrame, similarity: int = 80, size: int = 5) -> DataFra
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = scratch.keep(
         source.mapInArrow(
-            _shingled(size, similarity, False), "doc_id long, n_shingles long, digest binary, keys array<long>"
+            _shingled(size, similarity, False), "doc_id long, n_shingles long, digest binary, keys array<long>, odd array<long>"
         ),
         "signed",
     )
@@ -181,12 +217,17 @@ def linked_sets(docs: DataFrame, similarity: int = 80, size: int = 5) -> DataFra
         "met",
     )
     members = scratch.keep(met.join(_several(met), "key").select("key", "id"), "members")
+    ids = members.select(F.col("id").alias("doc_id")).distinct()
     sets = scratch.keep(
-        source.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        source.join(ids, "doc_id", "left_semi")
         .mapInArrow(_shingled(size, similarity, True), "id long, shingles array<long>")
         .distinct(),
         "sets",
     )
+    sketches = scratch.keep(
+        part.join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "odd"),
+        "sketches",
+    )
     # A doc_id on rows of several texts ties their classes together.
     several = part.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high"))
     links = (
@@ -202,18 +243,30 @@ def linked_sets(docs: DataFrame, similarity: int = 80, size: int = 5) -> DataFra
         else:
             open_ = left.select("id", "component").distinct()
             pairs = rare_shingle_pairs(open_.join(sets, "id"), similarity).select("id", "other")
-        links = scratch.keep(links.union(_confirmed(pairs, sets, similarity)), f"links{round_}")
+        if round_ == 1:
+            small = named.join(split.where(F.col("m") <= SMALL).select("key"), "key")
+            other = small.select("key", F.col("id").alias("other"), F.col("component").alias("other_component"))
+            each = small.join(other, "key").where("id < other AND component != other_component")
+            pairs = pairs.union(each.select("id", "other"))
+        likely = _likely(pairs, sketches, similarity)
+        links = scratch.keep(links.union(_confirmed(likely, sets, similarity)), f"links{round_}")
         groups = components(links)
         if round_ == STAR_ROUNDS:
             break
-        named = members.join(groups, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+        named = scratch.keep(
+            left.select("key", "id").join(groups, "id", "left")
+            .select("key", "id", F.coalesce("component", "id").alias("component")),
+            f"named{round_}",
+        )
         split = (
             named.groupBy("key")
             .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m"))
-            .where("low != high AND m > 2").select("key")
+            .where("low != high AND m > 2")
         )
-        left = scratch.keep(named.join(split, "key"), f"left{round_}")
-        if left.isEmpty():
+        if split.isEmpty():
+            break
+        left = named.join(split.where(F.col("m") > SMALL).select("key"), "key")
+        if round_ == 1 and left.isEmpty():
             break
     named = classes.join(groups, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
     whole = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))

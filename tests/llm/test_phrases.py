@@ -4,10 +4,11 @@ import collections
 import random
 import re
 
+import numpy as np
 import pytest
 
 from rowgauge.llm import phrases
-from rowgauge.llm.phrases import collocations, gram_counts, path_phrases, phrase_counts, unary_paths
+from rowgauge.llm.phrases import collocations, path_phrases, phrase_counts, summed, unary_paths
 from rowgauge.llm.queries import QUERIES
 
 from .helpers import SCHEMA, SF, docs, odd_texts
@@ -85,13 +86,15 @@ def test_counts_of_all_lengths_follow_from_the_longest_grams(spark, monkeypatch,
     assert {r.lang: r.n for r in got if not r.words} == totals
 
 
-def test_many_words_are_counted_exactly():
-    """More distinct words than fit three to a number of 64 bits."""
-    n = 3_000_000
-    text = b" ".join(b"%x" % k for k in range(n)) + b" . 0 1 2"
-    grams, counts = gram_counts([text], 3)
-    assert len(grams) == n + 2 and counts.sum() == n + 3
-    assert dict(zip(grams, counts.tolist()))[b"0 1 2"] == 2
+def test_rows_of_large_numbers_are_summed_exactly():
+    """More numbers than fit three to 64 bits."""
+    rng = np.random.default_rng(1)
+    rows = rng.integers(0, 1 << 40, (500, 3))[rng.integers(0, 500, 4000)]
+    got, counts = summed(rows, np.arange(4000), 1 << 40)
+    want = collections.Counter()
+    for k, row in enumerate(rows.tolist()):
+        want[tuple(row)] += k
+    assert dict(zip(map(tuple, got.tolist()), counts.tolist())) == want
 
 
 def brute_paths(edges):

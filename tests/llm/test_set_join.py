@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 
 from rowgauge.llm.queries import QUERIES
-from rowgauge.llm.set_join import band_of, linked_sets, signatures
+from rowgauge.llm import set_join
+from rowgauge.llm.set_join import band_of, linked_sets, parities, signatures
 from rowgauge.llm.words import mix
 
 from .helpers import SCHEMA, SF, docs, odd_texts, prose
@@ -89,7 +90,21 @@ def test_sets_with_empty_partitions_meet():
         assert len(np.intersect1d(signatures(a, 85), signatures(b, 85)))
 
 
-def test_chains_hubs_and_copies(spark):
+def test_parities_never_differ_more_than_the_sets():
+    rng = np.random.default_rng(5)
+    for n in (1, 5, 64, 129, 700):
+        pool = mix(rng.integers(1, 2**63, 3 * n).astype(np.uint64))
+        a, b = pool[:n], pool[n // 3 : n // 3 + n + n // 4]
+        x, y = (np.unpackbits(parities(s).view(np.uint8), bitorder="little") for s in (a, b))
+        bits = min(len(x), len(y))
+        x, y = (v.reshape(-1, bits).sum(axis=0) % 2 for v in (x, y))
+        differ = len(np.setxor1d(a, b))
+        assert (x != y).sum() <= differ and (x != y).sum() % 2 == differ % 2
+
+
+@pytest.mark.parametrize("small", [0, 2, 32])
+def test_chains_hubs_and_copies(spark, monkeypatch, small):
+    monkeypatch.setattr(set_join, "SMALL", small)
     base = prose(1, 140).split()
     texts = []
     for k in range(150):
