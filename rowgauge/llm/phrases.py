@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -55,7 +56,7 @@ def summed(grams: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray
             bound = len(names)
         key = key * size + column
         bound *= size
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     key = key[order]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     return grams[order[first]], np.add.reduceat(counts[order], first)
@@ -82,16 +83,17 @@ def _dealt(grams: np.ndarray, counts: np.ndarray, names: list[bytes], parts: int
     total = np.zeros(len(grams), dtype=np.uint64)
     for column in grams.T:
         total = mix(total + hashes[column])
-    part = (total % np.uint64(parts)).astype(np.int64)
+    part = (total % np.uint64(parts)).astype(np.uint16 if parts < 1 << 16 else np.int64)
     order = np.argsort(part, kind="stable")
     numbers, begins = np.unique(part[order], return_index=True)
     for number, begin, end in zip(numbers.tolist(), begins, [*begins[1:], len(order)]):
         some = order[begin:end]
-        used, local = np.unique(grams[some], return_inverse=True)
+        local, used = pd.factorize(grams[some].ravel())
         words = [names[k] for k in used.tolist()]
+        local = local.astype(np.uint16 if len(words) < 1 << 16 else np.uint32)
         head = np.array([len(words), len(some), grams.shape[1]], np.uint32)
         lengths = np.fromiter(map(len, words), dtype=np.uint32, count=len(words))
-        packed = [head, lengths, local.reshape(-1).astype(np.uint32), counts[some].astype(np.int64)]
+        packed = [head, lengths, local, counts[some].astype(np.int64)]
         yield number, zstandard.compress(b"".join([*(x.tobytes() for x in packed), *words]), 1)
 
 
@@ -103,10 +105,12 @@ def _unpacked(blobs: list[bytes], codes: _Codes) -> tuple[np.ndarray, np.ndarray
         n_words, n, width = np.frombuffer(raw, np.uint32, 3).tolist()
         at = 12 + 4 * n_words
         ends = np.cumsum(np.frombuffer(raw, np.uint32, n_words, 12), dtype=np.int64)
-        local = np.frombuffer(raw, np.uint32, n * width, at)
-        counts.append(np.frombuffer(raw, np.int64, n, at + 4 * n * width))
-        ends = (ends + at + 4 * n * width + 8 * n).tolist()
-        words = [raw[b:e] for b, e in zip([at + 4 * n * width + 8 * n, *ends], ends)]
+        local = np.frombuffer(raw, np.uint16 if n_words < 1 << 16 else np.uint32, n * width, at)
+        at += local.nbytes
+        counts.append(np.frombuffer(raw, np.int64, n, at))
+        at += 8 * n
+        ends = (ends + at).tolist()
+        words = [raw[b:e] for b, e in zip([at, *ends], ends)]
         grams.append(codes.of(words)[local].reshape(n, width))
     return np.concatenate(grams), np.concatenate(counts)
 

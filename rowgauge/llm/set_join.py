@@ -18,8 +18,9 @@ from .words import LOWER, WordHashes, byte_texts, mix, pieces, shingle_set
 
 #: Widest ratio of sizes within a band is the similarity's reciprocal to this power.
 BAND_POWER = 2
-#: Parts of a partition, one of which agrees where a pair differs there in one element at most.
-PARTS = 2
+#: Parts of a partition, all but one of which agree where a pair differs there in one element at most,
+#: and elements that a choice of them has at least, unless too many partitions have such a choice.
+PARTS, LEAST = 3, 2
 #: For so much allowed difference there is one partition more, so that few empty parts can be left out.
 SPARE = 64
 #: Members of buckets that may all meet each other; of larger ones, each meets one of the bucket in so
@@ -60,8 +61,9 @@ def signatures(elements: np.ndarray, similarity: int) -> np.ndarray:
     part is a signature. A set takes part in its own band, where r is the band's largest size, and in
     the next, as the smaller set of a pair.
 
-    Choices without an element of the set are left out: the spare partitions make up for those of a
-    set that has few of them. A set that has more signs them too, so two such sets meet by them.
+    Choices with fewer than LEAST elements of the set are left out: the spare partitions make up for
+    those of a set that has few of them. A set that has more signs them too, so two such sets meet by
+    them.
     """
     n = len(elements)
     if not n:
@@ -86,7 +88,7 @@ def signatures(elements: np.ndarray, similarity: int) -> np.ndarray:
         size = counts.reshape(-1, PARTS)
         # All but one part of each partition.
         chosen = value.sum(axis=1, dtype=np.uint64, keepdims=True) - value
-        empty = size.sum(axis=1, keepdims=True) - size == 0
+        empty = size.sum(axis=1, keepdims=True) - size < LEAST
         names = np.arange(1, parts + 1, dtype=np.uint64).reshape(-1, PARTS) + (np.uint64(band + 1) << np.uint64(40))
         keys = mix(mix(chosen) ^ mix(names))
         bare = empty.any(axis=1).sum()
@@ -209,8 +211,8 @@ def linked_sets(docs: DataFrame, similarity: int = 80, size: int = 5) -> DataFra
     )
     part = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = part.groupBy("digest").agg(F.min("doc_id").alias("id"))
-    entries = part.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key"))
-    # Signatures of one class only are most of all; they go before anything else is shuffled.
+    # Dealt by signature once, for counting and joining: of a document's many signatures, one key has few.
+    entries = part.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key")).repartition("key")
     met = scratch.keep(
         entries.join(_several(entries), "key").join(classes.select("id").distinct(), "id", "left_semi")
         .select("key", "id").distinct(),
