@@ -15,23 +15,30 @@ def normal(text):
 
 
 def brute_force(rows, least=RUN_WORDS):
-    """{doc_id: (removed sentence numbers, documents of first occurrences)} by going through all runs in order."""
+    """{doc_id: (removed sentence numbers, documents of first occurrences)} by all runs in order.
+
+    The shortest run from every sentence on and the shortest up to every sentence cover whatever any
+    repeated run does: what neither end's run reaches has a run of its own before the end.
+    """
     seen, out = {}, {}
     for doc_id, text in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
         own = normal((text or "").encode())
         words = [len(s.split()) for s in own]
-        for first in range(len(own)):
-            total = 0
-            for last in range(first, len(own)):
-                total += words[last]
-                if (last > first and total >= least) or (last == first and total >= 2 * least):
-                    run = tuple(own[first : last + 1])
-                    at = seen.setdefault(run, (doc_id, first))
-                    if at != (doc_id, first):
-                        gone, firsts = out.setdefault(doc_id, (set(), set()))
-                        gone.update(range(first, last + 1))
-                        firsts.add(at[0])
-                    break
+
+        def fits(first, last):
+            return sum(words[first : last + 1]) >= (least if last > first else 2 * least)
+
+        places = set()
+        for k in range(len(own)):
+            places.add(next(((k, b) for b in range(k, len(own)) if fits(k, b)), None))
+            places.add(next(((a, k) for a in range(k, -1, -1) if fits(a, k)), None))
+        for first, last in sorted(places - {None}):
+            run = tuple(own[first : last + 1])
+            at = seen.setdefault(run, (doc_id, first))
+            if at != (doc_id, first):
+                gone, firsts = out.setdefault(doc_id, (set(), set()))
+                gone.update(range(first, last + 1))
+                firsts.add(at[0])
     return out
 
 
