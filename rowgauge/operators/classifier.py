@@ -1,7 +1,7 @@
 """Record-quality classifier: a Random Forest over scaled features.
 
-Scaling and forest form one pipeline fitted on training data, so new data is scaled as the
-training data was.
+Text codes, scaling and forest are fitted on training data together, so new data is encoded and scaled
+as the training data was.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from rowgauge.functions.cells import cell
+from rowgauge.operators.encode import TextEncoder, fit_text
 from rowgauge.operators.evaluate import evaluate_weighted
 from rowgauge.operators.sampling import assign_folds
 from rowgauge.operators.schema import numeric_features
@@ -50,14 +51,9 @@ def _plain(features: list[str]) -> list[str]:
     return [f"__feature_{i}" for i in range(len(features))]
 
 
-def _prepared(
-    df: DataFrame, features: list[str], keep: Iterable[Column], fill: bool = False
-) -> DataFrame:
-    """The columns to keep, and the features as doubles under plain names; `fill` NaN as 0.0."""
-    plain = _plain(features)
-    copies = df.select(*keep, *[cell(c).alias(a) for c, a in zip(features, plain)])
-    numbers = numeric_features(copies, plain)
-    return numbers.withColumns({c: F.nanvl(c, F.lit(0.0)) for c in plain}) if fill else numbers
+def _copied(df: DataFrame, features: list[str], keep: Iterable[Column]) -> DataFrame:
+    """The columns to keep, and the features under plain names."""
+    return df.select(*keep, *[cell(c).alias(a) for c, a in zip(features, _plain(features))])
 
 
 def _stages(features: list[str]) -> list:
@@ -75,9 +71,14 @@ def _stages(features: list[str]) -> list:
 def prepare_features(
     df: DataFrame, target: str = "ground_truth", exclude: Iterable[str] = ()
 ) -> tuple[DataFrame, list[str]]:
-    """Rows with `features` and `scaled_features`, and the feature names in vector order."""
+    """Rows with `features` and `scaled_features`, and the feature names in vector order.
+
+    Text columns have codes, or out-of-fold means of the target (see `encode.fit_text`). Runs jobs.
+    """
     features = feature_columns(df, target, exclude)
-    prepared = _prepared(df, features, [cell(c) for c in df.columns])
+    copies = _copied(df, features, [cell(c) for c in df.columns])
+    text = fit_text(copies, _plain(features), target if target in df.columns else None)
+    prepared = numeric_features(text.apply(copies, training=True), _plain(features))
     model = Pipeline(stages=_stages(features)).fit(prepared)
     return model.transform(prepared).drop(*_plain(features)), features
 
@@ -89,11 +90,14 @@ class RecordClassifier:
     model: PipelineModel
     features: list[str]
     target: str
+    text: TextEncoder
 
     def predict(self, df: DataFrame) -> DataFrame:
         """Every input row with `prediction` (0/1) and `score`, the probability of 1."""
-        rows = _prepared(df, self.features, [cell(c) for c in df.columns], fill=True)
-        scored = self.model.transform(rows)
+        plain = _plain(self.features)
+        copies = _copied(df, self.features, [cell(c) for c in df.columns])
+        numbers = numeric_features(self.text.apply(copies), plain)
+        scored = self.model.transform(numbers.withColumns({c: F.nanvl(c, F.lit(0.0)) for c in plain}))
         return scored.select(
             *[cell(c) for c in df.columns],
             F.col("prediction").cast("int").alias("prediction"),
@@ -122,15 +126,17 @@ def train_random_forest(
     exclude: Iterable[str] = (),
     persist: bool = True,
 ) -> RecordClassifier:
-    """Fit scaler and forest on the rows that have a label.
+    """Fit text codes, scaler and forest on the rows that have a label.
 
     Fitting passes over the rows several times; they are kept in memory and on disk meanwhile
     unless `persist` is off, for input that is kept already.
     """
     features = feature_columns(df, target, exclude)
-    labeled = _prepared(
+    copies = _copied(
         df.filter(cell(target).isNotNull()), features, [cell(target).cast("double").alias(_LABEL)]
     )
+    text = fit_text(copies, _plain(features), _LABEL)
+    labeled = numeric_features(text.apply(copies, training=True), _plain(features))
     forest = RandomForestClassifier(
         featuresCol="scaled_features",
         labelCol=_LABEL,
@@ -145,7 +151,7 @@ def train_random_forest(
     finally:
         if persist:
             labeled.unpersist()
-    return RecordClassifier(model, features, target)
+    return RecordClassifier(model, features, target, text)
 
 
 def cross_validate(
@@ -160,16 +166,16 @@ def cross_validate(
 ) -> DataFrame:
     """(metric, mean, stddev, folds): each fold predicted by a model of the other folds.
 
-    Folds come from the key, so they are the same in every pass. The key is no feature. The
-    prepared rows are kept in memory and on disk while the models are fitted; the predictions of
-    all folds are evaluated together.
+    Folds come from the key, so they are the same in every pass. The key is no feature. Text is
+    encoded by each model's own training rows. The rows are kept in memory and on disk while the
+    models are fitted; the predictions of all folds are evaluated together.
     """
     features = feature_columns(df, target, [key, *exclude])
     labeled = df.filter(cell(target).isNotNull())
     folded = assign_folds(labeled, key, folds, seed).select(
         *[cell(c) for c in features], cell(target), "fold_id"
     )
-    prepared = numeric_features(folded, features).persist(StorageLevel.MEMORY_AND_DISK)
+    prepared = folded.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         predictions = []
         for fold in range(1, folds + 1):

@@ -6,6 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rowgauge.functions.cells import cell, is_numeric, percent, rounded
 from rowgauge.operators.sampling import LABEL_COLUMN, LABEL_DIMENSIONS
@@ -175,6 +176,50 @@ def correlation_importance(
     )
 
 
+def association_importance(
+    df: DataFrame, label: str, columns: Iterable[str] | None = None
+) -> DataFrame:
+    """(feature, kind, association, importance) of the numeric and the text columns.
+
+    Numeric columns have their correlation with the label. Text columns have the correlation ratio:
+    the root of the share of the label's variance that lies between values; for a label of two
+    classes this is Cramer's V. Rows in which label or value is null are left out. A column whose
+    label does not vary has no association and importance 0; empty text is a value. All text columns
+    share one aggregate by column and value, combined before the shuffle, and a second one by column.
+    """
+    wanted = [f for f in df.schema.fields if f.name != label and (columns is None or f.name in columns)]
+    texts = [f.name for f in wanted if isinstance(f.dataType, T.StringType)]
+    numbers = [f.name for f in wanted if is_numeric(f.dataType)]
+    if not texts and not numbers:
+        raise ValueError("no numeric or text feature column")
+    found = None
+    if numbers:
+        found = correlation_importance(df, label, numbers).select(
+            "feature", F.lit("numeric").alias("kind"), F.col("correlation").alias("association"), "importance"
+        )
+    if texts:
+        y = F.col("y")
+        values = df.select(
+            cell(label).cast("double").alias("y"),
+            F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), cell(c).alias("value")) for c in texts])).alias("x"),
+        ).where("y IS NOT NULL AND x.value IS NOT NULL")
+        groups = values.groupBy("x.feature", "x.value").agg(
+            F.count(F.lit(1)).alias("n"), F.sum(y).alias("total"), F.sum(y * y).alias("squares")
+        )
+        mean = F.pow(F.sum("total"), 2) / F.sum("n")
+        between = F.sum(F.pow("total", 2) / F.col("n")) - mean
+        whole = F.sum("squares") - mean
+        ratio = F.sqrt(F.greatest(F.lit(0.0), between) / F.nullif(whole, F.lit(0.0)))
+        # Columns without a single pair of values are there too.
+        names = df.sparkSession.createDataFrame([(c,) for c in texts], "feature string")
+        measured = names.join(groups.groupBy("feature").agg(ratio.alias("ratio")), "feature", "left").select(
+            "feature", F.lit("text").alias("kind"), rounded(F.col("ratio"), 6).alias("association"),
+            F.coalesce(rounded(F.col("ratio"), 6), F.lit(0.0)).alias("importance"),
+        )
+        found = measured if found is None else found.unionByName(measured)
+    return found.orderBy(F.desc("importance"), "feature")
+
+
 def feature_kinds(df: DataFrame, label: str) -> dict[str, int]:
     """Number of features in all, numeric and categorical; from the schema alone."""
     features = [f for f in df.schema.fields if f.name != label]

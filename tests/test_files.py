@@ -60,7 +60,10 @@ def test_catalog(spark, tmp_path):
     assert catalog.load(spark, "one").columns == ["x", "y"]
     assert sorted(catalog.load(spark, "many").tables) == ["a.csv", "b.csv"]
     found = [(r.check, r.actual, r.is_valid) for r in catalog.expectations(spark).collect()]
-    assert found == [("rows", 1, False), ("columns", 2, True)]
+    # Of a directory, the rows of all files, the columns that any of them has, and the files.
+    assert found == [
+        ("rows", 1, False), ("columns", 2, True), ("rows", 2, True), ("columns", 3, True), ("tables", 2, True)
+    ]
     with pytest.raises(ValueError, match="Unknown dataset"):
         catalog.load(spark, "none")
 

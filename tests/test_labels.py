@@ -174,6 +174,25 @@ def test_correlation(spark):
     }
 
 
+def test_association_of_text_and_numbers(spark):
+    frame = spark.range(120).select(
+        (F.col("id") % 7).alias("noise"), F.concat(F.lit("g"), F.col("id") % 4).alias("the.group"),
+        F.concat(F.lit("u"), F.col("id") % 3).alias("other"), F.lit("x").alias("flat"), F.lit(None).cast("string").alias("none"),
+        F.when(F.col("id") < 116, (F.col("id") % 4 < 2).cast("int")).alias("y"),
+    )
+    found = {r.feature: r for r in labels.association_importance(frame, "y").collect()}
+    assert found["the.group"].association == 1 and found["the.group"].kind == "text"
+    assert found["other"].association < 0.1 and found["noise"].kind == "numeric"
+    assert found["flat"].association == 0 and found["none"].association is None and found["none"].importance == 0
+    # For two classes, Cramer's V.
+    table = frame.where("y IS NOT NULL").toPandas()
+    counts = table.groupby(["other", "y"]).size().unstack().to_numpy()
+    expected = counts.sum(1, keepdims=True) * counts.sum(0) / counts.sum()
+    assert found["other"].association == pytest.approx((((counts - expected) ** 2 / expected).sum() / counts.sum()) ** 0.5, abs=2e-6)
+    with pytest.raises(ValueError, match="no numeric or text"):
+        labels.association_importance(frame.select("y"), "y")
+
+
 def test_text_in_a_label_file_is_a_violation(spark):
     rows = [("1", "1", "1", "1", "0", "1"), ("2", "yes", "1", "1", "1", "1"), ("3", "1", None, "1", "1", "maybe")]
     texts = spark.createDataFrame(rows, ["id", *(part.split()[0] for part in DIMS.split(", "))])

@@ -130,6 +130,50 @@ def _(spark, sf):
     return labels.correlation_importance(label_dims(spark, sf), "final_label")
 
 
+_STATUS_LABEL = "CAST(CASE WHEN o_totalprice > 150000 AND o_orderstatus <> 'F' THEN 1 ELSE 0 END AS DOUBLE)"
+
+
+def _ratio_sql(column: str) -> str:
+    """The correlation ratio of the label given a column's values."""
+    return (
+        f"SELECT '{column}' AS feature, 'text' AS kind, sqrt(sum(s * s / n) - sum(s) * sum(s) / sum(n)) / "
+        f"sqrt(sum(q) - sum(s) * sum(s) / sum(n)) AS r FROM (SELECT count(*) AS n, sum(y) AS s, sum(y * y) AS q FROM o "
+        f"WHERE {column} IS NOT NULL AND y IS NOT NULL GROUP BY {column})"
+    )
+
+
+@query(
+    "association_importance",
+    f"WITH o AS (SELECT o_totalprice, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderstatus END AS o_orderstatus, "
+    f"CASE WHEN o_orderkey % 5 <> 0 THEN o_orderpriority END AS o_orderpriority, {_STATUS_LABEL} AS y FROM orders), "
+    f"a AS (SELECT 'o_totalprice' AS feature, 'numeric' AS kind, corr(o_totalprice, y) AS r FROM o "
+    f"UNION ALL {_ratio_sql('o_orderstatus')} UNION ALL {_ratio_sql('o_orderpriority')}) "
+    f"SELECT feature, kind, {sql_rounded('r', 6)} AS association, coalesce({sql_rounded('abs(r)', 6)}, 0.0) AS importance FROM a",
+)
+def _(spark, sf):
+    orders = table(spark, sf, "orders").select(
+        "o_totalprice",
+        F.expr("CASE WHEN o_orderkey % 11 <> 0 THEN o_orderstatus END AS o_orderstatus"),
+        F.expr("CASE WHEN o_orderkey % 5 <> 0 THEN o_orderpriority END AS o_orderpriority"),
+        F.expr(f"{_STATUS_LABEL} AS y"),
+    )
+    return labels.association_importance(orders, "y")
+
+
+@query(
+    "feature_kinds",
+    "SELECT CAST(7 AS BIGINT) AS n_total_features, CAST(4 AS BIGINT) AS n_numeric, CAST(3 AS BIGINT) AS n_categorical, "
+    "count(*) AS rows FROM orders JOIN customer ON c_custkey = o_custkey",
+)
+def _(spark, sf):
+    """Kinds of the features of orders with their customers, the status being the label."""
+    joined = table(spark, sf, "orders").join(
+        table(spark, sf, "customer"), F.col("c_custkey") == F.col("o_custkey")
+    ).select("o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+    kinds = labels.feature_kinds(joined, "o_orderstatus")
+    return joined.agg(*[F.lit(n).cast("long").alias(name) for name, n in kinds.items()], F.count(F.lit(1)).alias("rows"))
+
+
 # Evaluation -----------------------------------------------------------------------------------
 
 _POOL = f"WITH {SCORED}, pool AS (SELECT * FROM scored UNION ALL SELECT event_id, 'combined', truth, predicted, score FROM scored)"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from rowgauge.operators import classifier, labels, rows, sampling
+from rowgauge.operators import classifier, encode, labels, rows, sampling
 from rowgauge.plans.labeling import LabeledTable, label_pipeline, predict_labeled
 from workload.labels import number_sql
 from workload.registry import query
@@ -53,12 +53,16 @@ def _fitted(spark, sf):
 
 @query(
     "prepare_features",
-    "WITH f AS (SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 13 <> 0 THEN o_totalprice ELSE 0.0 END AS DOUBLE) AS a, "
-    "CAST(CASE WHEN o_orderkey % 7 <> 0 THEN o_custkey ELSE 0 END AS DOUBLE) AS b FROM orders "
-    "UNION ALL SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 13 <> 0 THEN o_totalprice ELSE 0.0 END AS DOUBLE), "
-    "CAST(CASE WHEN o_orderkey % 7 <> 0 THEN o_custkey ELSE 0 END AS DOUBLE) FROM orders WHERE o_orderkey % 10 = 0), "
-    "s AS (SELECT avg(a) AS ma, stddev_samp(a) AS da, avg(b) AS mb, stddev_samp(b) AS db FROM f) "
-    f"SELECT o_orderkey, {sql_fixed('(b - mb) / db')} AS o_custkey, CAST(0.0 AS DOUBLE) AS o_orderstatus, "
+    "WITH twice AS (SELECT * FROM orders UNION ALL SELECT * FROM orders WHERE o_orderkey % 10 = 0), "
+    "r AS (SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 13 <> 0 THEN o_totalprice ELSE 0.0 END AS DOUBLE) AS a, "
+    "CAST(CASE WHEN o_orderkey % 7 <> 0 THEN o_custkey ELSE 0 END AS DOUBLE) AS b, "
+    "CASE WHEN o_orderkey % 11 <> 0 THEN o_orderstatus END AS status FROM twice), "
+    "codes AS (SELECT status, CAST(row_number() OVER (ORDER BY count(*) DESC, status) AS DOUBLE) AS code "
+    "FROM r WHERE status IS NOT NULL GROUP BY status), "
+    "f AS (SELECT o_orderkey, a, b, coalesce(code, 0.0) AS c FROM r LEFT JOIN codes USING (status)), "
+    "s AS (SELECT avg(a) AS ma, stddev_samp(a) AS da, avg(b) AS mb, stddev_samp(b) AS db, avg(c) AS mc, "
+    "stddev_samp(c) AS dc FROM f) "
+    f"SELECT o_orderkey, {sql_fixed('(b - mb) / db')} AS o_custkey, {sql_fixed('(c - mc) / dc')} AS o_orderstatus, "
     f"{sql_fixed('(a - ma) / da')} AS o_totalprice FROM f, s",
 )
 def _(spark, sf):
@@ -73,6 +77,24 @@ def _(spark, sf):
     )
 
 
+@query(
+    "encode_text",
+    "WITH r AS (SELECT o_orderkey, o_orderpriority, o_orderstatus, CAST(o_custkey AS VARCHAR) || 'c' AS customer, "
+    "o_orderkey % 2 AS y FROM orders), n AS (SELECT count(*) AS n, avg(y) AS whole FROM r), "
+    "p AS (SELECT o_orderpriority, row_number() OVER (ORDER BY count(*) DESC, o_orderpriority) AS code FROM r GROUP BY 1), "
+    "m AS (SELECT customer, (sum(y) + 10 * any_value(whole)) / (count(*) + 10) AS mean FROM r, n GROUP BY customer) "
+    f"SELECT o_orderkey, CAST(code AS DOUBLE) AS priority, {sql_fixed('mean')} AS customer "
+    "FROM r JOIN p USING (o_orderpriority) JOIN m USING (customer)",
+)
+def _(spark, sf):
+    orders = table(spark, sf, "orders").select(
+        "o_orderkey", F.col("o_orderpriority").alias("priority"),
+        F.concat(F.col("o_custkey").cast("string"), F.lit("c")).alias("customer"), (F.col("o_orderkey") % 2).alias("y"),
+    )
+    text = encode.fit_text(orders, ["priority", "customer"], "y")
+    return text.apply(orders).select("o_orderkey", "priority", fixed(F.col("customer")).alias("customer"))
+
+
 # A forest's numbers have no SQL: these queries return what SQL can say of them, and tests the rest.
 
 
