@@ -20,12 +20,12 @@ from .words import LOWER, WordHashes, byte_texts, mix, pieces, shingle_set
 BAND_POWER = 2
 #: Parts of a partition, all but one of which agree where a pair differs there in one element at most,
 #: and elements that a choice of them has at least, unless too many partitions have such a choice.
-PARTS, LEAST = 3, 2
+PARTS, LEAST = 2, 1
 #: For so much allowed difference there is one partition more, so that few empty parts can be left out.
 SPARE = 64
 #: Members of buckets that may all meet each other; of larger ones, each meets one of the bucket in so
 #: many rounds, and what is open then meets by rare shingles.
-SMALL, STAR_ROUNDS = 32, 2
+SMALL, STAR_ROUNDS = 128, 2
 
 _BAND = 0x9E3779B97F4A7C15
 
@@ -137,8 +137,12 @@ def _shingled(size: int, similarity: int, full: bool):
 
 
 def _several(entries: DataFrame) -> DataFrame:
-    """The keys that stand in more than one of the entries."""
-    return entries.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
+    """The keys that stand in entries (key, id) with more than one id.
+
+    Asks for both columns, so that it shares the exchange of a join with the entries.
+    """
+    ends = entries.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    return ends.where("low != high").select("key")
 
 
 def _likely(pairs: DataFrame, sketches: DataFrame, similarity: int) -> DataFrame:
@@ -220,14 +224,14 @@ def linked_sets(docs: DataFrame, similarity: int = 80, size: int = 5) -> DataFra
     )
     members = scratch.keep(met.join(_several(met), "key").select("key", "id"), "members")
     ids = members.select(F.col("id").alias("doc_id")).distinct()
+    again = source.join(ids, "doc_id", "left_semi").withColumn("text_hash", F.xxhash64("text"))
     sets = scratch.keep(
-        source.join(ids, "doc_id", "left_semi")
-        .mapInArrow(_shingled(size, similarity, True), "id long, shingles array<long>")
-        .distinct(),
+        again.dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text")
+        .mapInArrow(_shingled(size, similarity, True), "id long, shingles array<long>"),
         "sets",
     )
     sketches = scratch.keep(
-        part.join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "odd"),
+        part.join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "odd").distinct(),
         "sketches",
     )
     # A doc_id on rows of several texts ties their classes together.

@@ -84,7 +84,7 @@ def test_sets_with_empty_partitions_meet():
     band = band_of(40, 85)[0]
     spread = mix(pool + np.uint64((band + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
     k = 2 * band_of(40, 85)[1] * 15 // 185
-    narrow = pool[spread % np.uint64(3 * (k // 2 + 2)) < 4][:44]
+    narrow = pool[spread % np.uint64(set_join.PARTS * (k // 2 + 2)) < 3][:44]
     for cut in range(1, 4):
         a, b = np.unique(narrow[:40]), np.unique(narrow[cut : 40 + cut])
         assert len(np.intersect1d(signatures(a, 85), signatures(b, 85)))
