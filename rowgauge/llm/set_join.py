@@ -213,16 +213,19 @@ def linked_sets(docs: DataFrame, similarity: int = 80, size: int = 5) -> DataFra
         ),
         "signed",
     )
-    part = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    # Signatures are most of it, and needed once; the rest is read again and again.
+    narrow = scratch.keep(signed.drop("keys"), "narrow")
+    part, keyed = (t.where("n_shingles > 0 AND doc_id IS NOT NULL") for t in (narrow, signed))
     classes = part.groupBy("digest").agg(F.min("doc_id").alias("id"))
     # Dealt by signature once, for counting and joining: of a document's many signatures, one key has few.
-    entries = part.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key")).repartition("key")
+    entries = keyed.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key")).repartition("key")
     met = scratch.keep(
         entries.join(_several(entries), "key").join(classes.select("id").distinct(), "id", "left_semi")
         .select("key", "id").distinct(),
         "met",
     )
     members = scratch.keep(met.join(_several(met), "key").select("key", "id"), "members")
+    scratch.drop("signed", "met")
     ids = members.select(F.col("id").alias("doc_id")).distinct()
     again = source.join(ids, "doc_id", "left_semi").withColumn("text_hash", F.xxhash64("text"))
     sets = scratch.keep(
@@ -275,7 +278,7 @@ def linked_sets(docs: DataFrame, similarity: int = 80, size: int = 5) -> DataFra
         if round_ == 1 and left.isEmpty():
             break
     named = classes.join(groups, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
-    whole = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
+    whole = narrow.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
     return whole.join(named, "digest", "left").select(
         "doc_id", "n_shingles",
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),
