@@ -19,14 +19,25 @@ TREES, DEPTH = 60, 8
 MAX_FINDINGS = 20_000
 #: Words of the dictionary, and parts of a candidate compared with it, have so many letters.
 SHORTEST, LONGEST = 4, 10
+#: Kinds of findings in the labelled table.
+KINDS = 29
 #: Characters on either side of a candidate in which its neighbouring words are sought.
 NEAR = 80
 
-# Names that secrets are assigned to, and a run of characters long enough for one.
+# Names that secrets are assigned to.
 _NAMES = "token|secret|passwd|password|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth[_-]?key|credential"
-_RUN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,64}[0-9])[A-Za-z0-9+/_=-]{16,}"
-CANDIDATE = rf"(?i:(?:{_NAMES})\s{{0,3}}[=:]\s{{0,3}}[\"']?[^\s\"'<>]{{6,}})|{_RUN}"
-_ASSIGNED = rf"^(?i:((?:{_NAMES}))\s{{0,3}}[=:]\s{{0,3}}[\"']?)"
+# A run starts where none of its characters stands before, so every search goes through a run once.
+_START = r"(?<![A-Za-z0-9+/_=-])"
+# A run with such a name in it, up to the sign of an assignment and the quote behind it.
+_HEAD = (
+    rf"(?i:(?>[A-Za-z0-9+/_=-]*?({_NAMES}))[A-Za-z0-9+/_-]*+[\"'\]]{{0,2}}\s{{0,3}}[=:]{{1,2}}+>?\s{{0,3}}[\"']?)"
+    r"(?=[^\s\"'<>]{6})"
+)
+# Runs long enough for a secret: with a digit, with both cases beyond a first capital, or of a known form.
+_MIXED = r"[A-Za-z0-9+/_=-][a-z+/_=-]*+[A-Z]"
+_RUN = rf"(?=[A-Za-z+/_=-]*+[0-9]|(?={_MIXED})[A-Z+/_=-]*+[a-z]|AKIA[A-Z]{{16}})[A-Za-z0-9+/_=-]{{16,}}"
+CANDIDATE = rf"{_START}(?:{_HEAD}[^\s\"'<>]+|{_RUN})"
+_ASSIGNED = rf"^{_HEAD}"
 _SECRET_WORD = rf"(?i)({_NAMES}|bearer|akia|login|credentials?)"
 _OTHER_WORD = r"(?i)(commit|sha\d*|md5|checksum|digest|hash|uuid|order|invoice|card|phone|isbn|issue|version|page|figure|example|sample)"
 _TEST_PATH = r"(?i)(test|example|sample|mock|fixture|doc)"
@@ -80,7 +91,7 @@ def candidates(docs: DataFrame, path: Column) -> DataFrame:
     ).select(
         "doc_id", "text_hash", "path", "place", "start", "length",
         F.substring(F.col("matched"), F.length("head") + 1, F.col("length")).alias("value"),
-        F.regexp_extract("head", _ASSIGNED, 1).alias("name"),
+        F.regexp_extract("matched", _ASSIGNED, 1).alias("name"),
         F.regexp_extract("left", r"(\S+)\s*$", 1).alias("before"),
         F.regexp_extract("right", r"^[\"']?\s*(\S+)", 1).alias("after"),
     )
@@ -125,7 +136,7 @@ def finding_features(found: DataFrame, words: DataFrame, keys: list[str]) -> Dat
         "separators": _share(value, "[-_/=+]"),
         "repeats": _share(value, r"(.)(?=\1)"),
         "assigned": (F.col("name") != "").cast("double"),
-        "secret_word": (around.rlike(_SECRET_WORD) | value.rlike("^AKIA[0-9A-Z]{16}$")).cast("double"),
+        "secret_word": (around.rlike(_SECRET_WORD) | value.rlike("(^|[^A-Za-z0-9])(AKIA[0-9A-Z]{16}|gh[a-z]_[A-Za-z0-9]{36})$")).cast("double"),
         "other_word": around.rlike(_OTHER_WORD).cast("double"),
         "test_path": F.coalesce(F.col("path").rlike(_TEST_PATH), F.lit(False)).cast("double"),
     })
@@ -139,19 +150,23 @@ def finding_features(found: DataFrame, words: DataFrame, keys: list[str]) -> Dat
 def labelled_findings(spark: SparkSession, vocabulary: str, each: int = 60) -> DataFrame:
     """(finding, value, name, before, after, path, secret): a labelled table, made by rule.
 
-    For every kind of finding, `each` values from a digest of their number. Secrets are keys and
-    passwords under names for them; the others are what is mistaken for such: digests, card and
-    order numbers, identifiers, file names, words with numbers, placeholders.
+    For every kind of finding, `each` values from a digest of their number; `finding` modulo KINDS is
+    the kind. Secrets are keys and passwords under names for them, and keys of a known form; the others
+    are what is mistaken for such: digests, card and order numbers, identifiers, paths, file names, words
+    with numbers, placeholders.
     """
     words = [r.word for r in dictionary(spark, vocabulary).limit(4000).collect()]
     rows = []
     names = ["token", "secret", "password", "api_key", "access_key", "passwd"]
     text = ["the", "of", "in", "see", "with", ""]
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    both = letters + letters.upper()
     mixed = "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz0123456789"
     for k in range(each):
         digest = hashlib.sha256(f"finding {k}".encode()).digest()
         raw, a, b = digest.hex(), words[k * 61 % len(words)], words[(k * 89 + 7) % len(words)]
+        c, bare = words[(k * 53 + 11) % len(words)], "".join(both[x % 52] for x in digest)
         long = "".join(mixed[x % len(mixed)] for x in digest)
         name, near, far = names[k % 6], text[k % 6], text[k * 5 % 6]
         path = ["src/app", "conf", "src0", "src7", "deploy"][k % 5]
@@ -166,8 +181,17 @@ def labelled_findings(spark: SparkSession, vocabulary: str, each: int = 60) -> D
             (f"your_{a}_here{k}", name, near, far, "docs/example", 0), ("x" * (16 + k % 9) + "1", name, near, far, "tests/sample", 0),
             (f"{a}{b.title()}{k}", "", near, far, path, 0), ("=" * (15 + k % 30) + "1", "", near, far, path, 0),
             (f"{a}.{b}", name, near, far, path, 0),
+            # Without a digit.
+            ("AKIA" + "".join(letters[x % 26] for x in digest[:16]).upper(), "", near, far, path, 1),
+            ("ghp_" + bare + bare[:4], "", near, far, path, 1), (bare, name, near, far, path, 1),
+            (f"{a}-{b}", name, near, far, path, 1),
+            (f"{a}{b.title()}{c.title()}", "", near, far, path, 0), (f"{a.title()}{b.title()}{c.title()}", "", near, far, path, 0),
+            (f"/{a}/{b}/{c.title()}/{a.title()}{b.title()}", "", near, far, path, 0), (f"{a}-{b.title()}-{c}", "", near, far, path, 0),
+            # Behind paths and long names.
+            (f"/{a}/{b}/{c}/{b}/{a}/AKIA" + "".join(upper[x % 32] for x in digest[:16]), "", near, far, path, 1),
+            (f"/{a}/{b}/{c}/{b}/{a}/{c}{k}", "", near, far, path, 0),
         ]
-        rows += [(19 * k + j, *row) for j, row in enumerate(made)]
+        rows += [(KINDS * k + j, *row) for j, row in enumerate(made)]
     return spark.createDataFrame(rows, "finding long, value string, name string, before string, after string, path string, secret int")
 
 
@@ -199,8 +223,10 @@ def scan_secrets(
 ) -> DataFrame:
     """(doc_id, start, length, value, score, is_secret): every candidate of every text, judged.
 
-    Candidates are values assigned to names such as token or password, and long runs of letters,
-    digits and a few signs with a digit among them. The forest scores them by length, character
+    Candidates are values assigned to names such as token or password, the names in quotes or part of
+    longer ones too, and long runs of letters, digits and a few signs that have a digit, both cases, or
+    the form of an access key. Finding them takes time in proportion to the text, whatever its runs. The
+    forest scores them by length, character
     transitions, dictionary coverage, the words around them and `path`, a column that says where the
     text comes from; `is_secret` if the score is `threshold` or more.
 
