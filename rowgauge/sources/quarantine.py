@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime
+import re
+from collections.abc import Iterable
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -123,3 +125,28 @@ def save_rejects(bad: DataFrame, path: str, mode: str = "overwrite") -> bool:
         return False
     save_table(bad, path, "json", mode)
     return True
+
+
+def log_rejects(bad: DataFrame, path: str, batch: str) -> None:
+    """Write a batch's bad records to the log at `path`, in place of what this batch wrote before.
+
+    A rerun of a batch, also one without bad records left, leaves its records in the log once. Each
+    batch has a partition `batch=<name>` of its own, so batches may be written at the same time; a
+    write that fails is mended by writing the batch again. Names are letters, digits, `_`, `-` and `.`.
+    """
+    if not re.fullmatch("[A-Za-z0-9_-][A-Za-z0-9_.-]*", batch):
+        raise ValueError(f"unfit name of a batch: {batch}")
+    save_table(bad, f"{path.rstrip('/')}/batch={batch}", "json", "overwrite")
+
+
+def read_rejects(
+    spark: SparkSession, path: str, batches: Iterable[str] | None = None
+) -> DataFrame:
+    """(timestamp, dataset, error_type, error_message, record, batch) of a log, of all batches or some.
+
+    Only the partitions of the batches asked for are read.
+    """
+    found = spark.read.schema(
+        "timestamp timestamp, dataset string, error_type string, error_message string, record string, batch string"
+    ).json(path)
+    return found if batches is None else found.filter(F.col("batch").isin(list(batches)))

@@ -1,11 +1,14 @@
 from __future__ import annotations
 
+import re
+
 import pytest
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import types as T
 
 from rowgauge.operators import schema
 from rowgauge.sources import quarantine, readers, writers
+from rowgauge.sources.workbooks import PARTITION_BYTES, SheetsReader, register_xlsx
 from workload.workbook_fixture import workbook
 
 TYPES = T.StructType().add("id", T.IntegerType()).add("name", T.StringType()).add(
@@ -251,3 +254,81 @@ def test_directories_are_validated_and_checked(spark, tmp_path):
     assert set(whole.reports) == set(whole.tables)
     assert all(r.is_valid for report in whole.reports.values() for r in report.collect())
     assert catalog.load(spark, "one", validate=True).report.count() > 0
+
+
+def xlsx(spark, path, **options):
+    register_xlsx(spark)
+    return spark.read.format("xlsx").options(**options).load(str(path))
+
+
+def test_xlsx_source_reads_headers_that_differ(spark, tmp_path):
+    (tmp_path / "a.xlsx").write_bytes(sheets(("one", [["x", "", "x"], ["1", "2", "3"], ["", "5", ""]])))
+    (tmp_path / "b.XLSX").write_bytes(sheets(("one", [["y", "x"], ["6", "7", "beyond the header"]])))
+    (tmp_path / "c.xlsx").write_bytes(sheets(("one", [])))
+    (tmp_path / "_d.xlsx").write_bytes(b"no workbook")
+    found = xlsx(spark, tmp_path)
+    assert found.columns == ["x", "_c1", "x_2", "y"]
+    rows = {("1", "2", "3", None), (None, "5", None, None), ("7", None, None, "6")}
+    assert set(map(tuple, found.collect())) == rows
+    assert xlsx(spark, tmp_path, mergeSchema="false").columns == ["x", "_c1", "x_2"]
+    register_xlsx(spark)
+    some = spark.read.format("xlsx").schema("y string, none string").load(f"file:{tmp_path}")
+    assert sorted(map(str, (r.y for r in some.collect()))) == ["6", "None", "None"]
+    assert xlsx(spark, tmp_path / "a.*").count() == 2 and xlsx(spark, tmp_path / "b.XLSX").count() == 1
+
+
+def test_xlsx_source_by_sheet(spark, tmp_path):
+    (tmp_path / "a.xlsx").write_bytes(sheets(("late", [["x"], ["1"]]), ("early", [["y"], ["2"]])))
+    (tmp_path / "b.xlsx").write_bytes(sheets(("late", [["x"], ["3"]])))
+    assert sorted(r.x for r in xlsx(spark, tmp_path).collect()) == ["1", "3"]
+    assert [tuple(r) for r in xlsx(spark, tmp_path / "a.xlsx", sheet="early").collect()] == [("2",)]
+    assert [tuple(r) for r in xlsx(spark, tmp_path / "a.xlsx", sheet=1, header=False).collect()] == [("y",), ("2",)]
+    every = sorted(tuple(map(str, r)) for r in xlsx(spark, tmp_path, sheet="*").collect())
+    assert every == [("1", "None"), ("3", "None"), ("None", "2")]
+
+
+def test_xlsx_source_refuses_what_it_cannot_read(spark, tmp_path):
+    (tmp_path / "a.xlsx").write_bytes(sheets(("one", [["x"], ["1"]])))
+    register_xlsx(spark)
+    for read in (
+        lambda: spark.read.format("xlsx").schema("x int").load(str(tmp_path)).collect(),
+        lambda: xlsx(spark, tmp_path / "absent").collect(),
+        lambda: xlsx(spark, tmp_path, sheet="absent").collect(),
+    ):
+        with pytest.raises(PySparkException):
+            read()
+
+
+def test_xlsx_partitions_follow_the_sizes():
+    large, small = PARTITION_BYTES, 1000
+    planned = SheetsReader([("a", 0, large), ("a", 1, large), *[(f"s{i}", 0, small) for i in range(40)]], ["x"], True)
+    counts = [len(p.sheets) for p in planned.partitions()]
+    assert sum(counts) == 42 and counts[:2] == [1, 1] and len(counts) < 10
+
+
+def test_reject_log(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"v{i}") for i in range(6)], "id int, value string")
+    path = str(tmp_path / "log")
+
+    def write(batch, which):
+        bad = quarantine.record_malformed(rows.filter(which), "test", "TYPE_ERROR", "Invalid type", "2024-02-01")
+        quarantine.log_rejects(bad, path, batch)
+
+    def logged(batches=None):
+        found = quarantine.read_rejects(spark, path, batches)
+        return sorted((r.batch, r.record[6:7]) for r in found.collect())
+
+    write("2024-02-01", "id < 2")
+    write("7", "id = 2")
+    write("7", "id = 2")
+    assert logged() == [("2024-02-01", "0"), ("2024-02-01", "1"), ("7", "2")]
+    assert logged(["7"]) == [("7", "2")]
+    write("2024-02-01", "id = 5")
+    assert logged() == [("2024-02-01", "5"), ("7", "2")]
+    write("7", "false")
+    assert logged() == [("2024-02-01", "5")]
+    plan = quarantine.read_rejects(spark, path, ["7"])._jdf.queryExecution().toString()
+    assert re.search(r"PartitionFilters: \[[^]]*batch#", plan)
+    for unfit in ("", "a/b", "..", "a=b"):
+        with pytest.raises(ValueError):
+            write(unfit, "true")

@@ -11,10 +11,10 @@ from pyspark.sql import types as T
 from rowgauge.operators import metrics
 from rowgauge.operators.schema import apply_schema
 from rowgauge.sources import quarantine, readers, writers
-from rowgauge.sources.workbooks import workbook_rows
+from rowgauge.sources.workbooks import register_xlsx
 from workload.quality import ALL_METRICS, COUNTED, WITH
 from workload.registry import query
-from workload.workbook_fixture import workbooks
+from workload.workbook_fixture import write_workbooks
 from workload.types import EXPECTED, read_sql, valid_sql
 from workload.views import (
     DIRTY_ORDERS,
@@ -198,10 +198,10 @@ RAW_TYPES = (
 )
 
 
-def _raw_csv(spark, sf) -> DataFrame:
+def _raw_csv(spark, sf, which=None) -> DataFrame:
     """Events as CSV lines; every 25th line lacks a field, every 40th has one too many."""
     path = writers.scratch_path(spark, "raw")
-    raw = raw_strings(spark, sf)
+    raw = raw_strings(spark, sf) if which is None else raw_strings(spark, sf).filter(which)
     full = F.concat_ws(",", "event_id", "i", "f", "b", "d", "t")
     line = (
         F.when(F.col("event_id") % 25 == 0, F.concat_ws(",", "event_id", "i", "f", "b", "d"))
@@ -269,9 +269,38 @@ def _(spark, sf):
     return found.drop("timestamp")
 
 
+def _workbooks(spark, sf) -> str:
+    """Orders as workbooks in a new folder, in two layouts."""
+    path = writers.scratch_path(spark, "workbooks")
+    orders = _texts(dirty_orders(spark, sf)).withColumn("o_custkey", F.col("o_custkey").cast("string"))
+    write_workbooks(orders.repartition(4, "o_orderkey"), path)
+    return path
+
+
 @query("scan_xlsx", DIRTY)
 def _(spark, sf):
-    orders = _texts(dirty_orders(spark, sf)).withColumn(
-        "o_custkey", F.col("o_custkey").cast("string")
-    )
-    return _typed(workbook_rows(workbooks(orders), orders.columns))
+    found = readers.read_table(spark, _workbooks(spark, sf), format="xlsx")
+    return _typed(found.select(ORDER_TYPES.fieldNames()))
+
+
+@query("scan_xlsx_source", DIRTY)
+def _(spark, sf):
+    register_xlsx(spark)
+    found = spark.read.format("xlsx").load(_workbooks(spark, sf))
+    return _typed(found.select(ORDER_TYPES.fieldNames()))
+
+
+# One log of many batches ----------------------------------------------------------------------
+
+
+@query(
+    "reject_log",
+    f"WITH {RAW_STRINGS} " + _BAD.replace("SELECT ", "SELECT 'part-' || (event_id % 3) AS batch, ", 1),
+)
+def _(spark, sf):
+    path = writers.scratch_path(spark, "rejects")
+    for part in (0, 1, 2, 1):  # a batch that is written again replaces itself
+        raw = _raw_csv(spark, sf, F.col("event_id") % 3 == part)
+        bad = quarantine.quarantine(raw, RAW_TYPES, "events", "2024-02-01").bad
+        quarantine.log_rejects(bad, path, f"part-{part}")
+    return quarantine.read_rejects(spark, path).drop("timestamp")
