@@ -30,15 +30,16 @@ def type_votes(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame
     """One row per column with the number of values of each type.
 
     (ordinal, column_name, int, float, bool, timestamp, date, string, missing, wide, huge):
-    `wide` counts whole numbers beyond 32 bits, `huge` those beyond 64. One scan. The type test
-    is applied to an array of the row's cells, so the plan does not grow with the columns, and
-    the kinds are counted within each task before the shuffle.
+    `wide` counts whole numbers beyond 32 bits, `huge` those beyond 64. One scan. Cells become
+    rows of their own before the type test, so it is compiled once, whatever the number of columns,
+    and the kinds are counted within each task before the shuffle.
     """
     names = chosen(df, columns)
     texts = F.array(*[cell(n).cast("string") for n in names])
     kinds = [*TYPE_NAMES, "missing", "wide", "huge"]
     counted = (
-        df.select(F.posexplode(F.transform(texts, value_kind)).alias("ordinal", "kind"))
+        df.select(F.posexplode(texts).alias("ordinal", "text"))
+        .select("ordinal", value_kind(F.col("text")).alias("kind"))
         .groupBy("ordinal")
         .agg(*[F.count(F.when(F.col("kind") == kind, 1)).alias(kind) for kind in kinds])
     )

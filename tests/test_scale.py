@@ -203,3 +203,15 @@ def test_a_dataset_named_combined_is_not_added_to_the_pooled_row(spark):
     )
     found = evaluate.evaluate(frame, "t", "p", "s", "g")
     assert sorted((r.dataset, r.n_samples) for r in found.collect()) == [("b", 1), ("combined", 2), ("combined", 3)]
+
+
+def test_type_test_is_compiled_once(spark):
+    from rowgauge.operators.schema import type_votes
+
+    def size(n):
+        texts = spark.createDataFrame([tuple("1" * n)], [f"c{i}" for i in range(n)])
+        plan = type_votes(texts)._jdf.queryExecution().optimizedPlan().toString()
+        assert "lambda" not in plan
+        return plan.count("RLIKE")
+
+    assert size(2) == size(12) > 0
