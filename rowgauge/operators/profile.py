@@ -1,15 +1,16 @@
 """The shared passes over a table.
 
 `column_profile` is one map-side-combined aggregate: only one small row per task is
-shuffled. `value_frequencies` is the single wide shuffle needed for exact distinct counts,
-`row_copies` the one needed for exact duplicate counts. Both combine before they shuffle, so
-a value or a row that makes up a third of the table leaves every task as one record.
+shuffled. Where values or rows are only counted, `value_frequencies` and `row_frequencies` shuffle
+digests, whose size does not depend on the width of cells or rows; `row_copies` shuffles the rows
+themselves, for those who need them. All combine before they shuffle, so a value or a row that
+makes up a third of the table leaves every task as one record.
 """
 
 from __future__ import annotations
 
 import datetime
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,17 +18,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowgauge.functions.cells import cell, chosen, comparable, is_numeric, is_temporal, quoted
+from rowgauge.functions.digests import is_narrow, row_digest, value_digest
 from rowgauge.functions.freshness import age_score, reference_point
 
 
 COPIES = "__copies"
 
-# to_json cuts timestamps to milliseconds unless told otherwise.
-WHOLE_MICROSECONDS = {
-    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
-    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
-}
-
 
 def column_profile(
     df: DataFrame,
@@ -89,47 +85,20 @@ def column_profile(
     return df.agg(*aggregates).select(F.inline(F.array(*entries)))
 
 
-def _slots(value: Column, dtype: T.DataType) -> tuple[Column, Column, Column]:
-    """(whole, real, text): exactly one is filled for a non-null value, without loss."""
-    whole, real, text = (F.lit(None).cast(t) for t in ("bigint", "double", "string"))
-    if isinstance(dtype, (T.IntegralType, T.BooleanType)):
-        whole = value.cast("bigint")
-    elif isinstance(dtype, T.DateType):
-        whole = F.unix_date(value).cast("bigint")
-    elif isinstance(dtype, T.TimestampType):
-        whole = F.unix_micros(value)
-    elif isinstance(dtype, T.FractionalType) and not isinstance(dtype, T.DecimalType):
-        real = value.cast("double")
-    elif isinstance(dtype, T.BinaryType):
-        text = F.hex(value)
-    elif isinstance(dtype, (T.StructType, T.ArrayType, T.MapType)):
-        text = F.to_json(comparable(value, dtype), WHOLE_MICROSECONDS)
-    else:
-        text = value.cast("string")
-    return whole, real, text
-
-
 def value_frequencies(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
-    """(ordinal, whole, real, text, copies): how often each value of each column occurs.
+    """(ordinal, high, low, copies): how often each value of each column occurs, by its digest.
 
-    The input is scanned once whatever the number of columns. Every cell becomes a narrow
-    record in a slot of its own kind, so the shuffle carries the values and nothing else.
+    The input is scanned once whatever the number of columns, and every cell becomes a record of
+    three numbers. `high` is null for a null only.
     """
     names = chosen(df, columns)
     records = []
     for i, name in enumerate(names):
-        whole, real, text = _slots(cell(name), df.schema[name].dataType)
-        records.append(
-            F.struct(
-                F.lit(i).alias("ordinal"),
-                whole.alias("whole"),
-                real.alias("real"),
-                text.alias("text"),
-            )
-        )
+        high, low = value_digest(cell(name), df.schema[name].dataType)
+        records.append(F.struct(F.lit(i).alias("ordinal"), high.alias("high"), low.alias("low")))
     return (
         df.select(F.inline(F.array(*records)))
-        .groupBy("ordinal", "whole", "real", "text")
+        .groupBy("ordinal", "high", "low")
         .agg(F.count(F.lit(1)).alias("copies"))
     )
 
@@ -160,7 +129,7 @@ def distinct_profile(
         )
     if scans != "shared":
         raise ValueError(f"unknown kind of scans: {scans}")
-    is_null = F.col("whole").isNull() & F.col("real").isNull() & F.col("text").isNull()
+    is_null = F.col("high").isNull()
     counted = (
         value_frequencies(df, names)
         .groupBy("ordinal")
@@ -181,13 +150,16 @@ def distinct_profile(
 def _distinct_values(df: DataFrame, ordinal: int, name: str) -> DataFrame:
     """The same counts for one column, from an aggregate of its own."""
     copies = F.col(COPIES)
+    dtype = df.schema[name].dataType
+    parts = [cell(name)] if is_narrow(dtype) else list(value_digest(cell(name), dtype))
+    keys = [part.alias(f"value_{i}") for i, part in enumerate(parts)]
     return (
-        df.select(comparable(cell(name), df.schema[name].dataType).alias("value"))
-        .groupBy("value")
+        df.select(*keys)
+        .groupBy(*[f"value_{i}" for i in range(len(parts))])
         .agg(F.count(F.lit(1)).alias(COPIES))
         .agg(
             F.coalesce(F.sum(copies), F.lit(0)).alias("rows"),
-            F.coalesce(F.sum(F.when(F.col("value").isNull(), copies)), F.lit(0)).alias("nulls"),
+            F.coalesce(F.sum(F.when(F.col("value_0").isNull(), copies)), F.lit(0)).alias("nulls"),
             F.count(F.lit(1)).alias("distinct_values"),
         )
         .select(F.lit(ordinal).alias("ordinal"), F.lit(name).alias("column_name"), "*")
@@ -202,9 +174,34 @@ def row_copies(df: DataFrame) -> DataFrame:
     )
 
 
+def row_frequencies(
+    df: DataFrame, by: Iterable[str] = (), sums: Mapping[str, Column] | None = None
+) -> DataFrame:
+    """(`by`, high, low, copies, `sums`): how often each distinct row occurs in each group.
+
+    Rows are those of all columns but `by`, and stand for themselves by their digests. `sums` are
+    added up over the copies of a row.
+    """
+    by = list(by)
+    sums = sums or {}
+    high, low = row_digest([f for f in df.schema.fields if f.name not in by])
+    groups = [f"__by_{i}" for i in range(len(by))]
+    return (
+        df.select(
+            *[cell(n).alias(g) for n, g in zip(by, groups)],
+            high.alias("__high"),
+            low.alias("__low"),
+            *[value.alias(n) for n, value in sums.items()],
+        )
+        .groupBy(*groups, "__high", "__low")
+        .agg(F.count(F.lit(1)).alias(COPIES), *[F.sum(n).alias(n) for n in sums])
+        .withColumnsRenamed(dict(zip(groups, by)))
+    )
+
+
 def duplicate_profile(df: DataFrame) -> DataFrame:
     """One row: (total_rows, distinct_rows, duplicate_count)."""
-    return row_copies(df).agg(
+    return row_frequencies(df).agg(
         F.coalesce(F.sum(COPIES), F.lit(0)).alias("total_rows"),
         F.count(F.lit(1)).alias("distinct_rows"),
         F.coalesce(F.sum(F.col(COPIES) - 1), F.lit(0)).alias("duplicate_count"),

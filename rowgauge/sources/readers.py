@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import datetime
 import logging
 import posixpath
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import NamedTuple
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowgauge.operators.validate import validate_all
+from rowgauge.operators.validate import CHECKS, validate_all, validate_groups
 from rowgauge.sources.workbooks import read_xlsx
 
 log = logging.getLogger(__name__)
@@ -158,12 +159,44 @@ def read_directory_as_one(
     **options,
 ) -> DataFrame:
     """All files of one layout as a single frame with a `file_name` column."""
+    frame = _files_of_one_layout(spark, directory, pattern, format, schema, options)
+    return frame.select("*", F.col("_metadata.file_name").alias("file_name"))
+
+
+def _files_of_one_layout(
+    spark: SparkSession, directory: str, pattern: str, format: str, schema, options: Mapping[str, object]
+) -> DataFrame:
     defaults = {"csv": CSV_OPTIONS, "json": JSON_OPTIONS, "parquet": {}}
     if format not in defaults:
         raise ValueError(f"Unsupported file format: {format}")
     reader = _reader(spark, schema).options(**_options(defaults[format], options))
-    frame = reader.option("pathGlobFilter", pattern).format(format).load(directory)
-    return frame.select("*", F.col("_metadata.file_name").alias("file_name"))
+    return reader.option("pathGlobFilter", pattern).format(format).load(directory)
+
+
+def validate_directory(
+    spark: SparkSession,
+    directory: str,
+    pattern: str = "*.csv",
+    format: str = "csv",
+    schema=None,
+    checks: Iterable[str] = CHECKS,
+    expected_schema: T.StructType | None = None,
+    expected_types: dict[str, str] | None = None,
+    run_at: str | datetime.datetime | None = None,
+    **options,
+) -> DataFrame:
+    """A report for each file: (file_path, check, is_valid, violations, run_at).
+
+    The files have one layout. All are read in one scan and judged in one aggregate by file (see
+    `validate_groups`), so there is no job per file and no path comes to the driver. Files without
+    rows come from the listing, which reads no contents, and have no violations but of the schema.
+    """
+    path = F.col("_metadata.file_path").alias("__file_path")
+    rows = _files_of_one_layout(spark, directory, pattern, format, schema, options).select("*", path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(directory).select(path)
+    return validate_groups(
+        rows, ["__file_path"], checks, expected_schema, expected_types, run_at, files
+    ).withColumnRenamed("__file_path", "file_path")
 
 
 @dataclass(frozen=True)

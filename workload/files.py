@@ -87,6 +87,33 @@ def _(spark, sf):
     return readers.read_validated(spark, path).report.drop("run_at")
 
 
+def _by_file_sql() -> str:
+    nulls = " + ".join(f"count(*) FILTER ({n} IS NULL)" for n in ORDER_TYPES.fieldNames())
+    return (
+        f"WITH {DIRTY_ORDERS}, parts AS (SELECT *, o_orderkey % 4 AS part FROM dirty_orders), "
+        f"counted AS (SELECT part, {nulls} AS nulls, count(*) AS n, count(o_orderpriority) AS wrong "
+        "FROM parts GROUP BY part), d AS (SELECT part, count(*) AS n FROM (SELECT DISTINCT * FROM parts) GROUP BY part), "
+        "v AS (SELECT part, 'nulls' AS \"check\", nulls AS violations FROM counted UNION ALL "
+        "SELECT part, 'duplicates', counted.n - d.n FROM counted JOIN d USING (part) UNION ALL "
+        "SELECT part, 'data_types', wrong FROM counted UNION ALL SELECT part, 'schema', 6 FROM counted) "
+        "SELECT CAST(part AS INTEGER) AS part, \"check\", violations = 0 AS is_valid, violations FROM v"
+    )
+
+
+@query("validate_directory", _by_file_sql())
+def _(spark, sf):
+    """Four files of CSV; a text column is expected to hold whole numbers, and six columns are too many."""
+    path = writers.scratch_path(spark, "by_file")
+    orders = _texts(dirty_orders(spark, sf)).withColumn("part", F.col("o_orderkey") % 4)
+    orders.repartition("part").write.partitionBy("part").option("header", True).csv(path)
+    found = readers.validate_directory(
+        spark, f"{path}/*", "*.csv", expected_schema=T.StructType(),
+        expected_types={"o_totalprice": "float", "o_orderpriority": "int"},
+    )
+    part = F.regexp_extract("file_path", "part=([0-9]+)", 1).cast("int")
+    return found.select(part.alias("part"), "check", "is_valid", "violations")
+
+
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
