@@ -16,12 +16,13 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.storagelevel import StorageLevel
 
 from rowgauge.functions.cells import cell
 from rowgauge.operators.encode import TextEncoder, fit_text
 from rowgauge.operators.evaluate import evaluate_weighted
-from rowgauge.operators.sampling import assign_folds
+from rowgauge.operators.sampling import assign_folds, numbered
 from rowgauge.operators.schema import numeric_features
 
 # Forest settings, and columns that are never features.
@@ -217,3 +218,68 @@ def cross_validate(
     return df.sparkSession.createDataFrame(
         summary, "metric string, mean double, stddev double, folds bigint"
     )
+
+
+def permutation_importance(
+    model: RecordClassifier, df: DataFrame, key: str, seed: int = SEED
+) -> DataFrame:
+    """(feature, samples, accuracy, permuted_accuracy, importance): what each feature is worth on `df`.
+
+    `importance` is the accuracy on these rows less that with the feature's values dealt to other
+    rows; the rows should be held out from training. Rows are placed once in a seeded random order of
+    `key`, and each feature's values move on by a seeded number of places of its own, so the outcome
+    does not depend on partitioning. Every row is predicted in one pass, as it is and once for each
+    feature. Text is permuted as the numbers that the model takes it for.
+
+    Rows without a label take no part; without any labeled row the measures are null. Rows without a
+    key are placed by what they hold. Vector columns raise ValueError.
+    """
+    features, plain = model.features, _plain(model.features)
+    vectors = [c for c in features if isinstance(df.schema[c].dataType, T.UserDefinedType)]
+    if vectors:
+        raise ValueError(f"vector columns cannot be permuted: {vectors}")
+    keep = [cell(key).alias("__key"), cell(model.target).cast("int").alias(_LABEL)]
+    copies = _copied(df.filter(cell(model.target).isNotNull()), features, keep)
+    values = F.array(*[F.nanvl(c, F.lit(0.0)) for c in plain])
+    numbers = numeric_features(model.text.apply(copies), plain).select("__key", _LABEL, values.alias("__own"))
+    placed = numbered(numbers, "__key", seed, "__place")
+
+    rows = numbers.agg(F.count(F.lit(1))).scalar()
+    steps = F.array(*[F.xxhash64(F.lit(name), F.lit(seed)) for name in features])
+    step = 1 + F.pmod(F.get(steps, F.col("__feature")), F.greatest(rows - 1, F.lit(1)))
+    moved = (
+        placed.select("__place", F.posexplode("__own").alias("__feature", "__value"))
+        .select(F.pmod(F.col("__place") + step, rows).alias("__place"), F.struct("__feature", "__value").alias("__given"))
+        # One value of each feature comes to a place.
+        .groupBy("__place").agg(F.array_sort(F.collect_list("__given"))["__value"].alias("__other"))
+    )
+
+    def replaced(feature: Column) -> Column:
+        return F.transform(
+            "__own", lambda x, i: F.when(i == feature, F.get(F.col("__other"), i)).otherwise(x)
+        )
+
+    variants = F.transform(F.sequence(F.lit(-1), F.lit(len(features) - 1)), replaced)
+    trials = placed.join(moved, "__place").select(_LABEL, F.posexplode(variants).alias("__trial", "__values"))
+    scored = model.model.transform(
+        trials.select(_LABEL, "__trial", *[F.get("__values", F.lit(i)).alias(c) for i, c in enumerate(plain)])
+    )
+    right = F.avg((F.col("prediction") == F.col(_LABEL)).cast("double"))
+    # One entry a feature and one for the rows as they are.
+    found = (
+        scored.groupBy("__trial").agg(F.count(F.lit(1)).alias("samples"), right.alias("accuracy"))
+        .agg(F.map_from_entries(F.collect_list(F.struct("__trial", "accuracy"))).alias("of"), F.max("samples").alias("samples"))
+    )
+    base = F.try_element_at("of", F.lit(0))
+    report = F.array(
+        *[
+            F.struct(F.lit(name).alias("feature"), F.try_element_at("of", F.lit(i + 1)).alias("permuted_accuracy"))
+            for i, name in enumerate(features)
+        ]
+    )
+    return found.select(
+        F.coalesce("samples", F.lit(0)).alias("samples"), base.alias("accuracy"), F.inline(report)
+    ).select(
+        "feature", "samples", "accuracy", "permuted_accuracy",
+        (F.col("accuracy") - F.col("permuted_accuracy")).alias("importance"),
+    )

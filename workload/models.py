@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rowgauge.operators import classifier, encode, labels, rows, sampling
@@ -146,6 +147,30 @@ def _(spark, sf):
     )
 
 
+def _planted(spark, sf):
+    """Labeled documents with a column that tells nine labels of ten, and one that tells nothing.
+
+    Words are left out, since their length tells the label as well.
+    """
+    told = F.when(F.col("doc_id") % 10 == 0, 1 - F.col("ground_truth")).otherwise(F.col("ground_truth"))
+    noise = F.pmod(F.xxhash64("doc_id"), F.lit(1000)).cast("double")
+    rows = _labeled(spark, sf).drop("n_words", "word_length")
+    return rows.withColumns({"planted": told.cast("double"), "noise": noise})
+
+
+@query(
+    "rf_permutation_importance",
+    f"WITH {LABELED} SELECT feature, count(*) AS samples, feature = 'planted' AS is_highest FROM labeled, "
+    "(VALUES ('lang'), ('n_chars'), ('null_count'), ('valid_types_count'), ('planted'), ('noise')) f(feature) WHERE NOT trained GROUP BY feature",
+)
+def _(spark, sf):
+    train, test = sampling.train_test_split(_planted(spark, sf), "doc_id")
+    model = classifier.train_random_forest(train, exclude=["doc_id"])
+    found = classifier.permutation_importance(model, test, "doc_id")
+    highest = F.row_number().over(Window.orderBy(F.desc("importance"))) == 1
+    return found.select("feature", "samples", highest.alias("is_highest"))
+
+
 @query(
     "rf_cross_validate",
     f"WITH {LABELED}, folds AS (SELECT count(DISTINCT {number_sql('fold', 'doc_id')} % 5) AS folds FROM labeled) "
