@@ -160,15 +160,17 @@ def _planted(spark, sf):
 
 @query(
     "rf_permutation_importance",
-    f"WITH {LABELED} SELECT feature, count(*) AS samples, feature = 'planted' AS is_highest FROM labeled, "
-    "(VALUES ('lang'), ('n_chars'), ('null_count'), ('valid_types_count'), ('planted'), ('noise')) f(feature) WHERE NOT trained GROUP BY feature",
+    f"WITH {LABELED}, f AS (SELECT unnest(['lang', 'n_chars', 'null_count', 'valid_types_count', 'planted', 'noise']) "
+    "AS feature) SELECT feature, count(*) AS samples, CASE WHEN feature = 'noise' THEN true END AS worth_less_than_planted "
+    "FROM labeled, f WHERE NOT trained GROUP BY feature",
 )
 def _(spark, sf):
     train, test = sampling.train_test_split(_planted(spark, sf), "doc_id")
     model = classifier.train_random_forest(train, exclude=["doc_id"])
     found = classifier.permutation_importance(model, test, "doc_id")
-    highest = F.row_number().over(Window.orderBy(F.desc("importance"))) == 1
-    return found.select("feature", "samples", highest.alias("is_highest"))
+    planted = F.max(F.when(F.col("feature") == "planted", F.col("importance"))).over(Window.partitionBy())
+    less = F.when(F.col("feature") == "noise", F.col("importance") < planted)
+    return found.select("feature", "samples", less.alias("worth_less_than_planted"))
 
 
 @query(
