@@ -20,6 +20,8 @@ from .words import LOWER, byte_texts, pieces
 
 #: A block is closed when it holds so many ids; it always holds whole documents.
 BLOCK_TOKENS = 1 << 20
+#: Rows of one doc_id are dealt by so many characters of their text.
+DEALT_CHARS = 256
 
 _TABLE = "id long, frequency long, bits int, vocabulary long"
 _BLOCK = "start long, n_tokens long, doc_ids array<long>, lengths array<long>, block binary"
@@ -193,7 +195,8 @@ def write_tokens(
     carries a checksum. Every document ends with `end_id`. `tokenizer` is a file of the tokenizers
     library, at the same path on all workers, of a kind that drops white space.
 
-    Documents are dealt into ranges of doc_id, tokenized once, and kept as raw ids; two passes over
+    Documents are dealt into ranges of doc_id and the text's beginning, so that rows of one doc_id, or of
+    none, are spread as well (copies of one such row are not), tokenized once, and kept as raw ids; two passes over
     these count and encode. The driver receives the counts (as many as the vocabulary) and one
     number per range.
 
@@ -209,7 +212,7 @@ def write_tokens(
     kind = "<u2" if vocabulary <= 1 << 16 else "<u4"
     ordered = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        .repartitionByRange("doc_id")
+        .repartitionByRange("doc_id", F.substring("text", 1, DEALT_CHARS))
         .sortWithinPartitions("doc_id", "text")
     )
     chunks = scratch.keep(

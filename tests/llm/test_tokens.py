@@ -89,3 +89,18 @@ def test_blocks_are_near_the_entropy():
     share = counts[counts > 0] / len(tokens)
     bits = -(share * np.log2(share)).sum() * len(tokens)
     assert len(encode(tokens, FrequencyTable.from_counts(counts))) * 8 < bits * 1.2
+
+
+def test_rows_without_doc_id_are_dealt_to_several_tasks(spark, tmp_path):
+    texts = [f"{i * 7919 % 400} words of row {i}" for i in range(400)]
+    df = docs(spark, texts, [None if i < 300 else i for i in range(400)])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        write_tokens(df, str(tmp_path / "t"), tokenizer_path(), END_ID)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = spark.read.parquet(str(tmp_path / "t/blocks")).selectExpr("_metadata.file_name AS f", "size(doc_ids) AS n")
+    assert max(r["sum(n)"] for r in files.groupBy("f").sum("n").collect()) < 120
+    rows = [(None, t) for t in sorted(texts[:300])] + list(enumerate(texts))[300:]
+    got = read_digests(spark, str(tmp_path / "t")).orderBy("start").collect()
+    assert [tuple(r) for r in got] == expected(rows)
