@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import free_names, send_package
+from .scratch import Scratch, free_names, send_package
 from .words import WordHashes, byte_texts, mix, pieces
 
 #: Fixed seeds: of so many words in a row, only those at a 1 are hashed, so that a substitution at
@@ -25,6 +25,8 @@ PERCENT = 80
 MIN_ITEM = 5
 #: Words of the benchmark that one pass over the documents looks for.
 BLOCK_WORDS = 1 << 18
+#: Leaking rows, of 16 bytes each, are broadcast where they are not more than these.
+BROADCAST_ROWS = 1 << 20
 
 _SEPARATORS = bytes(c for c in range(128) if not (48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122))
 _PLAIN = bytes.maketrans(
@@ -189,13 +191,17 @@ def without_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `docs`, with their columns, whose text holds no passage of the benchmark.
 
     Rows go by doc_id and a hash of the text: a row that leaks takes no other text along, whatever
-    its doc_id, null or shared. Only ids and hashes of the rows that go are joined with the rest.
+    its doc_id, null or shared. Ids and hashes of the rows that go are written and counted; BROADCAST_ROWS
+    or fewer come to the texts, so that none is shuffled, more are joined by a shuffle of both sides.
     """
     doc_id, text_hash = free_names(docs, "leak_doc_id", "leak_text_hash")
     leaks = (
         _found(docs, benchmark, PERCENT, MIN_WORDS, BLOCK_WORDS)
         .select(F.col("doc_id").alias(doc_id), F.col("text_hash").alias(text_hash)).distinct()
     )
+    leaks = Scratch(docs.sparkSession).keep(leaks, "leaks")
+    if leaks.count() <= BROADCAST_ROWS:
+        leaks = F.broadcast(leaks)
     same = docs["doc_id"].cast("long").eqNullSafe(leaks[doc_id]) & (_text_hash(docs["text"]) == leaks[text_hash])
     return docs.join(leaks, same, "left_anti")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,9 @@ MAX_LABELS = 20_000
 #: Documents whose posterior is lower are rejected.
 THRESHOLD = 0.5
 
+#: Sites of so many bytes or fewer are broadcast to the texts.
+BROADCAST_BYTES = 64 << 20
+
 FEATURES = 12
 _SYMBOLS = b"#$%&*@^~|<>{}=+_\\/[]"
 _UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -123,6 +127,10 @@ class QualityModel:
         return joined.select(*docs.columns, evidence, prior, posterior), names[:3]
 
 
+def _text_hash(text: Column) -> Column:
+    return F.xxhash64(text.cast("string"))
+
+
 def _probability(log_odds: Column) -> Column:
     return 1 / (1 + F.exp(-log_odds))
 
@@ -197,10 +205,10 @@ def fit_quality(features: DataFrame, labels: DataFrame, host: str = "source", pa
 
 
 def document_features(docs: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
-    """(doc_id, host, path, features) in one pass, written to the shared folder."""
+    """(doc_id, host, path, text_hash, features) in one pass, written to the shared folder."""
     scratch = Scratch(docs.sparkSession)
     narrow = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), host, path,
+        F.col("doc_id").cast("long").alias("doc_id"), host, path, _text_hash(F.col("text")).alias("text_hash"),
         _features(F.col("text").cast("string")).alias("features"),
     )
     return scratch.keep(narrow, "features")
@@ -230,10 +238,25 @@ def keep_good(docs: DataFrame, labels: DataFrame, host: str = "source", path: st
               threshold: float = THRESHOLD) -> DataFrame:
     """The rows of `docs`, with their columns, that `judged` keeps.
 
-    Rows are filtered where they are read: the measures are taken once more from the text, since
-    that costs less than shuffling all texts to join them with a decision.
+    Where the sites have BROADCAST_BYTES or fewer, as measured, they come to the texts: rows are
+    filtered where they are read, no text is shuffled, and the measures are taken once more from the
+    text. More sites are joined with the narrow table of measures, and the rejected rows with the
+    texts by doc_id, site and a hash of the text, so that a large site is dealt evenly.
     """
     send_package(docs.sparkSession)
-    model = fit_quality(document_features(docs, host, path), labels, host, path)
-    found, (_, _, posterior) = model.judge(docs, _features(F.col("text").cast("string")))
-    return found.where(F.col(posterior) >= threshold).select(*docs.columns)
+    features = document_features(docs, host, path)
+    model = fit_quality(features, labels, host, path)
+    if model.sites is None:
+        return docs
+    widths = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in ("host", "path")]
+    size = model.sites.agg(F.coalesce(F.sum(widths[0] + widths[1] + 64), F.lit(0))).first()[0]
+    if size <= BROADCAST_BYTES:
+        model.sites = F.broadcast(model.sites)
+        found, (_, _, posterior) = model.judge(docs, _features(F.col("text").cast("string")))
+        return found.where(F.col(posterior) >= threshold).select(*docs.columns)
+    found, (_, _, posterior) = model.judge(features, F.col("features"))
+    names = free_names(docs, "gone_doc_id", "gone_host", "gone_path", "gone_text_hash")
+    gone = found.where(F.col(posterior) < threshold).select("doc_id", host, path, "text_hash").distinct().toDF(*names)
+    own = [docs["doc_id"].cast("long"), docs[host], docs[path], _text_hash(docs["text"])]
+    same = reduce(Column.__and__, [a.eqNullSafe(gone[b]) for a, b in zip(own, names)])
+    return docs.join(gone, same, "left_anti")

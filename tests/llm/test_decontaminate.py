@@ -7,7 +7,8 @@ import re
 import numpy as np
 import pytest
 
-from rowgauge.llm.decontaminate import CLOSE, MASKS, benchmark_overlaps, best_run, masks_for, plain_words
+from rowgauge.llm import decontaminate
+from rowgauge.llm.decontaminate import CLOSE, MASKS, benchmark_overlaps, best_run, masks_for, plain_words, without_overlaps
 from rowgauge.llm.queries import QUERIES
 
 from .helpers import SCHEMA, SF, docs, odd_texts, prose
@@ -155,3 +156,16 @@ def test_masks_of_short_items_and_other_shares(size, percent, least):
 @pytest.mark.parametrize("equal,want", [([1] * 3 + [0] + [1] * 9, (0, 13)), ([0, 1, 1, 1, 1, 0, 0, 0, 0, 0, 1], (0, 5)), ([0, 0], (0, 0)), ([], (0, 0))])
 def test_best_run_is_the_longest(equal, want):
     assert best_run(np.array(equal, dtype=bool), 80) == want
+
+
+def test_both_ways_to_drop_leaking_rows_agree(spark, monkeypatch):
+    table, benchmark = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
+    # A third of the rows have no doc_id.
+    table = table.selectExpr("if(doc_id % 3 = 0, null, doc_id) AS doc_id", "text", "source")
+    near = without_overlaps(table, benchmark)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", -1)
+    far = without_overlaps(table, benchmark)
+    assert 0 < near.count() < table.count()
+    assert near.exceptAll(far).isEmpty() and far.exceptAll(near).isEmpty()

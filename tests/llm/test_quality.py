@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rowgauge.llm import quality
 from rowgauge.llm.quality import FEATURES, document_features, fit_logistic, fit_quality, judged, keep_good, text_features
 from rowgauge.llm.queries import QUERIES
 
@@ -110,3 +111,18 @@ def test_features_are_of_the_whole_text():
     assert len(text_features("a")) == FEATURES
     late = text_features(prose(1, 5000) + " ###" * 100)
     assert late[3] > text_features(prose(1, 5000))[3]
+
+
+def test_both_ways_to_drop_the_rejected_agree(spark, monkeypatch):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    # A third of the rows have no doc_id and one site.
+    hot = F.col("doc_id") % 3 == 0
+    docs = docs.withColumn("source", F.when(hot, "hot").otherwise(F.col("source")))
+    docs = docs.withColumn("doc_id", F.when(~hot, F.col("doc_id")))
+    near = keep_good(docs, labels)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    monkeypatch.setattr(quality, "BROADCAST_BYTES", -1)
+    far = keep_good(docs, labels)
+    assert 0 < near.count() < docs.count()
+    assert near.exceptAll(far).isEmpty() and far.exceptAll(near).isEmpty()
