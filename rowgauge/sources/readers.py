@@ -100,18 +100,34 @@ def read_validated(
 
 
 def list_files(spark: SparkSession, directory: str, pattern: str = "*.csv") -> list[str]:
-    """Sorted paths of the files that match. File contents are not read."""
+    """Sorted paths of the files that match, and of the folders that match, which hold a table's part files.
+
+    File contents are not read. Files in a folder that matches are parts of its table, and not listed.
+    """
+    folders = _matching_folders(spark, directory, pattern)
     listing = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", pattern)
         .load(directory)
         .select("path")
     )
-    return sorted(row["path"] for row in listing.collect())
+    files = [row["path"] for row in listing.collect()]
+    return sorted([*folders, *(f for f in files if not f.startswith(tuple(f"{folder}/" for folder in folders)))])
+
+
+def _matching_folders(spark: SparkSession, directory: str, pattern: str) -> list[str]:
+    """Paths of the folders in a directory whose names match; names that Spark takes for hidden are left out."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    wanted = jvm.org.apache.hadoop.fs.Path(directory, pattern)
+    found = wanted.getFileSystem(conf).globStatus(wanted) or []
+    return [
+        status.getPath().toString() for status in found
+        if status.isDirectory() and not status.getPath().getName().startswith((".", "_"))
+    ]
 
 
 class Directory(NamedTuple):
-    """Tables by file name, the reason for each file that could not be opened, and reports if asked for."""
+    """Tables by name of file or folder, the reason for each that could not be opened, and reports if asked for."""
 
     tables: dict[str, DataFrame]
     failures: dict[str, str]
@@ -127,7 +143,8 @@ def read_directory(
     expected_schema: T.StructType | None = None,
     **options,
 ) -> Directory:
-    """One frame per file. A file that cannot be opened is reported and skipped.
+    """One frame per file, or per folder of part files whose name matches. One that cannot be opened is
+    reported and skipped.
 
     With `validate`, every table gets its validation report.
     """

@@ -51,6 +51,19 @@ def test_directory_skips_what_it_cannot_read(spark, tmp_path):
     assert list(found.failures) == ["bad.parquet"]
 
 
+
+def test_directory_takes_a_folder_of_parts_for_one_table(spark, tmp_path):
+    spark.range(7).repartition(3).write.parquet(str(tmp_path / "many.parquet"))
+    part = next(p for p in (tmp_path / "many.parquet").glob("*.parquet"))
+    (tmp_path / "one.parquet").write_bytes(part.read_bytes())
+    spark.range(2).write.parquet(str(tmp_path / "_hidden.parquet"))
+    (tmp_path / "empty.parquet").mkdir()
+    found = readers.read_directory(spark, str(tmp_path), "*.parquet")
+    assert sorted(found.tables) == ["many.parquet", "one.parquet"] and list(found.failures) == ["empty.parquet"]
+    assert found.tables["many.parquet"].count() == 7
+    whole = readers.Catalog({"all": readers.TableSpec(str(tmp_path), pattern="m*.parquet", rows_expected=7)})
+    assert [r.is_valid for r in whole.expectations(spark).collect()] == [True, True, True]
+
 def test_catalog(spark, tmp_path):
     (tmp_path / "a.csv").write_text("x,y\n1,2\n")
     (tmp_path / "b.csv").write_text("z\n1\n")
