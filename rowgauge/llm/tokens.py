@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
+from operator import attrgetter, itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .rans import FrequencyTable, decode, encode
 from .scratch import Scratch, send_package
-from .words import LOWER, byte_texts, pieces
+from .words import LOWER, byte_texts, kept, pieces
 
 #: A block is closed when it holds so many ids; it always holds whole documents.
 BLOCK_TOKENS = 1 << 20
@@ -28,6 +30,7 @@ _BLOCK = "start long, n_tokens long, doc_ids array<long>, lengths array<long>, b
 _ROWS = "part long, start long, n_tokens long, doc_ids array<long>, lengths array<long>"
 
 
+_FIRST, _ID = itemgetter(0), attrgetter("id")
 # ASCII signs that end a piece; the apostrophe is not among them, since it starts tokens of its own.
 _SIGNS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -41,7 +44,7 @@ class PieceIds:
     and `,`. Of what was seen, the last MOST pieces at least are remembered, twice as many at most.
     """
 
-    MOST = 800_000
+    MOST = 500_000
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -50,6 +53,7 @@ class PieceIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        self.model = self.tokenizer.model
         self.now: dict[bytes, bytes] = {}
         self.earlier: dict[bytes, bytes] = {}
         # Whether these hold is asked of the tokenizer, with every sign and two kinds of letters.
@@ -58,10 +62,18 @@ class PieceIds:
             self._whole(x + bytes([c]) * n) == self._whole(x) + self._whole(bytes([c]) * n)
             for x in (b"the", b"caf\xc3\xa9", b"7") for c in _SIGNS for n in (1, 3)
         )
+        letters = [bytes([c]) for c in range(97, 123)]
+        self.letters_whole = all(
+            self._whole(x) == self._of_model(x)
+            for x in (b"the", b"fluffiest", b"ijsselmeer", b"llm", b"qzxvkjw" * 50, *letters, *(b"re" + x + b"st" for x in letters))
+        )
 
     def _whole(self, piece: bytes) -> bytes:
         return array("I", self.tokenizer.encode(piece.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
 
+    def _of_model(self, word: bytes) -> bytes:
+        return array("I", map(_ID, self.model.tokenize(word.decode()))).tobytes()
+
     def _parts(self, piece: bytes) -> tuple[bytes, ...]:
         """A word and the signs behind it, if the tokenizer surely cuts between them."""
         word = piece.rstrip(_SIGNS)
@@ -78,27 +90,31 @@ class PieceIds:
         """Have the ids of all wanted pieces in `now`."""
         if len(self.now) > self.MOST:
             self.earlier, self.now = self.now, {}
-        now, earlier, cut = self.now, self.earlier, {}
-        for piece in wanted:
-            if piece not in now:
-                if piece in earlier:
-                    now[piece] = earlier[piece]
-                else:
-                    cut[piece] = self._parts(piece)
-        new = list({x for parts in cut.values() for x in parts if x not in now})
+        now, earlier = self.now, self.earlier
+        missing = wanted.difference(now)
+        for piece in missing.intersection(earlier):
+            now[piece] = earlier[piece]
+        missing.difference_update(earlier)
+        signed = [piece for piece in missing if piece[-1] in _SIGNS]
+        cut = [(piece, parts) for piece, parts in zip(signed, map(self._parts, signed)) if len(parts) > 1]
+        missing.difference_update(piece for piece, _ in cut)
+        missing.update(x for _, parts in cut for x in parts if x not in now)
+        if self.letters_whole:
+            # A word of small letters goes to the tokenizer's model as it is.
+            words = [piece for piece in missing if piece.islower() and piece.isalpha()]
+            missing.difference_update(words)
+            now.update(zip(words, map(self._of_model, words)))
+        new = list(missing)
         for start in range(0, len(new), 2048):
             some = new[start : start + 2048]
             # One call for many pieces between blanks; a token belongs to the piece it starts in.
-            texts = [p.decode("utf-8", "replace") for p in some]
-            found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
-            begins = np.fromiter((first for first, _ in found.offsets), np.int64, len(found.ids))
-            after = np.cumsum([len(t) + 1 for t in texts])
-            ids, cuts = array("I", found.ids).tobytes(), [0, *(4 * np.searchsorted(begins, after)).tolist()]
-            for piece, a, b in zip(some, cuts, cuts[1:]):
-                now[piece] = ids[a:b]
-        for piece, parts in cut.items():
-            if len(parts) > 1:
-                now[piece] = now[parts[0]] + now[parts[1]]
+            text = b" ".join(some).decode("utf-8", "replace")
+            found = self.tokenizer.encode(text, add_special_tokens=False)
+            begins = np.fromiter(map(_FIRST, found.offsets), np.int64, len(found.offsets))
+            after = np.flatnonzero(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) == 32) + 1
+            ids, cuts = array("I", found.ids).tobytes(), [0, *(4 * np.searchsorted(begins, after)).tolist(), 4 * len(begins)]
+            now.update(zip(some, map(ids.__getitem__, map(slice, cuts, cuts[1:]))))
+        now.update((piece, now[word] + now[signs]) for piece, (word, signs) in cut)
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         # Special tokens are told by their case, so texts that may hold one stay as they are.
@@ -108,21 +124,11 @@ class PieceIds:
             yield b"".join(map(self.now.__getitem__, words))
 
 
-_KNOWN: dict[str, PieceIds] = {}
-
-
-def _piece_ids(path: str) -> PieceIds:
-    """What this Python worker has learnt, kept from task to task."""
-    if path not in _KNOWN:
-        _KNOWN[path] = PieceIds(path)
-    return _KNOWN[path]
-
-
 def _chunks(path: str, end_id: int, block_tokens: int, kind: str):
     """Tokenize documents in the order given and pack them into future blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, part = _piece_ids(path), TaskContext.get().partitionId()
+        ids, part = kept(path, lambda: PieceIds(path)), TaskContext.get().partitionId()
         end = array("I", [end_id]).tobytes()
         start, names, lengths, held, size = 0, [], [], [], 0
 
@@ -135,8 +141,12 @@ def _chunks(path: str, end_id: int, block_tokens: int, kind: str):
                 names=["part", "start", "n_tokens", "doc_ids", "lengths", "ids"],
             )
 
-        for batch in pieces(batches, "text", 2 << 20):
-            found = ids.encode(byte_texts(batch.column("text")))
+        for batch in pieces(batches, "text"):
+            gc.disable()  # no cycles here, only long lists of words that the collector would walk again and again
+            try:
+                found = list(ids.encode(byte_texts(batch.column("text"))))
+            finally:
+                gc.enable()
             for doc_id, tokens in zip(batch.column("doc_id").to_pylist(), found):
                 names.append(doc_id)
                 held.append(tokens + end)

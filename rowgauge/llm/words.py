@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
+T = TypeVar("T")
+
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 #: Entries after which a task forgets its word hashes; bounds memory, never changes a result.
@@ -22,9 +25,28 @@ _PLACES = np.array(
 )
 
 
+_KEPT: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable[[], T]) -> T:
+    """What this Python worker made under a name, kept from task to task.
+
+    One thing is kept at a time, and none once a task has WordHashes, so that a worker which serves
+    several operators one after another does not hold the memory of all.
+    """
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
 class WordHashes(dict):
     """Word to its 64-bit hash as eight bytes, remembered between texts."""
 
+    def __init__(self) -> None:
+        super().__init__()
+        _KEPT.clear()
+
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= CACHE_ENTRIES:
             self.clear()

@@ -7,7 +7,8 @@ import pytest
 
 from rowgauge.llm.queries import END_ID, QUERIES, tokenizer_path
 from rowgauge.llm.rans import CHECKPOINT_STEPS, LANES, FrequencyTable, decode, encode
-from rowgauge.llm.tokens import read_digests, read_tokens, write_tokens
+from rowgauge.llm.tokens import PieceIds, read_digests, read_tokens, write_tokens
+from rowgauge.llm.words import WordHashes, kept
 
 from .helpers import SCHEMA, SF, docs, odd_texts, prose
 
@@ -104,3 +105,23 @@ def test_rows_without_doc_id_are_dealt_to_several_tasks(spark, tmp_path):
     rows = [(None, t) for t in sorted(texts[:300])] + list(enumerate(texts))[300:]
     got = read_digests(spark, str(tmp_path / "t")).orderBy("start").collect()
     assert [tuple(r) for r in got] == expected(rows)
+
+
+def test_words_of_letters_go_to_the_model(monkeypatch):
+    ids = PieceIds(tokenizer_path())
+    sent = []
+    monkeypatch.setattr(ids, "tokenizer", None)  # whole texts are not asked for
+    monkeypatch.setattr(ids, "_of_model", lambda word, of=ids._of_model: sent.append(word) or of(word))
+    found = list(ids.encode([b"Quovadis the QUOVADIS", b"the"]))
+    whole = PieceIds(tokenizer_path())
+    assert found == [whole._whole(b"quovadis the quovadis"), whole._whole(b"the")]
+    assert sorted(sent) == [b"quovadis", b"the"]
+
+
+def test_a_worker_keeps_the_pieces_of_one_operator():
+    made = kept("pieces", list)
+    assert kept("pieces", list) is made
+    WordHashes()
+    assert kept("pieces", list) is not made
+    other = kept("others", list)
+    assert kept("others", list) is other and kept("pieces", list) is not made
