@@ -16,9 +16,11 @@ import re
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from functools import lru_cache
+from itertools import chain, islice
 from typing import BinaryIO
 from xml.etree import ElementTree
+from xml.parsers import expat
 
 import pandas as pd
 import pyarrow as pa
@@ -31,16 +33,18 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from rowgauge.functions.cells import quoted
 
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_ROW, _CELL, _VALUE, _TEXT = (f"{_NS[1:]}{tag}" for tag in ("row", "c", "v", "t"))
 _RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 BATCH_ROWS = 10_000
 #: A partition takes sheets up to so many bytes of workbooks; opening one counts as so many.
 PARTITION_BYTES, OPEN_BYTES = 64 << 20, 4 << 20
 
 
-def _column_number(reference: str) -> int:
-    """0 for A1, 25 for Z7, 26 for AA1."""
+@lru_cache(maxsize=1 << 14)
+def _column_number(letters: str) -> int:
+    """0 for A, 25 for Z, 26 for AA."""
     number = 0
-    for letter in re.match("[A-Z]+", reference).group():
+    for letter in re.match("[A-Z]+", letters).group():
         number = number * 26 + ord(letter) - 64
     return number - 1
 
@@ -49,12 +53,25 @@ def _text(element: ElementTree.Element) -> str:
     return "".join(part.text or "" for part in element.iter(f"{_NS}t"))
 
 
-def _shared_strings(archive: zipfile.ZipFile) -> list[str]:
-    if "xl/sharedStrings.xml" not in archive.namelist():
-        return []
-    with archive.open("xl/sharedStrings.xml") as stream:
-        root = ElementTree.parse(stream).getroot()
-    return [_text(item) for item in root.findall(f"{_NS}si")]
+class _SharedStrings:
+    """A workbook's shared strings by number, read as far as they are asked for."""
+
+    def __init__(self, archive: zipfile.ZipFile) -> None:
+        self.found: list[str] = []
+        self.rest = self._read(archive) if "xl/sharedStrings.xml" in archive.namelist() else iter(())
+
+    def _read(self, archive: zipfile.ZipFile) -> Iterator[str]:
+        with archive.open("xl/sharedStrings.xml") as stream:
+            for _, element in ElementTree.iterparse(stream):
+                if element.tag == f"{_NS}si":
+                    yield _text(element)
+                    element.clear()
+
+    def __getitem__(self, number: int) -> str:
+        if number >= len(self.found):
+            # As many again as there are: few for a header, and soon all.
+            self.found += islice(self.rest, max(number + 1 - len(self.found), len(self.found)))
+        return self.found[number]
 
 
 def _sheets(archive: zipfile.ZipFile) -> list[tuple[str, str]]:
@@ -95,29 +112,68 @@ def header_names(row: list[str | None]) -> list[str]:
     return names
 
 
+def _rows_of_cells(stream: BinaryIO) -> Iterator[list[tuple[str | None, str | None, str | None]]]:
+    """(reference, kind, value) of the cells of each row, without a tree; the value of inline text is the text."""
+    parser = expat.ParserCreate(namespace_separator="}")
+    parser.buffer_text = True
+    done: list[list[tuple[str | None, str | None, str | None]]] = []
+    cells: list[tuple[str | None, str | None, str | None]] = []
+    parts: list[str] = []
+    own: dict[str, str] = {}
+    value, inline = None, ""
+
+    def started(tag: str, attributes: dict[str, str]) -> None:
+        nonlocal own, value, inline
+        if tag == _CELL:
+            own, value, inline = attributes, None, ""
+        elif tag == _VALUE or tag == _TEXT:
+            parts.clear()
+
+    def ended(tag: str) -> None:
+        nonlocal cells, value, inline
+        if tag == _VALUE:
+            value = "".join(parts)
+        elif tag == _CELL:
+            kind = own.get("t")
+            cells.append((own.get("r"), kind, inline if kind == "inlineStr" else value))
+        elif tag == _TEXT:
+            inline += "".join(parts)
+        elif tag == _ROW:
+            done.append(cells)
+            cells = []
+
+    parser.StartElementHandler, parser.EndElementHandler = started, ended
+    parser.CharacterDataHandler = parts.append
+    size = 1 << 12  # a header is within few bytes
+    try:
+        while block := stream.read(size):
+            parser.Parse(block, False)
+            yield from done
+            done.clear()
+            size = 1 << 16
+        parser.Parse(b"", True)
+        yield from done
+    except expat.ExpatError as error:
+        raise ElementTree.ParseError(str(error)) from error
+
+
 def sheet_rows(content: bytes | BinaryIO, sheet: int | str = 0) -> Iterator[list[str | None]]:
     """Rows of a sheet as text; empty cells are None. An open file is read as far as needed."""
     with zipfile.ZipFile(io.BytesIO(content) if isinstance(content, bytes) else content) as archive:
-        shared = _shared_strings(archive)
+        shared = _SharedStrings(archive)
         with archive.open(_sheet_file(archive, sheet)) as stream:
-            for _, element in ElementTree.iterparse(stream):
-                if element.tag != f"{_NS}row":
-                    continue
+            for cells in _rows_of_cells(stream):
                 row: list[str | None] = []
-                for position, c in enumerate(element.findall(f"{_NS}c")):
-                    at = _column_number(c.get("r")) if c.get("r") else position
-                    row.extend([None] * (at + 1 - len(row)))
-                    value = c.findtext(f"{_NS}v")
-                    kind = c.get("t")
+                for position, (reference, kind, value) in enumerate(cells):
+                    at = _column_number(reference.rstrip("0123456789")) if reference else position
+                    if at >= len(row):
+                        row.extend([None] * (at + 1 - len(row)))
                     if kind == "s" and value is not None:
                         value = shared[int(value)]
-                    elif kind == "inlineStr":
-                        value = _text(c)
                     elif kind == "b" and value is not None:
                         value = "true" if value == "1" else "false"
                     row[at] = value or None
                 yield row
-                element.clear()
 
 
 def _named_rows(

@@ -1,13 +1,14 @@
 from __future__ import annotations
 
 import re
+import zipfile
 
 import pytest
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import types as T
 
 from rowgauge.operators import schema
-from rowgauge.sources import quarantine, readers, writers
+from rowgauge.sources import quarantine, readers, workbooks, writers
 from rowgauge.sources.workbooks import PARTITION_BYTES, SheetsReader, register_xlsx
 from workload.workbook_fixture import workbook
 
@@ -345,3 +346,16 @@ def test_reject_log(spark, tmp_path):
     for unfit in ("", "a/b", "..", "a=b"):
         with pytest.raises(ValueError):
             write(unfit, "true")
+
+
+def test_header_reads_few_shared_strings(tmp_path, monkeypatch):
+    texts = [[f"text {i}"] for i in range(5000)]
+    (tmp_path / "a.xlsx").write_bytes(workbook(texts, ["name"]))
+    read = []
+    monkeypatch.setattr(workbooks, "_text", lambda item, of=workbooks._text: read.append(1) or of(item))
+    source = workbooks.WorkbookSource({"path": str(tmp_path)})
+    assert source.schema().fieldNames() == ["name"] and len(read) < 10
+    rows = list(workbooks.sheet_rows((tmp_path / "a.xlsx").read_bytes()))
+    assert rows[1:] == texts and len(read) < 5010
+    with pytest.raises(IndexError):
+        workbooks._SharedStrings(zipfile.ZipFile(tmp_path / "a.xlsx"))[5001]

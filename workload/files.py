@@ -300,7 +300,8 @@ def _workbooks(spark, sf) -> str:
     """Orders as workbooks in a new folder, in two layouts."""
     path = writers.scratch_path(spark, "workbooks")
     orders = _texts(dirty_orders(spark, sf)).withColumn("o_custkey", F.col("o_custkey").cast("string"))
-    write_workbooks(orders.repartition(4, "o_orderkey"), path)
+    tasks = max(4, spark.sparkContext.defaultParallelism)
+    write_workbooks(orders.repartition(tasks, "o_orderkey"), path)
     return path
 
 
