@@ -21,9 +21,10 @@ from pyspark.storagelevel import StorageLevel
 
 from rowgauge.functions.cells import cell
 from rowgauge.operators.encode import TextEncoder, fit_text
-from rowgauge.operators.evaluate import evaluate_weighted
+from rowgauge.operators.evaluate import evaluate_counts, evaluate_weighted, kept_counts
 from rowgauge.operators.sampling import assign_folds, numbered
 from rowgauge.operators.schema import numeric_features
+from rowgauge.sources.writers import use_shared_folder
 
 # Forest settings, and columns that are never features.
 NUM_TREES = 100
@@ -130,28 +131,35 @@ def train_random_forest(
     """Fit text codes, scaler and forest on the rows that have a label.
 
     Fitting passes over the rows several times; they are kept in memory and on disk meanwhile
-    unless `persist` is off, for input that is kept already.
+    unless `persist` is off, for input that is kept already. So is the node that a row has come to
+    in each tree: without, every level would walk every row down all trees from their roots.
     """
+    use_shared_folder(df.sparkSession)
     features = feature_columns(df, target, exclude)
     copies = _copied(
         df.filter(cell(target).isNotNull()), features, [cell(target).cast("double").alias(_LABEL)]
     )
-    text = fit_text(copies, _plain(features), _LABEL)
-    labeled = numeric_features(text.apply(copies, training=True), _plain(features))
     forest = RandomForestClassifier(
         featuresCol="scaled_features",
         labelCol=_LABEL,
         numTrees=num_trees,
         maxDepth=max_depth,
         seed=seed,
+        cacheNodeIds=True,
     )
-    if persist:
-        labeled.persist(StorageLevel.MEMORY_AND_DISK)
+    kept = []
     try:
+        if persist:
+            # The encoder reads the rows as well, before they are encoded.
+            kept.append(copies.persist(StorageLevel.MEMORY_AND_DISK))
+        text = fit_text(copies, _plain(features), _LABEL)
+        labeled = numeric_features(text.apply(copies, training=True), _plain(features))
+        if persist:
+            kept.append(labeled.persist(StorageLevel.MEMORY_AND_DISK))
         model = Pipeline(stages=[*_stages(features), forest]).fit(labeled)
     finally:
-        if persist:
-            labeled.unpersist()
+        for frame in kept:
+            frame.unpersist()
     return RecordClassifier(model, features, target, text)
 
 
@@ -169,7 +177,8 @@ def cross_validate(
 
     Folds come from the key, so they are the same in every pass. The key is no feature. Text is
     encoded by each model's own training rows. The rows are kept in memory and on disk while the
-    models are fitted; the predictions of all folds are evaluated together.
+    models are fitted; counts of each fold's outcomes are written before the next model is fitted, so
+    that one model is held at a time, and evaluated together.
     """
     features = feature_columns(df, target, [key, *exclude])
     labeled = df.filter(cell(target).isNotNull())
@@ -178,7 +187,7 @@ def cross_validate(
     )
     prepared = folded.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        predictions = []
+        counts = []
         for fold in range(1, folds + 1):
             fitted = train_random_forest(
                 prepared.filter(F.col("fold_id") != fold),
@@ -189,11 +198,10 @@ def cross_validate(
                 persist=False,
             )
             held_out = prepared.filter(F.col("fold_id") == fold)
-            predictions.append(
-                fitted.predict(held_out).select(cell(target), "fold_id", "prediction", "score")
+            counts.append(
+                kept_counts(fitted.predict(held_out), target, "prediction", "score", "fold_id")
             )
-        held_out_all = reduce(DataFrame.unionAll, predictions)
-        scores = evaluate_weighted(held_out_all, target, "prediction", "score", "fold_id")
+        scores = evaluate_counts(reduce(DataFrame.unionAll, counts))
         names = ["f1_score", "precision", "recall", "auc_roc"]
         columns = ["weighted_f1", "weighted_precision", "weighted_recall", "auc_roc"]
         rows = F.array(
@@ -232,8 +240,10 @@ def permutation_importance(
     feature. Text is permuted as the numbers that the model takes it for.
 
     Rows without a label take no part; without any labeled row the measures are null. Rows without a
-    key are placed by what they hold. Vector columns raise ValueError.
+    key are placed by what they hold. Vector columns raise ValueError. Runs a job: the rows as numbers
+    are written once.
     """
+    use_shared_folder(df.sparkSession)
     features, plain = model.features, _plain(model.features)
     vectors = [c for c in features if isinstance(df.schema[c].dataType, T.UserDefinedType)]
     if vectors:
@@ -241,7 +251,7 @@ def permutation_importance(
     keep = [cell(key).alias("__key"), cell(model.target).cast("int").alias(_LABEL)]
     copies = _copied(df.filter(cell(model.target).isNotNull()), features, keep)
     values = F.array(*[F.nanvl(c, F.lit(0.0)) for c in plain])
-    numbers = numeric_features(model.text.apply(copies), plain).select("__key", _LABEL, values.alias("__own"))
+    numbers = numeric_features(model.text.apply(copies), plain).select("__key", _LABEL, values.alias("__own")).checkpoint()
     placed = numbered(numbers, "__key", seed, "__place")
 
     rows = numbers.agg(F.count(F.lit(1))).scalar()

@@ -252,7 +252,18 @@ def evaluate_weighted(
     scored: DataFrame, truth: str, predicted: str, score: str, by: str | None = None
 ) -> DataFrame:
     """(dataset, samples, weighted metrics, auc_roc, accepted), from one pass, run at once, as well."""
-    counts = _kept(outcome_counts(scored, truth, predicted, score, by))
+    return evaluate_counts(kept_counts(scored, truth, predicted, score, by))
+
+
+def kept_counts(
+    scored: DataFrame, truth: str, predicted: str, score: str, by: str | None = None
+) -> DataFrame:
+    """Outcome counts written at once, so that what scored the rows is needed no more."""
+    return _kept(outcome_counts(scored, truth, predicted, score, by))
+
+
+def evaluate_counts(counts: DataFrame) -> DataFrame:
+    """evaluate_weighted from kept counts, or from a union of them over different datasets."""
     area = _area(_with_pooled(counts, False)).drop("pooled")
     return acceptance_gate(_weighted(counts).join(area, "dataset"))
 
