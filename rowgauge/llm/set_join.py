@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from .graph import components
 from .near_dup import _prefix_pairs as rare_shingle_pairs
-from .scratch import Scratch
-from .words import LOWER, WordHashes, byte_texts, mix, pieces, shingle_set
+from .scratch import Scratch, shuffles_dropped
+from .words import LOWER, WordHashes, byte_texts, mix, pieces, shingle_set, sorted_distinct
 
 #: Widest ratio of sizes within a band is the similarity's reciprocal to this power.
 BAND_POWER = 2
@@ -52,6 +52,13 @@ def band_of(n: int, similarity: int) -> tuple[int, int, int]:
     return number, top, above
 
 
+@lru_cache(maxsize=1000)
+def _names(band: int, parts: int) -> np.ndarray:
+    """A hash for each part of a band, a row a partition; kept for sets up to some 10,000 elements."""
+    names = np.arange(1, parts + 1, dtype=np.uint64).reshape(-1, PARTS) + (np.uint64(band + 1) << np.uint64(40))
+    return mix(names)
+
+
 def signatures(elements: np.ndarray, similarity: int) -> np.ndarray:
     """Sorted distinct 64-bit signatures of a set of 64-bit hashes.
 
@@ -79,7 +86,8 @@ def signatures(elements: np.ndarray, similarity: int) -> np.ndarray:
         spare = 1 + k // SPARE
         parts = PARTS * (k // 2 + 1 + spare)
         spread = mix(elements + np.uint64((band + 1) * _BAND % (1 << 64)))
-        part = (spread % np.uint64(parts)).astype(np.int64)
+        # Sixteen bits are sorted by radix.
+        part = (spread % np.uint64(parts)).astype(np.uint16 if parts < 1 << 16 else np.int64)
         order = np.argsort(part, kind="stable")
         counts = np.bincount(part, minlength=parts)
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(spread[order]))])
@@ -89,11 +97,10 @@ def signatures(elements: np.ndarray, similarity: int) -> np.ndarray:
         # All but one part of each partition.
         chosen = value.sum(axis=1, dtype=np.uint64, keepdims=True) - value
         empty = size.sum(axis=1, keepdims=True) - size < LEAST
-        names = np.arange(1, parts + 1, dtype=np.uint64).reshape(-1, PARTS) + (np.uint64(band + 1) << np.uint64(40))
-        keys = mix(mix(chosen) ^ mix(names))
+        keys = mix(mix(chosen) ^ (_names if parts < 2048 else _names.__wrapped__)(band, parts))
         bare = empty.any(axis=1).sum()
         found.append(keys[~empty] if bare <= spare else keys.ravel())
-    return np.unique(np.concatenate(found)) if found else elements[:0]
+    return sorted_distinct(np.concatenate(found)) if found else elements[:0]
 
 
 def parities(elements: np.ndarray) -> np.ndarray:
@@ -205,6 +212,18 @@ def linked_sets(docs: DataFrame, similarity: int = 80, size: int = 5) -> DataFra
     """
     if not 1 <= similarity <= 100:
         raise ValueError("similarity is a percentage from 1 to 100")
+    with shuffles_dropped(docs.sparkSession):
+        narrow, classes, groups = _joined(docs, similarity, size)
+    named = classes.join(groups, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
+    whole = narrow.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
+    return whole.join(named, "digest", "left").select(
+        "doc_id", "n_shingles",
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),
+    )
+
+
+def _joined(docs: DataFrame, similarity: int, size: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Kept (doc_id, n_shingles, digest, odd) of all rows, (digest, id) of the classes and (id, component) of the linked."""
     scratch = Scratch(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = scratch.keep(
@@ -277,9 +296,4 @@ def linked_sets(docs: DataFrame, similarity: int = 80, size: int = 5) -> DataFra
         left = named.join(split.where(F.col("m") > SMALL).select("key"), "key")
         if round_ == 1 and left.isEmpty():
             break
-    named = classes.join(groups, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
-    whole = narrow.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
-    return whole.join(named, "digest", "left").select(
-        "doc_id", "n_shingles",
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),
-    )
+    return narrow, classes, groups

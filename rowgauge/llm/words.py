@@ -57,13 +57,23 @@ class WordHashes(dict):
         return np.frombuffer(b"".join(map(self.__getitem__, words)), dtype=np.uint64)
 
 
+_SHIFT, _FIRST, _SECOND = np.uint64(33), np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
+
+
 def mix(values: np.ndarray) -> np.ndarray:
     """Spread every input bit over all 64 output bits; one to one."""
-    values = values ^ (values >> np.uint64(33))
-    values = values * np.uint64(0xFF51AFD7ED558CCD)
-    values = values ^ (values >> np.uint64(33))
-    values = values * np.uint64(0xC4CEB9FE1A85EC53)
-    return values ^ (values >> np.uint64(33))
+    values = values ^ (values >> _SHIFT)
+    values *= _FIRST
+    values ^= values >> _SHIFT
+    values *= _SECOND
+    values ^= values >> _SHIFT
+    return values
+
+
+def sorted_distinct(values: np.ndarray) -> np.ndarray:
+    """np.unique, by a sort alone: faster on the hashes of one text."""
+    values = np.sort(values)
+    return values if len(values) < 2 else values[np.concatenate([[True], values[1:] != values[:-1]])]
 
 
 def shingle_set(hashes: np.ndarray, size: int = 5) -> np.ndarray:
@@ -81,7 +91,7 @@ def shingle_set(hashes: np.ndarray, size: int = 5) -> np.ndarray:
         total += hashes[place : n - width + 1 + place] * weight
     if n < size:
         total += np.array([n], dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    return np.unique(mix(total))
+    return sorted_distinct(mix(total))
 
 
 def byte_texts(column: pa.Array) -> list[bytes]:

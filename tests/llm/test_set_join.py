@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -144,3 +145,45 @@ def test_null_ids_repeated_ids_and_clashing_columns(spark):
 
 def test_empty_table(spark):
     assert linked_sets(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_shuffle_files_go_as_their_queries_end(spark):
+    """Not when the driver next collects garbage: until then the disk would hold those of all queries."""
+    held = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        return {name for name in held.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in name}
+
+    before = shuffled()
+    found = linked_sets(docs(spark, [prose(k % 30, 40 + k % 3) for k in range(120)]), 85, 4)
+    for _ in range(50):
+        if not (left := shuffled() - before):
+            break
+        time.sleep(0.2)
+    assert not left
+    assert found.count() == 120
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_cheaper_hashing_gives_the_same_signatures():
+    """Against sums, names and sorting by the plain rules, for narrow and wide parts."""
+    rng = np.random.default_rng(3)
+    for n in (3, 40, 700, 30_000, 500_000):
+        elements = np.unique(rng.integers(1, 2**63, n).astype(np.uint64))
+        number, top, above = band_of(len(elements), 85)
+        plain = []
+        for band, largest in ((number, top), (number + 1, above)):
+            k = 2 * largest * 15 // 185
+            if k == 0 or band > number and 100 * len(elements) < 85 * (top + 1):
+                continue
+            parts = 2 * (k // 2 + 2 + k // set_join.SPARE)
+            spread = mix(elements + np.uint64((band + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
+            value, size = np.zeros(parts, np.uint64), np.zeros(parts, np.int64)
+            np.add.at(value, spread % np.uint64(parts), mix(spread))
+            np.add.at(size, spread % np.uint64(parts), 1)
+            chosen, empty = value.reshape(-1, 2)[:, ::-1], size.reshape(-1, 2)[:, ::-1] < set_join.LEAST
+            names = np.arange(1, parts + 1, dtype=np.uint64).reshape(-1, 2) + (np.uint64(band + 1) << np.uint64(40))
+            keys = mix(mix(chosen) ^ mix(names))
+            plain.append(keys[~empty] if empty.any(axis=1).sum() <= 1 + k // set_join.SPARE else keys.ravel())
+        want = np.unique(np.concatenate(plain)) if plain else elements[:0]
+        assert np.array_equal(signatures(elements, 85), want)
