@@ -19,12 +19,12 @@ def _counted(spark, rows):
     """The rows, and an accumulator of how many were made."""
     made = spark.sparkContext.accumulator(0)
 
-    @F.udf("double")
+    @F.udf("string")
     def count(x):
         made.add(1)
         return x
 
-    return rows.withColumn("number", count("number")), made
+    return rows.withColumn("text", count("text")), made
 
 
 def test_training_makes_the_rows_once(spark):
