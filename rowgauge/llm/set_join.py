@@ -8,7 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
@@ -59,8 +59,8 @@ def _names(band: int, parts: int) -> np.ndarray:
     return mix(names)
 
 
-def signatures(elements: np.ndarray, similarity: int) -> np.ndarray:
-    """Sorted distinct 64-bit signatures of a set of 64-bit hashes.
+def banded_signatures(elements: np.ndarray, similarity: int) -> Iterator[tuple[int, np.ndarray, int]]:
+    """(band, 64-bit signatures, least) of a set of 64-bit hashes, for each band that it signs.
 
     Sets a and b of sizes up to r that fit differ in at most k = 2r * (100 - t) / (100 + t) elements.
     The domain of hashes falls into k/2 + 1 partitions, and some more: in one at least, a and b differ
@@ -71,12 +71,16 @@ def signatures(elements: np.ndarray, similarity: int) -> np.ndarray:
     Choices with fewer than LEAST elements of the set are left out: the spare partitions make up for
     those of a set that has few of them. A set that has more signs them too, so two such sets meet by
     them.
+
+    `least` is how many signatures of the band the set shares at least with any set that fits it there:
+    most sets are smaller than r, so they differ from those that fit them in fewer elements than k, of
+    which each partition without a common choice holds two, and the spare partitions agree as well.
     """
     n = len(elements)
     if not n:
-        return elements[:0]
+        return
     number, top, above = band_of(n, similarity)
-    found = []
+    widest = 100 * n // similarity
     for band, largest in ((number, top), (number + 1, above)):
         if band > number and 100 * n < similarity * (top + 1):
             continue  # too small for any set of the next band
@@ -98,11 +102,32 @@ def signatures(elements: np.ndarray, similarity: int) -> np.ndarray:
         chosen = value.sum(axis=1, dtype=np.uint64, keepdims=True) - value
         empty = size.sum(axis=1, keepdims=True) - size < LEAST
         keys = mix(mix(chosen) ^ (_names if parts < 2048 else _names.__wrapped__)(band, parts))
-        bare = empty.any(axis=1).sum()
-        found.append(keys[~empty] if bare <= spare else keys.ravel())
+        bare = int(empty.any(axis=1).sum())
+        partner = widest if band > number else min(widest, top)
+        differ = (n + partner) * (100 - similarity) // (100 + similarity)
+        # A common choice that is empty is no signature of the set, or else none of its partner's.
+        least = parts // PARTS - differ // 2 - min(bare, spare)
+        yield band, keys[~empty] if bare <= spare else keys.ravel(), least
+
+
+def signatures(elements: np.ndarray, similarity: int) -> np.ndarray:
+    """Sorted distinct signatures of all bands (see `banded_signatures`)."""
+    found = [keys for _, keys, _ in banded_signatures(elements, similarity)]
     return sorted_distinct(np.concatenate(found)) if found else elements[:0]
 
 
+def marked_signatures(elements: np.ndarray, similarity: int) -> tuple[np.ndarray, list[int | None]]:
+    """Sorted distinct signatures, the last bit that of their band's number, and `least` by that bit.
+
+    A set signs two bands at most, one after the other.
+    """
+    found, least = [elements[:0]], [None, None]
+    for band, keys, fewest in banded_signatures(elements, similarity):
+        found.append(keys & ~np.uint64(1) | np.uint64(band & 1))
+        least[band & 1] = fewest
+    return sorted_distinct(np.concatenate(found)), least
+
+
 def parities(elements: np.ndarray) -> np.ndarray:
     """Whether an odd number of elements falls on each bit of a power of two, n/2 bits or more, 64 at least.
 
@@ -124,7 +149,7 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
 
 
 def _shingled(size: int, similarity: int, full: bool):
-    """Batches of (doc_id, text) as (doc_id, n_shingles, digest, keys, odd), or as (id, shingles) if `full`."""
+    """Batches of (doc_id, text) as (doc_id, n_shingles, digest, keys, least, odd), or as (id, shingles) if `full`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -134,10 +159,12 @@ def _shingled(size: int, similarity: int, full: bool):
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(sets)], names=["id", "shingles"])
                 continue
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+            signed = [marked_signatures(s, similarity) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()),
-                 _lists([signatures(s, similarity) for s in sets]), _lists([parities(s) for s in sets])],
-                names=["doc_id", "n_shingles", "digest", "keys", "odd"],
+                 _lists([keys for keys, _ in signed]), pa.array([least for _, least in signed], pa.list_(pa.int64())),
+                 _lists([parities(s) for s in sets])],
+                names=["doc_id", "n_shingles", "digest", "keys", "least", "odd"],
             )
 
     return run
@@ -152,6 +179,27 @@ def _several(entries: DataFrame) -> DataFrame:
     return ends.where("low != high").select("key")
 
 
+def _enough(entries: DataFrame, needs: DataFrame) -> DataFrame:
+    """Those of distinct entries (key, id, ...) whose id has as many keys of their band here as `needs` has for it.
+
+    `needs` has (id, least): a set shares so many signatures of a band with any set that fits it there.
+    So if the entries have all keys in which pairs of a kind agree, they still do.
+    """
+    bit = F.col("key").bitwiseAND(F.lit(1)).cast("int")
+    counted = entries.join(needs, "id").select(
+        *entries.columns, F.get("least", bit).alias("least"), F.count("*").over(Window.partitionBy("id", bit)).alias("keys")
+    )
+    return counted.where("keys >= least").select(*entries.columns)
+
+
+def _split(named: DataFrame) -> DataFrame:
+    """(key, m): the keys of entries (key, id, component) in more components than one, and their number of entries."""
+    ends = named.groupBy("key").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m")
+    )
+    return ends.where("low != high").select("key", "m")
+
+
 def _likely(pairs: DataFrame, sketches: DataFrame, similarity: int) -> DataFrame:
     """Pairs (a, b) of (id, other) whose sizes and parities let them fit: all that do, and few others.
 
@@ -198,6 +246,8 @@ def linked_sets(docs: DataFrame, similarity: int = 80, size: int = 5) -> DataFra
     2. Signatures of two classes or more are buckets. First every class of a bucket meets the smallest
        of it; buckets of one component are done. Of the others, the classes of different components
        meet each other where there are SMALL or fewer; in larger ones, each meets a random one.
+       Classes that fit share more signatures than one, the more the longer they are; one that has
+       fewer in the buckets still open fits none there and leaves them (see `_enough`).
     3. Classes of large buckets still in several components meet by their rarest shingles, which sets
        that similar must share, so a hot bucket never meets itself in all pairs and no link is lost.
     4. Pairs pass by their sizes and by parities (see `parities`), which no link fails, and are then
@@ -223,12 +273,13 @@ def linked_sets(docs: DataFrame, similarity: int = 80, size: int = 5) -> DataFra
 
 
 def _joined(docs: DataFrame, similarity: int, size: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Kept (doc_id, n_shingles, digest, odd) of all rows, (digest, id) of the classes and (id, component) of the linked."""
+    """Kept (doc_id, n_shingles, digest, least, odd) of all rows, (digest, id) of the classes and (id, component) of the linked."""
     scratch = Scratch(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = scratch.keep(
         source.mapInArrow(
-            _shingled(size, similarity, False), "doc_id long, n_shingles long, digest binary, keys array<long>, odd array<long>"
+            _shingled(size, similarity, False),
+            "doc_id long, n_shingles long, digest binary, keys array<long>, least array<long>, odd array<long>",
         ),
         "signed",
     )
@@ -238,13 +289,20 @@ def _joined(docs: DataFrame, similarity: int, size: int) -> tuple[DataFrame, Dat
     classes = part.groupBy("digest").agg(F.min("doc_id").alias("id"))
     # Dealt by signature once, for counting and joining: of a document's many signatures, one key has few.
     entries = keyed.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key")).repartition("key")
-    met = scratch.keep(
-        entries.join(_several(entries), "key").join(classes.select("id").distinct(), "id", "left_semi")
-        .select("key", "id").distinct(),
-        "met",
+    met = scratch.keep(entries.join(_several(entries), "key").select("key", "id"), "met")
+    scratch.drop("signed")
+    # Copies leave only now: before, the signatures would be dealt for both sides apart.
+    own = scratch.keep(
+        met.join(classes.select("id").distinct(), "id", "left_semi").select("key", "id").distinct(), "own"
+    )
+    # Of texts under one doc_id, the least of all.
+    needs = scratch.keep(
+        part.groupBy(F.col("doc_id").alias("id")).agg(F.array(*[F.min(F.col("least")[bit]) for bit in (0, 1)]).alias("least")),
+        "needs",
     )
-    members = scratch.keep(met.join(_several(met), "key").select("key", "id"), "members")
-    scratch.drop("signed", "met")
+    shared = scratch.keep(_enough(own.join(_several(own), "key").select("key", "id"), needs), "shared")
+    members = scratch.keep(_enough(shared.join(_several(shared), "key").select("key", "id"), needs), "members")
+    scratch.drop("met", "own", "shared")
     ids = members.select(F.col("id").alias("doc_id")).distinct()
     again = source.join(ids, "doc_id", "left_semi").withColumn("text_hash", F.xxhash64("text"))
     sets = scratch.keep(
@@ -286,14 +344,12 @@ def _joined(docs: DataFrame, similarity: int, size: int) -> tuple[DataFrame, Dat
             .select("key", "id", F.coalesce("component", "id").alias("component")),
             f"named{round_}",
         )
-        split = (
-            named.groupBy("key")
-            .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m"))
-            .where("low != high AND m > 2")
-        )
+        # All of two have met.
+        open_ = named.join(_split(named).where("m > 2").select("key"), "key")
+        named = scratch.keep(_enough(open_, needs), f"open{round_}")
+        split = _split(named)
         if split.isEmpty():
             break
-        left = named.join(split.where(F.col("m") > SMALL).select("key"), "key")
-        if round_ == 1 and left.isEmpty():
-            break
+        # Later, a bucket may be small only for those that have left it.
+        left = named.join(split.where(F.col("m") > (SMALL if round_ == 0 else 0)).select("key"), "key")
     return narrow, classes, groups

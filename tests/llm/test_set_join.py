@@ -187,3 +187,60 @@ def test_cheaper_hashing_gives_the_same_signatures():
             plain.append(keys[~empty] if empty.any(axis=1).sum() <= 1 + k // set_join.SPARE else keys.ravel())
         want = np.unique(np.concatenate(plain)) if plain else elements[:0]
         assert np.array_equal(signatures(elements, 85), want)
+
+
+@pytest.mark.parametrize("similarity", [60, 85, 95])
+def test_sets_that_fit_share_as_many_signatures_as_each_needs(similarity):
+    """At the very boundary, in the band of the larger set, also where elements fall into few parts."""
+    rng = np.random.default_rng(similarity)
+    for n in [*range(2, 60), 150, 333, 1000, 4000]:
+        for few in (False, False, True):
+            pool = mix(rng.integers(1, 2**63, (40 if few and n < 500 else 2) * n + 10).astype(np.uint64))
+            if few:
+                band, top, _ = band_of(n, similarity)
+                k = 2 * top * (100 - similarity) // (100 + similarity)
+                parts = np.uint64(set_join.PARTS * (k // 2 + 2 + k // set_join.SPARE))
+                spread = mix(pool + np.uint64((band + 1) * set_join._BAND % (1 << 64)))
+                pool = pool[spread % parts < max(3, k // 2)]
+            only_b = int(rng.integers(0, n // 2 + 1))
+            only_a = max((x for x in range(n) if 100 * (n - x) >= similarity * (n + only_b)), default=None)
+            if only_a is None or len(pool) < n + only_b or not only_a + only_b:
+                continue
+            a, b = np.unique(pool[:n]), np.unique(pool[only_a : n + only_b])
+            band = band_of(max(len(a), len(b)), similarity)[0]
+            (keys, least), (other, other_least) = (set_join.marked_signatures(x, similarity) for x in (a, b))
+            common = np.intersect1d(keys, other)
+            shared = (common % np.uint64(2) == band % 2).sum()
+            assert shared >= max(least[band % 2], other_least[band % 2], 1)
+
+
+def test_texts_with_a_passage_in_common_leave_large_buckets(spark, monkeypatch):
+    """They fit none by it: their sets are neither made again nor dealt by all their shingles."""
+    monkeypatch.setattr(set_join, "SMALL", 2)
+    kept = {}
+    keep = set_join.Scratch.keep
+
+    def counted(self, df, name):
+        out = keep(self, df, name)
+        kept[name] = out.count()
+        return out
+
+    monkeypatch.setattr(set_join.Scratch, "keep", counted)
+    passage = prose(3, 40)
+    apart = [f"{prose(100 + k, 200)} {passage}" for k in range(60)]
+    check(docs(spark, [*apart, apart[0] + " one more"]))
+    assert kept["sets"] < 20 and "links2" not in kept
+
+
+def test_signatures_are_dealt_once(spark, monkeypatch):
+    """Counted and joined alike, so one exchange of them serves both sides."""
+    plans = {}
+    keep = set_join.Scratch.keep
+
+    def planned(self, df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return keep(self, df, name)
+
+    monkeypatch.setattr(set_join.Scratch, "keep", planned)
+    linked_sets(docs(spark, [prose(k % 30, 40 + k % 3) for k in range(60)]), 85, 4)
+    assert "explode(keys" in plans["met"] and "LeftSemi" not in plans["met"]
