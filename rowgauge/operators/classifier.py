@@ -34,6 +34,9 @@ FOLDS = 5
 TOP_FEATURES = 10
 NOT_FEATURES = ["row_id", "ground_truth", "dataset", "split", "fold_id"]
 
+#: Rows that a task of a forest holds at most.
+ROWS_A_TASK = 200_000
+
 # Plain name of the target while fitting, whatever it is called.
 _LABEL = "__label"
 
@@ -58,6 +61,16 @@ def _copied(df: DataFrame, features: list[str], keep: Iterable[Column]) -> DataF
     return df.select(*keep, *[cell(c).alias(a) for c, a in zip(features, _plain(features))])
 
 
+def _dealt(df: DataFrame, rows: int) -> DataFrame:
+    """The rows dealt evenly over as many tasks as there are cores, and over more if there are many.
+
+    In every level each task of a fit sends the sums of all nodes, whatever its rows, so tasks by the
+    size of the input would cost tasks times nodes. Predictions cost far more than a row's bytes tell,
+    so joins of narrow rows would leave them to a task or two.
+    """
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_A_TASK)))
+
+
 def _stages(features: list[str]) -> list:
     # Rows with NaN in a feature are skipped in training; predictions take NaN as 0.0.
     return [
@@ -130,9 +143,10 @@ def train_random_forest(
 ) -> RecordClassifier:
     """Fit text codes, scaler and forest on the rows that have a label.
 
-    Fitting passes over the rows several times; they are kept in memory and on disk meanwhile
-    unless `persist` is off, for input that is kept already. So is the node that a row has come to
-    in each tree: without, every level would walk every row down all trees from their roots.
+    Rows are kept in memory and on disk while they are encoded, unless `persist` is off, for input that
+    is kept already. Encoded, they are dealt over the cores and written to the shared folder once, as
+    fitting passes over them several times. The node that a row has come to in each tree is kept:
+    without, every level would walk every row down all trees from their roots.
     """
     use_shared_folder(df.sparkSession)
     features = feature_columns(df, target, exclude)
@@ -147,19 +161,17 @@ def train_random_forest(
         seed=seed,
         cacheNodeIds=True,
     )
-    kept = []
+    if persist:
+        # The encoder reads the rows as well, before they are encoded.
+        copies.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        if persist:
-            # The encoder reads the rows as well, before they are encoded.
-            kept.append(copies.persist(StorageLevel.MEMORY_AND_DISK))
         text = fit_text(copies, _plain(features), _LABEL)
         labeled = numeric_features(text.apply(copies, training=True), _plain(features))
-        if persist:
-            kept.append(labeled.persist(StorageLevel.MEMORY_AND_DISK))
-        model = Pipeline(stages=[*_stages(features), forest]).fit(labeled)
+        dealt = _dealt(labeled, copies.count()).checkpoint()
     finally:
-        for frame in kept:
-            frame.unpersist()
+        if persist:
+            copies.unpersist()
+    model = Pipeline(stages=[*_stages(features), forest]).fit(dealt)
     return RecordClassifier(model, features, target, text)
 
 
@@ -240,8 +252,8 @@ def permutation_importance(
     feature. Text is permuted as the numbers that the model takes it for.
 
     Rows without a label take no part; without any labeled row the measures are null. Rows without a
-    key are placed by what they hold. Vector columns raise ValueError. Runs a job: the rows as numbers
-    are written once.
+    key are placed by what they hold. Vector columns raise ValueError. Runs jobs: the rows as numbers
+    are written once, and counted.
     """
     use_shared_folder(df.sparkSession)
     features, plain = model.features, _plain(model.features)
@@ -270,7 +282,8 @@ def permutation_importance(
         )
 
     variants = F.transform(F.sequence(F.lit(-1), F.lit(len(features) - 1)), replaced)
-    trials = placed.join(moved, "__place").select(_LABEL, F.posexplode(variants).alias("__trial", "__values"))
+    dealt = _dealt(placed.join(moved, "__place").select(_LABEL, "__own", "__other"), numbers.count())
+    trials = dealt.select(_LABEL, F.posexplode(variants).alias("__trial", "__values"))
     scored = model.model.transform(
         trials.select(_LABEL, "__trial", *[F.get("__values", F.lit(i)).alias(c) for i, c in enumerate(plain)])
     )
